@@ -186,16 +186,21 @@ def response_latency(features: DataFrame, mode: str = "response") -> DataFrame:
     return _case_columns(rows, "response_latency", "response_latency")
 
 
-def build_cases(features: DataFrame) -> DataFrame:
-    """All tasks in one frame with outcome state; a label is NULL unless the state is ``supervised``.
+TURN_TASKS = ["seller_next_action", "buyer_response_to_counter", "response_latency"]
+THREAD_TASKS = ["agreement", "final_price_ratio"]
+
+
+def build_cases(features: DataFrame, tasks: list[str] | None = None) -> DataFrame:
+    """Cases of the tasks (default: all) with outcome state; a label is NULL unless the state is ``supervised``.
 
     Turn-level tasks come from one explode over the turns, thread-level tasks from one over the openings.
     """
+    tasks = tasks or TURN_TASKS + THREAD_TASKS
     none_s, none_n = F.lit(None).cast("string"), F.lit(None).cast("double")
 
     def task(name: str, suffix: str, asked: Column, label_str: Column, label_num: Column) -> Column:
         return F.when(
-            asked,
+            asked if name in tasks else F.lit(False),
             F.struct(F.lit(name).alias("task"), F.lit(suffix).alias("suffix"), label_str.alias("label_str"), label_num.alias("label_num")),
         )
 
@@ -208,19 +213,25 @@ def build_cases(features: DataFrame) -> DataFrame:
             task("response_latency", "response_latency", F.lit(True), none_s, latency_label()),
         )
     )
-    by_thread = F.array(
-        task("agreement", "agreement", F.lit(True), c("agreement"), none_n),
-        task("final_price_ratio", "final_price_ratio", F.lit(True), none_s, final_price_label()),
+    by_thread = F.array_compact(
+        F.array(
+            task("agreement", "agreement", F.lit(True), c("agreement"), none_n),
+            task("final_price_ratio", "final_price_ratio", F.lit(True), none_s, final_price_label()),
+        )
     )
-    turn_rows = features.select(
-        "*", F.explode(by_turn).alias("_t"), F.coalesce(c("status_id") == CENSORED, F.lit(False)).alias("_censored")
-    ).withColumn("row_id", F.concat_ws(":", "thread_id", "turn_index", "_t.suffix"))
-    openings = opening_cases(features).select(
-        *features.columns, F.explode(by_thread).alias("_t"), F.coalesce("any_censored", F.lit(False)).alias("_censored")
-    ).withColumn("row_id", F.concat_ws(":", "thread_id", "_t.suffix"))
+    rows = None
+    if set(tasks) & set(TURN_TASKS):
+        rows = features.select(
+            "*", F.explode(by_turn).alias("_t"), F.coalesce(c("status_id") == CENSORED, F.lit(False)).alias("_censored")
+        ).withColumn("row_id", F.concat_ws(":", "thread_id", "turn_index", "_t.suffix"))
+    if set(tasks) & set(THREAD_TASKS):
+        openings = opening_cases(features).select(
+            *features.columns, F.explode(by_thread).alias("_t"), F.coalesce("any_censored", F.lit(False)).alias("_censored")
+        ).withColumn("row_id", F.concat_ws(":", "thread_id", "_t.suffix"))
+        rows = openings if rows is None else rows.unionByName(openings)
     known = c("_t.label_str").isNotNull() | c("_t.label_num").isNotNull()
     state = F.when(known, "supervised").when(c("_censored"), "censored").otherwise("unknown")
-    return turn_rows.unionByName(openings).select(
+    return rows.select(
         "row_id", c("_t.task").alias("task"), c("_t.label_str").alias("label_str"), c("_t.label_num").alias("label_num"),
         state.alias("outcome_state"), "thread_id", "listing_id", "seller_id", "buyer_id", c("event_time").alias("timestamp"),
         "category", "condition", "listing_price", c("actor").alias("current_actor"), c("action").alias("current_action"),

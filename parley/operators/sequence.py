@@ -34,9 +34,9 @@ def rank() -> Spec:
     return Spec("rank")
 
 
-def total() -> Spec:
-    """Rows of the key, on every row."""
-    return Spec("total")
+def total(value: Column | None = None) -> Spec:
+    """Rows of the key (or the sum of a value over them), on every row."""
+    return Spec("total", value)
 
 
 def running_sum(value: Column, inclusive: bool = True) -> Spec:
@@ -123,8 +123,9 @@ class Sequence:
                 both = F.coalesce(F.col(loc), F.lit(0)) + F.coalesce(F.col(car), F.lit(0))
                 final[name] = F.when(F.col(loc).isNotNull() | F.col(car).isNotNull(), both)
             elif spec.kind == "total":
-                local[loc] = F.count(F.lit(1)).over(Window.partitionBy(SEGMENT, *self.keys))
-                aggs.append(F.count(F.lit(1)).alias(agg))
+                fold = F.count(F.lit(1)) if spec.value is None else F.sum(spec.value)
+                local[loc] = fold.over(Window.partitionBy(SEGMENT, *self.keys))
+                aggs.append(fold.alias(agg))
                 carried.append(F.sum(agg).over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(car))
                 final[name] = F.coalesce(F.col(car), F.col(loc))
             elif spec.kind in ("max", "min"):

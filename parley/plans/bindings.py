@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.operators.cases import build_cases, turn_features
+from parley.operators.splits import chronological_purged_split, chronological_split
+from parley.operators.models import LABELS, with_prediction
 from parley.plans.registry import Tables
 from parley.session import stage
 
@@ -143,6 +145,70 @@ def cases(t: Tables) -> DataFrame:
     return build_cases(stage(numbered(t)))
 
 
+def split_cases(t: Tables, task: str) -> DataFrame:
+    """Supervised cases of one task with their region, staged because fits and scores both read them."""
+    rows = build_cases(numbered(t), [task])
+    kept, _ = chronological_purged_split(rows, "timestamp", "listing_id", "row_id")
+    return stage(kept.filter(c("outcome_state") == "supervised").withColumnRenamed("label_str", "label"))
+
+
+PRED = """
+pred AS (
+  SELECT *, CASE label WHEN 'accept' THEN p_accept WHEN 'counter' THEN p_counter WHEN 'decline' THEN p_decline ELSE p_expire END AS p_label,
+         CASE WHEN p_accept >= p_counter AND p_accept >= p_decline AND p_accept >= p_expire THEN 'accept'
+              WHEN p_counter >= p_decline AND p_counter >= p_expire THEN 'counter'
+              WHEN p_decline >= p_expire THEN 'decline' ELSE 'expire' END AS prediction FROM (
+    SELECT *, 1.0::DOUBLE - p_accept - p_counter - p_decline AS p_expire FROM (
+      SELECT *, 0.7::DOUBLE * (1.0::DOUBLE - p_accept - p_counter) AS p_decline FROM (
+        SELECT *, CASE WHEN prior_counter_count > 0 THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END * (1.0::DOUBLE - p_accept) AS p_counter FROM (
+          SELECT *, label_str AS label, least(0.9, greatest(0.05, offer_to_asking_ratio * offer_to_asking_ratio)) AS p_accept,
+                 least(0.9, greatest(0.05, offer_to_asking_ratio)) AS p_other, (label_str = 'accept')::INT AS target
+          FROM cases WHERE task = 'seller_next_action' AND label_str IS NOT NULL)))))
+"""
+
+
+def predictions(t: Tables) -> DataFrame:
+    """Seller answers with a closed-form probability for every label, as a stand-in for any model."""
+    rows = build_cases(numbered(t), ["seller_next_action"]).filter(c("outcome_state") == "supervised")
+    r = c("offer_to_asking_ratio")
+    one = F.lit(1.0)
+    rows = rows.withColumnRenamed("label_str", "label").withColumns(
+        {"p_accept": F.least(F.lit(0.9), F.greatest(F.lit(0.05), r * r)), "p_other": F.least(F.lit(0.9), F.greatest(F.lit(0.05), r))}
+    )
+    rows = rows.withColumn("p_counter", F.when(c("prior_counter_count") > 0, 0.5).otherwise(0.3) * (one - c("p_accept")))
+    rows = rows.withColumn("p_decline", F.lit(0.7) * (one - c("p_accept") - c("p_counter")))
+    rows = rows.withColumn("p_expire", one - c("p_accept") - c("p_counter") - c("p_decline"))
+    rows = with_prediction(rows, {x: c(f"p_{x}") for x in LABELS["seller_next_action"]})
+    return rows.withColumn("target", (c("label") == "accept").cast("int"))
+
+
+CASE_REG = """
+case_reg AS (
+  SELECT doc_id, quality AS target, n_chars::DOUBLE AS chars, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS spaces,
+         (length(text) - length(replace(text, chr(10), '')))::DOUBLE AS lines,
+         length(regexp_replace(text, '[^A-Z]', '', 'g'))::DOUBLE AS capitals, lang
+  FROM labels JOIN documents USING (doc_id)),
+placed_reg AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id) AS pos, count(*) OVER () AS n FROM case_reg),
+train_reg AS (SELECT * FROM placed_reg WHERE pos <= floor(n * 0.6)),
+dev_reg AS (SELECT * FROM placed_reg WHERE pos > floor(n * 0.6) AND pos <= floor(n * 0.8))
+"""
+
+REG_NAMES = ["chars", "spaces", "lines", "capitals"]
+
+
+def case_reg(t: Tables) -> DataFrame:
+    """Quality labels of documents with numbers read off their whole texts, and the region by document order."""
+    size = F.length("text")
+    rows = t.labels.join(t.documents, "doc_id").select(
+        "doc_id", c("quality").alias("target"), c("n_chars").cast("double").alias("chars"),
+        (size - F.length(F.replace("text", F.lit(" "), F.lit("")))).cast("double").alias("spaces"),
+        (size - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("double").alias("lines"),
+        F.length(F.regexp_replace("text", "[^A-Z]", "")).cast("double").alias("capitals"), "lang",
+    )
+    return stage(chronological_split(rows, "doc_id", "doc_id"))
+
+
 EPISODE = """
 episode AS (
   SELECT event_id AS episode_id, ts AS decision_time, event_type, value, (props->>'$.k')::DOUBLE AS k, user_id FROM events)
