@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+REDACTED_TEXT = "[REDACTED]"
+
 # Text that marks a secret.
 SECRET_MARKERS = ["api_key", "apikey", "password", "secret", "sk-", "token"]
 

@@ -359,9 +359,6 @@ def validate_episodes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _split(df.withColumn("reasons", S.reasons(**checks)))
 
 
-REDACTED = "[REDACTED]"
-
-
 def redact_secrets(df: DataFrame, columns: list[str]) -> DataFrame:
     """Whole values that look like a secret are replaced; ``secret_hit`` tells which rows."""
     hits = []
@@ -369,13 +366,13 @@ def redact_secrets(df: DataFrame, columns: list[str]) -> DataFrame:
     for field in (f for f in df.schema.fields if f.name in columns):
         x = c(field.name)
         if isinstance(field.dataType, T.MapType):
-            hidden = F.transform_values(x, lambda k, v: F.when(S.secret_like(k) | S.secret_like(v), F.lit(REDACTED)).otherwise(v))
+            hidden = F.transform_values(x, lambda k, v: F.when(S.secret_like(k) | S.secret_like(v), F.lit(S.REDACTED_TEXT)).otherwise(v))
             hit = F.exists(F.map_entries(x), lambda e: S.secret_like(e["key"]) | S.secret_like(e["value"]))
         elif isinstance(field.dataType, T.ArrayType):
-            hidden = F.transform(x, lambda v: F.when(S.secret_like(v), F.lit(REDACTED)).otherwise(v))
+            hidden = F.transform(x, lambda v: F.when(S.secret_like(v), F.lit(S.REDACTED_TEXT)).otherwise(v))
             hit = F.exists(x, S.secret_like)
         else:
-            hidden = F.when(S.secret_like(x), F.lit(REDACTED)).otherwise(x)
+            hidden = F.when(S.secret_like(x), F.lit(S.REDACTED_TEXT)).otherwise(x)
             hit = S.secret_like(x)
         hits.append(F.coalesce(hit, F.lit(False)))
         changes[field.name] = hidden
@@ -393,7 +390,7 @@ SECRET_SPANS = [
 def mask_secrets(text: Column) -> Column:
     """Only the secret spans are replaced, the text around them stays."""
     for pattern in SECRET_SPANS:
-        text = F.regexp_replace(text, pattern, F.lit(f"$1{REDACTED}"))
+        text = F.regexp_replace(text, pattern, F.lit(f"$1{S.REDACTED_TEXT}"))
     return text
 
 

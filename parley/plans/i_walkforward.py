@@ -91,9 +91,9 @@ def windows(t: Tables) -> DataFrame:
     return W.window_returns(W.portfolio_returns(table(t))).filter(c("n_past") >= 20)
 
 
-@query("i02_compound_return", BASE + "SELECT i AS session_index, round(past_normal_exposure, 6) + 0.0 AS past, round(past_equity, 6) + 0.0 AS equity, round(past_cash, 6) + 0.0 AS cash FROM win")
+@query("i02_compound_return", BASE + "SELECT i AS session_index, round(past_normal_exposure, 8) AS past, round(past_equity, 8) AS equity FROM win")
 def i02(t: Tables) -> DataFrame:
-    return windows(t).select("session_index", F.round("past_normal_exposure", 6).alias("past"), F.round("past_equity", 6).alias("equity"), F.round("past_cash", 6).alias("cash"))
+    return windows(t).select("session_index", F.round("past_normal_exposure", 8).alias("past"), F.round("past_equity", 8).alias("equity"))
 
 
 @query("i03_window_drawdown", BASE + "SELECT i AS session_index, round(fall_past, 6) + 0.0 AS drawdown FROM win")
