@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.operators import profit as R
 from parley.operators import snapshots as N
-from parley.operators.ingest import reason_counts
+from parley.operators.ingest import material_coverage, reason_counts
 from parley.plans.bindings_pilot import PILOT, SNAPSHOT, as_of, pilot, snapshots
 from parley.plans.registry import Tables, ctes, query
 
@@ -97,19 +97,19 @@ def e08(t: Tables) -> DataFrame:
 
 
 BREAKDOWN = """
-SELECT {key} AS bucket, count(*) AS orders, sum(margin)::DOUBLE AS total_margin, round(sum(margin)::DOUBLE / count(*), 6) AS average_margin,
+SELECT {key} AS bucket, count(*) AS orders, sum(margin)::DOUBLE AS total_margin, sum(margin)::DOUBLE / count(*) AS average_margin,
        round(avg(sale / asking), 6) AS average_ratio FROM facts WHERE margin IS NOT NULL GROUP BY 1
 """
 
 
 @query("e09_margin_by_category", P + BREAKDOWN.format(key="category"))
 def e09(t: Tables) -> DataFrame:
-    return six(R.margin_breakdown(R.order_facts(pilot(t), as_of()), "category"), "average_margin", "average_ratio")
+    return six(R.margin_breakdown(R.order_facts(pilot(t), as_of()), "category"), "average_ratio")
 
 
 @query("e09_margin_by_age", P + BREAKDOWN.format(key="age_band"))
 def e09_age(t: Tables) -> DataFrame:
-    return six(R.margin_breakdown(R.order_facts(pilot(t), as_of()), "age_band"), "average_margin", "average_ratio")
+    return six(R.margin_breakdown(R.order_facts(pilot(t), as_of()), "age_band"), "average_ratio")
 
 
 MATCHED = """
@@ -169,7 +169,7 @@ def e11_gate(t: Tables) -> DataFrame:
 MARGINS = """
 dm AS (SELECT decision, margin FROM facts JOIN decided USING (order_id) WHERE margin IS NOT NULL),
 dmb AS (
-  SELECT decision, count(*) AS n, avg(margin::DOUBLE) AS mean_margin, sum(margin)::DOUBLE AS total_margin, count(CASE WHEN margin < 0 THEN 1 END) AS negative,
+  SELECT decision, count(*) AS n, sum(margin)::DOUBLE / count(*) AS mean_margin, sum(margin)::DOUBLE AS total_margin, count(CASE WHEN margin < 0 THEN 1 END) AS negative,
          CASE WHEN count(*) > 1 THEN 1.96 * stddev_samp(margin::DOUBLE) / sqrt(count(*)) ELSE 0 END AS half, quantile_cont(margin::DOUBLE, 0.5) AS median_margin
   FROM dm GROUP BY 1)
 """
@@ -179,14 +179,14 @@ dmb AS (
     "e12_decision_margins",
     ctes(PILOT, DECIDED, MARGINS)
     + """
-    SELECT decision, n, round(mean_margin, 4) AS mean_margin, total_margin, negative, round(median_margin, 4) AS median_margin,
+    SELECT decision, n, mean_margin, total_margin, negative, median_margin,
            round(mean_margin - half, 4) AS low, round(mean_margin + half, 4) AS high FROM dmb
     """,
 )
 def e12(t: Tables) -> DataFrame:
     p = pilot(t)
     out = R.decision_margins(R.order_facts(p, as_of()), p.offers)
-    return out.withColumns({x: F.round(x, 4) for x in ("mean_margin", "median_margin", "low", "high")})
+    return out.withColumns({x: F.round(x, 4) for x in ("low", "high")})
 
 
 @query(
@@ -259,31 +259,28 @@ bucketed AS (
     ctes(SNAPSHOT, BUCKETS)
     + """
     SELECT dimension, bucket, sum(n)::BIGINT AS decisions, string_agg(taken || ':' || n, ',' ORDER BY taken) AS action_mix, round(sum(paid) / sum(n), 6) AS paid_rate,
-           sum(m)::BIGINT AS mature_paid, round(sum(s) / sum(m), 4) AS mean_margin FROM (
-      SELECT dimension, bucket, taken, count(*) AS n, count(CASE WHEN good_paid THEN 1 END) AS paid, count(margin) AS m, sum(margin) AS s FROM bucketed GROUP BY 1, 2, 3)
+           sum(m)::BIGINT AS mature_paid, sum(s)::DOUBLE / sum(m) AS mean_margin FROM (
+      SELECT dimension, bucket, taken, count(*) AS n, count(CASE WHEN good_paid THEN 1 END) AS paid, count(margin) AS m, sum(CAST(margin AS DECIMAL(18, 2))) AS s FROM bucketed GROUP BY 1, 2, 3)
     GROUP BY 1, 2
     """,
 )
 def e15(t: Tables) -> DataFrame:
     out = N.policy_audit(snapshots(t))
     mix = F.array_join(F.transform(F.map_entries("action_mix"), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
-    return out.withColumns({"action_mix": mix, "paid_rate": F.round("paid_rate", 6), "mean_margin": F.round("mean_margin", 4)})
+    return out.withColumns({"action_mix": mix, "paid_rate": F.round("paid_rate", 6)})
 
 
 SUMMARY = """
 SELECT {key} AS key, count(*) AS decisions, round(avg(good_paid::INT), 6) AS paid_rate, round(avg((good_paid AND k % 2 = 0)::INT), 6) AS sold_7_days_rate,
        count(CASE WHEN k % 3 = 0 AND NOT buyer_paid THEN 1 END) AS accepted_unpaid, count(margin) AS mature, count(*) - count(margin) AS immature,
-       round(coalesce(sum(margin), 0), 2) AS total_margin, round(avg(margin), 4) AS mean_margin,
-       round(avg(margin / greatest(coalesce(nullif(days_to_sale, 0), 1), 1)), 4) AS margin_per_day, round(coalesce(sum(provisional), 0), 2) AS total_provisional
+       coalesce(sum(CAST(margin AS DECIMAL(18, 2))), 0)::DOUBLE AS total_margin, sum(CAST(margin AS DECIMAL(18, 2)))::DOUBLE / count(margin) AS mean_margin,
+       round(avg(margin / greatest(coalesce(nullif(days_to_sale, 0), 1), 1)), 4) AS margin_per_day, coalesce(sum(CAST(provisional AS DECIMAL(18, 2))), 0)::DOUBLE AS total_provisional
 FROM judged WHERE has_outcome GROUP BY 1
 """
 
 
 def _summary(df: DataFrame) -> DataFrame:
-    six_places = {x: F.round(x, 6) for x in ("paid_rate", "sold_7_days_rate")}
-    return df.withColumns(
-        {**six_places, **{x: F.round(x, 4) for x in ("mean_margin", "margin_per_day")}, **{x: F.round(x, 2) for x in ("total_margin", "total_provisional")}}
-    )
+    return six(df, "paid_rate", "sold_7_days_rate").withColumn("margin_per_day", F.round("margin_per_day", 4))
 
 
 @query("e16_action_summary", J + SUMMARY.format(key="taken"))
@@ -484,3 +481,63 @@ def e24(t: Tables) -> DataFrame:
 )
 def e25(t: Tables) -> DataFrame:
     return R.shadow_report(R.shadow_values(pilot(t), as_of()))
+
+
+@query(
+    "e11_shadow_policy_gate",
+    ctes(PILOT, GAPS, DECIDED, MARGINS)
+    + """
+    SELECT meaningful_actions, failed, failed = '' AS passed FROM (
+      SELECT (SELECT count(*) FROM dmb WHERE n >= 10) AS meaningful_actions,
+        concat_ws(',', CASE WHEN count(margin) < 30 THEN 'mature_margins' END,
+          CASE WHEN (count(*) - (SELECT count(*) FROM gaps WHERE gap = 'missing_cost_basis')) / count(*) < 0.95 THEN 'cost_coverage' END,
+          CASE WHEN (count(*) - (SELECT count(*) FROM gaps WHERE gap = 'missing_fee')) / count(*) < 0.95 THEN 'fee_coverage' END,
+          CASE WHEN (count(*) - (SELECT count(*) FROM gaps WHERE gap = 'missing_shipping')) / count(*) < 0.95 THEN 'shipping_coverage' END,
+          CASE WHEN (SELECT count(CASE WHEN seller_response IS NOT NULL AND seller_response_time IS NOT NULL THEN 1 END) / count(*) FROM p_offer) < 0.8 THEN 'decision_history_coverage' END,
+          CASE WHEN count(CASE WHEN completed AND matured THEN 1 END) / count(CASE WHEN completed THEN 1 END) < 0.8 THEN 'return_window_coverage' END,
+          CASE WHEN (SELECT count(*) FROM dmb WHERE n >= 10) < 2 THEN 'few_meaningful_actions' END,
+          CASE WHEN count(margin) < 30 THEN 'small_commercial_sample' END) AS failed FROM facts)
+    """,
+)
+def e11_shadow_gate(t: Tables) -> DataFrame:
+    p = pilot(t)
+    facts = R.order_facts(p, as_of())
+    out = R.shadow_policy_gate(R.readiness_gate(p.offers, facts), R.decision_margins(facts, p.offers))
+    return out.select("meaningful_actions", F.array_join("failed", ",").alias("failed"), "passed")
+
+
+@query(
+    "e11_abstention_reasons",
+    ctes(PILOT, GAPS)
+    + """
+    SELECT 'cost_coverage' AS check, 'cost-basis coverage is below threshold' AS reason FROM facts
+    HAVING (count(*) - (SELECT count(*) FROM gaps WHERE gap = 'missing_cost_basis')) / count(*) < 0.95 UNION ALL
+    SELECT 'fee_coverage', 'fee coverage is below threshold' FROM facts HAVING (count(*) - (SELECT count(*) FROM gaps WHERE gap = 'missing_fee')) / count(*) < 0.95 UNION ALL
+    SELECT 'shipping_coverage', 'shipping-cost coverage is below threshold' FROM facts HAVING (count(*) - (SELECT count(*) FROM gaps WHERE gap = 'missing_shipping')) / count(*) < 0.95 UNION ALL
+    SELECT 'mature_margins', 'not enough mature buyer-initiated offer outcomes' FROM facts HAVING count(margin) < 30 UNION ALL
+    SELECT 'return_window_coverage', 'return-window maturity coverage is below threshold' FROM facts
+    HAVING count(CASE WHEN completed AND matured THEN 1 END) / count(CASE WHEN completed THEN 1 END) < 0.8 UNION ALL
+    SELECT 'decision_history_coverage', 'decision-history coverage is below threshold' FROM p_offer
+    HAVING count(CASE WHEN seller_response IS NOT NULL AND seller_response_time IS NOT NULL THEN 1 END) / count(*) < 0.8
+    """,
+)
+def e11_reasons(t: Tables) -> DataFrame:
+    p = pilot(t)
+    return R.abstention_reasons(R.readiness_gate(p.offers, R.order_facts(p, as_of())))
+
+
+@query(
+    "a21_onboarding_gate",
+    """
+    WITH n AS (SELECT (SELECT count(*) FROM orders) AS orders, count(*) FILTER (l_orderkey % 20 <> 0) AS fee, count(*) FILTER (l_orderkey % 30 <> 1) AS ship, count(*) AS cost FROM lineitem)
+    SELECT least(orders, fee, ship, cost) AS mature_margins, round(fee / orders, 6) AS fee_coverage, round(ship / orders, 6) AS shipping_coverage, round(cost / orders, 6) AS cost_coverage,
+           '' AS failed, true AS passed FROM n
+    """,
+)
+def a21_gate(t: Tables) -> DataFrame:
+    p = pilot(t)
+    parts = [(p.fees, "fee_amount"), (p.shipping, "shipping_cost_amount"), (p.costs, "unit_cost_amount")]
+    told = [material_coverage(df, [x]) for df, x in parts]
+    out = R.onboarding_gate(p.orders, p.offers, told[0].unionByName(told[1]).unionByName(told[2]))
+    covers = {x: F.round(x, 6) for x in ("fee_coverage", "shipping_coverage", "cost_coverage")}
+    return out.select("mature_margins", *[v.alias(k) for k, v in covers.items()], F.array_join("failed", ",").alias("failed"), "passed")
