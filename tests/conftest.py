@@ -17,7 +17,9 @@ def spark():
 
 @pytest.fixture
 def many_segments(spark):
-    """Keep every range partition, so that small data really spreads over segments."""
+    """Call any key of 20 rows hot and keep every range partition, so that small data really spreads over segments."""
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("parley.hot.rows", "20")
     yield spark
+    spark.conf.unset("parley.hot.rows")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
