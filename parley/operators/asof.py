@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.scalars import clean, reasons
-from parley.operators.sequence import Sequence, lead, running_max
+from parley.operators.sequence import Sequence, lead, running_max, running_min, running_sum
 
 c = F.col
 
@@ -99,6 +99,27 @@ def asof(queries: DataFrame, observations: DataFrame, require_ingested: bool = T
     return found.filter(c("_best").isNotNull()).select("query_id", *GROUP, c("_best.r").alias("revision_id"), c("_best.v").alias("value"))
 
 
+def vintages_at(queries: DataFrame, observations: DataFrame, require_ingested: bool = True) -> DataFrame:
+    """How many vintages of its event each query sees, with their lowest and highest value; queries as for ``asof``.
+
+    Running counts in the order of visibility: all vintages are counted without listing them per query.
+    """
+    rows = observations.withColumn("_at", visible_from(require_ingested))
+    keys = ["kind", "instrument", "event_time", "source"]
+    sources = rows.select(*keys).distinct()
+    q = queries.withColumnRenamed("source", "_source").join(sources, keys[:3]).filter(c("_source").isNull() | (c("_source") == c("source")))
+    seen = rows.select(*keys, "_at", F.lit(0).alias("_q"), "value", F.lit(None).cast("long").alias("query_id"), "revision_id")
+    asked = q.select(
+        *keys, c("as_of").alias("_at"), F.lit(1).alias("_q"), F.lit(None).cast("double").alias("value"), "query_id",
+        F.lit(None).cast(seen.schema["revision_id"].dataType).alias("revision_id"),
+    )
+    seq = Sequence(seen.unionByName(asked), keys, ["_at", "_q", "query_id", "revision_id", "value"]).add(
+        _n=running_sum(1 - c("_q")), _lo=running_min(c("value")), _hi=running_max(c("value"))
+    ).frame
+    out = seq.filter((c("_q") == 1) & (c("_n") > 0)).groupBy("query_id")
+    return out.agg(F.sum("_n").alias("vintages"), F.min("_lo").alias("lowest"), F.max("_hi").alias("highest"))
+
+
 def asof_latest(queries: DataFrame, observations: DataFrame, by: list[str], require_ingested: bool = True) -> DataFrame:
     """The newest event visible at each query's time: an as-of join over many queries in one pass."""
     winner = F.struct(

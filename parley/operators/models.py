@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from parley.functions.scalars import bin_of, clip, logit, sigmoid
 from parley.operators.metrics import cumulative_values, long_features, median, nearest_rank, rank_features
 from parley.operators.sequence import Sequence, lead, rank, running_sum, total
+from parley.session import stage
 
 c = F.col
 
@@ -491,7 +492,8 @@ def forward_select(train: DataFrame, dev: DataFrame, names: list[str], max_terms
     def built(df: DataFrame) -> DataFrame:
         return df.select(*df.columns, *[col.alias(x) for x, col in plain.items()])
 
-    a, b = built(train).withColumn("_y", c("target").cast("double")).cache(), built(dev).cache()
+    # every fit reads them again, so they are staged once
+    a, b = stage(built(train).withColumn("_y", c("target").cast("double"))), stage(built(dev))
 
     def scored(chosen: list[str]) -> DataFrame:
         vector = VectorAssembler(inputCols=chosen, outputCol="_v")

@@ -198,11 +198,7 @@ def g04(t: Tables) -> DataFrame:
     """,
 )
 def g04_all(t: Tables) -> DataFrame:
-    q = questions(t).withColumnRenamed("source", "want")
-    rows = q.join(observations(t), ["kind", "instrument", "event_time"]).filter(
-        (G.visible_from() <= c("as_of")) & (c("want").isNull() | (c("want") == c("source")))
-    )
-    return rows.groupBy("query_id").agg(F.count("*").alias("vintages"), F.min("value").alias("lowest"), F.max("value").alias("highest"))
+    return G.vintages_at(questions(t), observations(t))
 
 
 CALENDAR = """

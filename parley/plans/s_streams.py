@@ -34,7 +34,7 @@ class Live(Tables):
 )
 def s01(t: Tables) -> DataFrame:
     raw = dirty_turns(Live(t)).withColumn("event_time", c("event_time").cast("timestamp"))
-    good, bad = Z.turns_to_folders(raw)
+    good, bad = Z.stream_turns(raw)
     return good.agg(F.lit("accepted").alias("outcome"), F.count("*").alias("n")).unionByName(reason_counts(bad).withColumnRenamed("reason", "outcome"))
 
 

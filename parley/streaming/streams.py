@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,19 +32,19 @@ def run_to_folder(df: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{root}/out")
 
 
-def stream_turns(raw: DataFrame, watermark: str = "1 hour") -> tuple[DataFrame, DataFrame]:
-    """Decoded turns and quarantined ones; exact copies are dropped as long as the watermark remembers them."""
+def without_copies(raw: DataFrame, watermark: str = "1 hour") -> DataFrame:
+    """Exact copies are dropped for as long as the watermark remembers them: state stays bounded."""
     body = F.sha2(F.to_json(F.struct(*raw.columns)), 256)
-    unique = raw.withColumn("_copy", body).withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["_copy"]).drop("_copy")
-    return decode_turns(unique)
+    return raw.withColumn("_copy", body).withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["_copy"]).drop("_copy")
+
 
+def stream_turns(raw: DataFrame, watermark: str = "1 hour") -> tuple[DataFrame, DataFrame]:
+    """Decoded turns and quarantined ones as two folders.
 
-def turns_to_folders(raw: DataFrame, watermark: str = "1 hour") -> tuple[DataFrame, DataFrame]:
-    """One stream, two folders: each micro-batch is split once and written under its batch id, so a retried batch overwrites itself."""
+    Each micro-batch is split once and written under its batch id, so a retried batch overwrites itself.
+    """
     spark = raw.sparkSession
     root = f"{staging_root(spark)}/stream-{uuid.uuid4().hex}"
-    body = F.sha2(F.to_json(F.struct(*raw.columns)), 256)
-    unique = raw.withColumn("_copy", body).withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["_copy"]).drop("_copy")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         good, bad = decode_turns(batch.persist())
@@ -52,6 +52,7 @@ def turns_to_folders(raw: DataFrame, watermark: str = "1 hour") -> tuple[DataFra
         bad.write.mode("overwrite").parquet(f"{root}/bad/batch={batch_id}")
         batch.unpersist()
 
+    unique = without_copies(raw, watermark)
     unique.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{root}/good"), spark.read.parquet(f"{root}/bad")
 
