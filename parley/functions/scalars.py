@@ -86,10 +86,19 @@ def logit(p: Column, eps: float = 1e-6) -> Column:
 
 def bin_of(value: Column, bins: int, low: float = 0.0, high: float = 1.0) -> Column:
     """Equal-width bin, first and last bin taking what lies outside."""
-    raw = F.floor((value - F.lit(low)) / F.lit((high - low) / bins))
+    # multiplied by the number of bins, not divided by a width: 0.3 of ten bins is bin 3
+    raw = F.floor((value - F.lit(low)) / F.lit(high - low) * bins)
     return F.greatest(F.least(raw, F.lit(bins - 1)), F.lit(0)).cast("int")
 
 
+def canonical_hash(*names: str) -> Column:
+    """SHA-256 of the compact JSON of columns in name order; NaN and infinity are refused."""
+    fields = [F.col(n) for n in sorted(names)]
+    text = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    bad = text.rlike(r'":"?-?(NaN|Infinity)"?[,}]')
+    return F.sha2(F.when(bad, F.raise_error(F.lit("a value is not finite")).cast("string")).otherwise(text), 256)
+
+
 def hash_fraction(value: Column) -> Column:
     """Uniform number in [0, 1) from the first 15 hex digits of SHA-256."""
     digits = F.conv(F.substring(F.sha2(value.cast("string"), 256), 1, 15), 16, 10)

@@ -398,7 +398,7 @@ PREDS = ctes(B.CASES, B.PRED)
     PREDS
     + """
     , q AS (SELECT category, target AS y, least(greatest(p_accept, 1e-6), 1 - 1e-6) AS p FROM pred),
-    cells AS (SELECT category, least(floor(p / (1.0::DOUBLE / 10)), 9) AS b, count(*) AS n, sum(y)::DOUBLE AS y, sum(p) AS p FROM q GROUP BY 1, 2),
+    cells AS (SELECT category, least(floor(p * 10), 9) AS b, count(*) AS n, sum(y)::DOUBLE AS y, sum(p) AS p FROM q GROUP BY 1, 2),
     e AS (SELECT category, sum(abs(p - y)) / sum(n) AS ece, sum(y) / sum(n) AS r FROM cells GROUP BY 1),
     l AS (SELECT category, count(*) AS n, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) AS ll, avg((p - y) * (p - y)) AS br FROM q GROUP BY 1)
     SELECT category, n, round(ll, 6) AS log_loss, round(br, 6) AS brier, round(ece, 6) AS calibration_error, round(r, 6) AS base_rate,
@@ -442,7 +442,7 @@ def d16_regression(t: Tables) -> DataFrame:
 
 
 def bins_sql(p: str, hit: str, bins: int, keys: str = "", source: str = "pred") -> str:
-    return f"""SELECT {keys}least(floor({p} / (1.0::DOUBLE / {bins})), {bins - 1})::INTEGER AS bin, count(*) AS n, avg({p}) AS mp, avg(({hit})::INT) AS er
+    return f"""SELECT {keys}least(floor({p} * {bins}), {bins - 1})::INTEGER AS bin, count(*) AS n, avg({p}) AS mp, avg(({hit})::INT) AS er
                FROM {source} GROUP BY ALL"""
 
 

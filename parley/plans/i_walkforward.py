@@ -159,7 +159,7 @@ def i09(t: Tables) -> DataFrame:
     + DECIDE
     + """
     , l AS (SELECT strategy_id, 'drawdown' AS target, p_fall AS p, fell AS y FROM rea UNION ALL SELECT strategy_id, 'underperform', p_under, under FROM rea),
-    b AS (SELECT strategy_id, target, least(floor(p / (1.0::DOUBLE / 5)), 4) AS bin, count(*) AS n, avg(p) AS p, avg(y::INT) AS y FROM l GROUP BY 1, 2, 3)
+    b AS (SELECT strategy_id, target, least(floor(p * 5), 4) AS bin, count(*) AS n, avg(p) AS p, avg(y::INT) AS y FROM l GROUP BY 1, 2, 3)
     SELECT strategy_id, target, round(sum(n * abs(p - y)) / sum(n), 6) AS ece FROM b GROUP BY 1, 2
     """,
 )

@@ -58,12 +58,22 @@ def hashes(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "fn_canonical_hash",
+    """
+    SELECT c_custkey, sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_nationkey":' || c_nationkey || '}') AS digest FROM customer
+    """,
+)
+def canonical(t: Tables) -> DataFrame:
+    return t.customer.select("c_custkey", S.canonical_hash("c_nationkey", "c_custkey", "c_mktsegment").alias("digest"))
+
+
 @query(
     "fn_math",
     """
     SELECT l_returnflag, round(avg(1 / (1 + exp(-least(greatest(l_quantity - 25, -35), 35)))), 6) AS sigmoid, round(avg(ln(p / (1 - p))), 6) AS logit,
            round(avg(least(greatest(l_discount * 20, 0.3), 1.2)), 6) AS clipped, round(avg(CASE WHEN l_tax <> 0 THEN l_discount / l_tax END), 6) AS ratio,
-           sum(greatest(least(floor((l_quantity - 10) / (20.0::DOUBLE / 8)), 7), 0))::BIGINT AS bins
+           sum(greatest(least(floor((l_quantity - 10) / 20.0::DOUBLE * 8), 7), 0))::BIGINT AS bins
     FROM (SELECT *, least(greatest(l_discount * 10, 1e-6), 1 - 1e-6) AS p FROM lineitem) GROUP BY 1
     """,
 )
