@@ -109,20 +109,16 @@ def copies_removed(df: DataFrame) -> DataFrame:
 
 
 def dedupe_by_key(df: DataFrame, key: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """First row per key in the given order, and the rest. An aggregate, so no key is gathered."""
+    """First row per key in the given order, and the rest with the number of copies of each.
+
+    Copies collapse to a count before rows are ordered, so neither a hot key nor a hot group of copies is gathered.
+    """
     columns = df.columns
-    row = F.struct(*order, *[x for x in columns if x not in order])
-    copies = df.groupBy(*columns).agg(F.count("*").alias("_copies"))
-    first = df.groupBy(*[c(k).alias(f"_k_{k}") for k in key]).agg(F.min(row).alias("_first"))
-    match = reduce(lambda a, b: a & b, [c(k).eqNullSafe(c(f"_k_{k}")) for k in key])
-    rest = (
-        copies.join(first, match)
-        .withColumn("_copies", c("_copies") - F.when(row == c("_first"), 1).otherwise(0))
-        .filter(c("_copies") > 0)
-        .select(*columns, c("_copies").alias("copies"))
-    )
-    kept = first.select(*[c(f"_first.{x}").alias(x) for x in columns])
-    return kept, rest
+    copies = df.groupBy(*columns).agg(F.count("*").alias("copies"))
+    placed = ranked(copies, key, [*order, *[x for x in columns if x not in order and x not in key]], "_place")
+    first = c("_place") == 1
+    rest = placed.withColumn("copies", c("copies") - F.when(first, 1).otherwise(0)).filter("copies > 0")
+    return placed.filter(first).select(*columns), rest.select(*columns, "copies")
 
 
 def linked(listings: DataFrame, turns: DataFrame, key: str = "listing_id") -> DataFrame:
@@ -398,3 +394,16 @@ def latest_batch(rows: DataFrame, imports: DataFrame, pilot: str, batch: str, se
     """Rows of the most recent import of each pilot."""
     last = imports.groupBy(pilot).agg(F.max_by(batch, seq).alias(batch))
     return rows.join(last, [pilot, batch], "left_semi")
+
+
+def normalize(raw: DataFrame, listings: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Raw turns to numbered turns, the listings they refer to, and the quarantine.
+
+    Rows without identifiers are set aside as they come; copies are removed before unknown codes are set aside.
+    """
+    lost = reduce(lambda a, b: a | b, [S.clean(c(x)).isNull() for x in ("thread_id", "listing_id", "buyer_id", "seller_id")])
+    unique = dedupe_rows(raw.filter(~lost))
+    good, unknown = decode_turns(unique)
+    anonymous = decode_turns(raw.filter(lost))[1]
+    turns = ranked(good, ["thread_id"], order, "turn_index")
+    return turns, linked(listings, good), unknown.unionByName(anonymous)

@@ -630,3 +630,35 @@ def a26(t: Tables) -> DataFrame:
     rows = t.events.select((c("user_id") % 5).alias("pilot"), c("ts").cast("date").alias("batch"), "event_id")
     imports = rows.select("pilot", "batch", c("batch").alias("seq")).distinct()
     return I.latest_batch(rows, imports, "pilot", "batch", "seq").groupBy("pilot", "batch").agg(F.count("*").alias("n"))
+
+
+@query(
+    "a00_normalize",
+    ctes(DIRTY_TURN)
+    + """
+    , good AS (SELECT DISTINCT * FROM raw WHERE buyer_id IS NOT NULL AND status_id <> 5 AND offer_type <> 4)
+    SELECT 'turns' AS part, count(*) AS rows, count(DISTINCT thread_id) AS keys FROM good UNION ALL
+    SELECT 'listings', count(*), count(DISTINCT listing_id) FROM listing WHERE listing_id IN (SELECT listing_id FROM good) UNION ALL
+    SELECT 'longest thread', max(n), 1 FROM (SELECT count(*) AS n FROM good GROUP BY thread_id) UNION ALL
+    SELECT 'quarantine', (SELECT count(*) FROM raw WHERE buyer_id IS NULL)
+           + (SELECT count(*) FROM (SELECT DISTINCT * FROM raw WHERE buyer_id IS NOT NULL AND (status_id = 5 OR offer_type = 4))),
+           (SELECT count(DISTINCT event_id) FROM raw WHERE buyer_id IS NULL OR status_id = 5 OR offer_type = 4)
+    """,
+)
+def a00(t: Tables) -> DataFrame:
+    """Raw turns and listings to bucketed Parquet and back: the whole way in."""
+    turns, linked, bad = I.normalize(dirty_turns(t), B.listings(t), ["event_time", "offer_type", "event_id"])
+    folder = _folder(t, "")
+    write_bucketed(turns, "thread_id", 16, f"{folder}/turns")
+    linked.write.parquet(f"{folder}/listings")
+    bad.write.parquet(f"{folder}/quarantine")
+    back = read_bucketed(t.spark, f"{folder}/turns")
+
+    def counted(part: str, rows, keys) -> list:
+        return [F.lit(part).alias("part"), rows.alias("rows"), keys.alias("keys")]
+
+    one = back.agg(*counted("turns", F.count("*"), F.countDistinct("thread_id")))
+    two = t.spark.read.parquet(f"{folder}/listings").agg(*counted("listings", F.count("*"), F.countDistinct("listing_id")))
+    longest = back.agg(*counted("longest thread", F.max("turn_index"), F.lit(1).cast("long")))
+    four = t.spark.read.parquet(f"{folder}/quarantine").agg(*counted("quarantine", F.count("*"), F.countDistinct("event_id")))
+    return one.unionByName(two).unionByName(longest).unionByName(four)
