@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.operators.cases import ACCEPTED, COUNTERED
+from parley.session import stage
 
 c = F.col
 
@@ -91,8 +92,9 @@ def listing_facts(listings: DataFrame, threads: DataFrame) -> DataFrame:
 
 def observed_moments(listings: DataFrame, features: DataFrame) -> DataFrame:
     """Long frame (moment, component, observed) from one aggregation over listings and one over threads."""
-    threads = thread_facts(features)
-    rows = listing_facts(listings, threads)
+    # four aggregations read them
+    threads = stage(thread_facts(features))
+    rows = stage(listing_facts(listings, threads))
     main, ref = c("main"), c("reference")
     sold, bargained = c("final_sale_price").isNotNull(), c("sold_by_best_offer")
     share = c("final_sale_price") / c("listing_price")

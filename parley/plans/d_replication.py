@@ -14,7 +14,6 @@ from parley.plans import bindings as B
 from parley.plans.c_splits import region_sql
 from parley.plans.d_models import REG_DATA, regions
 from parley.plans.registry import ORACLES, Tables, ctes, query
-from parley.session import stage
 
 c = F.col
 
@@ -72,7 +71,7 @@ def raw_listings(t: Tables) -> DataFrame:
 
 @query("d33_observed_moments", ctes(B.TURN, RAW) + "SELECT split_part(k, '.', 1) AS moment, split_part(k, '.', 2) AS component, round(v, 6) AS observed FROM ob")
 def d33(t: Tables) -> DataFrame:
-    return R.observed_moments(raw_listings(t), stage(B.numbered(t))).withColumn("observed", F.round("observed", 6))
+    return R.observed_moments(raw_listings(t), B.numbered(t)).withColumn("observed", F.round("observed", 6))
 
 
 TARGET_ROWS = ", ".join(f"('{m}', '{k}', {e}::DOUBLE, {tol!r}::DOUBLE, {str(f).lower()})" for m, k, e, tol, f in R.TARGETS)
@@ -87,7 +86,7 @@ TARGET_ROWS = ", ".join(f"('{m}', '{k}', {e}::DOUBLE, {tol!r}::DOUBLE, {str(f).l
     """,
 )
 def d33_check(t: Tables) -> DataFrame:
-    out = R.replication_check(R.observed_moments(raw_listings(t), stage(B.numbered(t))))
+    out = R.replication_check(R.observed_moments(raw_listings(t), B.numbered(t)))
     return out.select("moment", "component", "expected", "fatal", "status")
 
 
