@@ -182,28 +182,38 @@ def d05(t: Tables) -> DataFrame:
     return shown(M.predict_stumps(dev, train, NAMES))
 
 
-@query(
-    "d06_monotone_curve",
-    DATA.rstrip()
-    + f""",
-    cells AS (
-      SELECT i::INTEGER AS bin, count(label) AS n, count(CASE WHEN label = 'accept' THEN 1 END) AS k
-      FROM range(8) s(i) LEFT JOIN (SELECT label, {BIN} AS b FROM train) ON b = i GROUP BY i),
-    rates AS (SELECT *, (k + 0.5) / (n + 1.0) AS rate, greatest(n, 1) AS w FROM cells),
-    spans AS (
-      SELECT a.bin AS a, b.bin AS b, (SELECT sum(rate * w) / sum(w) FROM rates x WHERE x.bin BETWEEN a.bin AND b.bin) AS m
-      FROM rates a JOIN rates b ON a.bin <= b.bin),
-    lows AS (SELECT r.bin, s.a, min(s.m) AS low FROM rates r JOIN spans s ON s.a <= r.bin AND s.b >= r.bin GROUP BY 1, 2)
-    SELECT r.bin, r.n, round(r.rate, 6) AS rate, round(max(low), 6) AS fitted FROM rates r JOIN lows USING (bin) GROUP BY r.bin, r.n, r.rate
-    """,
-)
+CURVE = f"""
+cells AS (
+  SELECT i::INTEGER AS bin, count(label) AS n, count(CASE WHEN label = 'accept' THEN 1 END) AS k
+  FROM range(8) s(i) LEFT JOIN (SELECT label, {BIN} AS b FROM train) ON b = i GROUP BY i),
+rates AS (SELECT *, (k + 0.5) / (n + 1.0) AS rate, greatest(n, 1) AS w FROM cells),
+spans AS (
+  SELECT a.bin AS a, b.bin AS b, (SELECT sum(rate * w) / sum(w) FROM rates x WHERE x.bin BETWEEN a.bin AND b.bin) AS m
+  FROM rates a JOIN rates b ON a.bin <= b.bin),
+lows AS (SELECT r.bin, s.a, min(s.m) AS low FROM rates r JOIN spans s ON s.a <= r.bin AND s.b >= r.bin GROUP BY 1, 2),
+fit AS (SELECT r.bin, r.n, r.rate, max(low) AS p FROM rates r JOIN lows USING (bin) GROUP BY r.bin, r.n, r.rate)
+"""
+REST = "(1 - f.p) * (g.{x} + 1.0) / (g.counter + g.decline + g.expire + 3)"
+
+
+@query("d06_monotone_curve", DATA.rstrip() + ",\n" + CURVE.strip() + " SELECT bin, n, round(rate, 6) AS rate, round(p, 6) AS fitted FROM fit")
 def d06(t: Tables) -> DataFrame:
     train, _ = regions(B.split_cases(t, TASK))
     rows = M.monotone_curve(train).select(F.posexplode(F.arrays_zip("n", "rates", "curve")).alias("bin", "s"))
     return rows.select("bin", "s.n", F.round("s.rates", 6).alias("rate"), F.round("s.curve", 6).alias("fitted"))
 
 
-@query("d06_monotone")
+@query(
+    "d06_monotone",
+    DATA.rstrip()
+    + ",\n"
+    + CURVE.strip()
+    + " "
+    + scored_sql(
+        {x: "f.p" if x == "accept" else REST.format(x=x) for x in NAMES},
+        f"(SELECT *, ({BIN})::INTEGER AS bin FROM dev) d JOIN fit f USING (bin), ({wide_sql('train')}) g",
+    ),
+)
 def d06_predict(t: Tables) -> DataFrame:
     train, dev = regions(B.split_cases(t, TASK))
     return shown(M.predict_monotone(dev, train, NAMES))
