@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import pii, search, shards, toxicity
+from parley.llm import langid, packing, pii, search, shards, toxicity
 
 #: Key of the pseudonyms in the registered query; a deployment passes its own.
 PII_KEY = "parley-query-key"
@@ -24,6 +24,22 @@ def op2_pii_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pseudonymise(docs, PII_KEY)
 
 
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(_table(spark, folder, "documents"))
+
+
+def tokenizer_path() -> str:
+    """The word-piece vocabulary of the installed public tokenizers; executors find it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, folder, "documents"), tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -33,7 +49,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", shards.law().alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_pii_pseudonyms, op9_toxicity, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_pii_pseudonyms, op7_language, op8_packing, op9_toxicity, op10_sharding)}
 
 ORACLES = {
     "op1_topk_search": """
