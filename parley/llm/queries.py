@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import langid, packing, pii, search, shards, toxicity
+from parley.llm import decontam, langid, lines, neardup, packing, pages, pii, search, shards, toxicity
 
 #: Key of the pseudonyms in the registered query; a deployment passes its own.
 PII_KEY = "parley-query-key"
@@ -24,6 +24,22 @@ def op2_pii_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pseudonymise(docs, PII_KEY)
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.drop_recurring(_table(spark, folder, "documents"))
+
+
+def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, folder, "documents")).drop("mark")
+
+
+def op5_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract_pages(_table(spark, folder, "pages"))
+
+
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(_table(spark, folder, "documents"))
 
@@ -49,7 +65,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", shards.law().alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_pii_pseudonyms, op7_language, op8_packing, op9_toxicity, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_pii_pseudonyms, op3_line_dedup, op4_near_dedup, op5_main_text, op6_decontamination, op7_language, op8_packing, op9_toxicity, op10_sharding)}
 
 ORACLES = {
     "op1_topk_search": """
