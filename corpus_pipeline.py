@@ -17,14 +17,12 @@ from parley.session import stage
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.7; learned from the labelled documents that are not held out."""
-    model = toxicity.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, name="toxic_score").where(F.col("toxic_score") < 0.7).select(*docs.columns)
+    return toxicity.keep_harmless(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that recur across documents; one that consists of nothing else goes."""
-    out = lines.drop_recurring(docs).where("n_dropped = 0 OR trim(text) <> ''")
-    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
+    return lines.keep_rest(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

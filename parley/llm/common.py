@@ -29,10 +29,15 @@ def packed(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(F.struct(*plain.columns).alias("packed_row"), *(F.col(f"c{place(df, n)}").alias(n) for n in names))
 
 
-def unpacked(df: DataFrame, like: DataFrame, **changed: Column) -> DataFrame:
-    """Rows of ``like`` again from ``packed_row``; ``changed`` replaces columns by name."""
-    at = {place(like, n): c for n, c in changed.items()}
-    return df.select(*(at.get(i, F.col(f"packed_row.c{i}")).alias(n) for i, n in enumerate(like.columns)))
+def restored(df: DataFrame, like: DataFrame, replaced: dict[str, Column] | None = None, added: dict[str, Column] | None = None) -> DataFrame:
+    """Rows of ``like`` again from ``packed_row``; ``replaced`` gives columns new values.
+
+    ``added`` columns come last; they take the place of columns of ``like`` with the same name in any case.
+    """
+    at = {place(like, n): c for n, c in (replaced or {}).items()}
+    new = {n.lower() for n in added or {}}
+    kept = [at.get(i, F.col(f"packed_row.c{i}")).alias(n) for i, n in enumerate(like.columns) if n.lower() not in new]
+    return df.select(*kept, *(c.alias(n) for n, c in (added or {}).items()))
 
 
 def fold(doc_id: str = "doc_id") -> Column:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import packed, pick
+from parley.llm.common import packed, pick, restored
 
 #: Items of one shard of the index, on average; bounds what travels to the tasks.
 SHARD_ITEMS = 20_000
@@ -227,7 +227,7 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = packed(documents, "text")
     for index in indexes(benchmark):
         rows = rows.where(_is_clean(index)(F.col("text")))
-    return rows.select(*(F.col(f"packed_row.c{i}").alias(n) for i, n in enumerate(documents.columns)))
+    return restored(rows, documents)
 
 
 def _is_clean(index: Index):

@@ -12,7 +12,7 @@ task; joins on a hot line have narrow rows and are split by the engine.
 
 Defined results: a document is its (doc_id, text); repeated rows are one document and get the same text. Null text stays
 null, empty text empty. Lines of fewer than ``SHORTEST`` words are never dropped. A null id comes before all others. Other
-columns pass through, whatever their names. ``n_lines`` and ``n_dropped`` count the lines of a text and those dropped.
+columns pass through, whatever their names (but for any called n_lines or n_dropped). ``n_lines`` and ``n_dropped`` count the lines of a text and those dropped.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import packed, place
+from parley.llm.common import packed, place, restored
 from parley.session import stage
 
 #: Leading words that choose a leaf; words of the shortest line that can recur; share of fixed words that makes a template.
@@ -101,15 +101,31 @@ def recurring(docs: DataFrame) -> DataFrame:
     return dropped.groupBy(*DOC).agg(F.collect_set("place").alias("drop"))
 
 
-def drop_recurring(documents: DataFrame) -> DataFrame:
-    """documents without recurring lines, with n_lines and n_dropped as last columns."""
+def _deduplicated(documents: DataFrame) -> DataFrame:
+    """Packed rows with their new text, n_lines and n_dropped."""
     rows = _key(packed(documents, "doc_id", "text"))
     drops = recurring(rows.select(*DOC, "text").where("text IS NOT NULL"))
-    joined = _same(rows, drops, DOC, "left")
-    lines = F.split("text", "\n", -1)
+    joined = _same(rows, drops, DOC, "left").withColumn("lines", F.split("text", "\n", -1))
     keep = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
-    out = joined.withColumn("lines", lines).withColumn("new", F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.get("lines", i)), "\n")))
-    at = place(documents, "text")
-    names = [F.col("new").alias(n) if i == at else F.col(f"packed_row.c{i}").alias(n) for i, n in enumerate(documents.columns)]
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
-    return out.select(*names, n_lines.cast("int").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("int").alias("n_dropped"))
+    new = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.get("lines", i)), "\n"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("int")
+    n_dropped = F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("int")
+    return joined.select("packed_row", new.alias("text"), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+
+
+def drop_recurring(documents: DataFrame) -> DataFrame:
+    """documents without recurring lines, with n_lines and n_dropped as last columns."""
+    return restored(_deduplicated(documents), documents, {"text": F.col("text")}, {"n_lines": F.col("n_lines"), "n_dropped": F.col("n_dropped")})
+
+
+def keep_rest(documents: DataFrame, length: str = "n_chars") -> DataFrame:
+    """documents without recurring lines, in their own columns; the column of lengths follows the text.
+
+    A document that consists of nothing but recurring lines goes; one that was empty before stays.
+    """
+    rows = _deduplicated(documents).where((F.col("n_dropped") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    replaced = {"text": F.col("text")}
+    if length in documents.columns:
+        old = F.col(f"packed_row.c{place(documents, length)}")
+        replaced[length] = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(old).cast(documents.schema[place(documents, length)].dataType)
+    return restored(rows, documents, replaced)

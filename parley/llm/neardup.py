@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import packed, pick
+from parley.llm.common import packed, pick, restored
 from parley.llm.lines import _same
 from parley.session import stage
 
@@ -195,4 +195,4 @@ def keep_one(documents: DataFrame) -> DataFrame:
     rows = packed(documents, "doc_id", "text").withColumn("mark", F.xxhash64("text"))
     gone = near_duplicates(documents).where(~F.col("kept")).select("doc_id", "mark").distinct()
     kept = rows.withColumn("doc_id", F.col("doc_id").cast("long")).join(gone.select(F.col("doc_id").alias("g"), F.col("mark").alias("h")), F.col("doc_id").eqNullSafe(F.col("g")) & (F.col("mark") == F.col("h")), "left_anti")
-    return kept.select(*(F.col(f"packed_row.c{i}").alias(n) for i, n in enumerate(documents.columns)))
+    return restored(kept, documents)

@@ -196,8 +196,8 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def ratios(found: list[Block]) -> list[float]:
-    """Smoothed, fused tag-path ratio of every block."""
+def ratios(found: list[Block]) -> tuple[list[float], list[float]]:
+    """Fused tag-path ratio of every block, as it is and smoothed in page order."""
     total: dict[int, list[float]] = {}
     for b in found:
         t = total.setdefault(b.path, [0, 0, 0, 0])
@@ -208,7 +208,7 @@ def ratios(found: list[Block]) -> list[float]:
     fused = {p: math.log1p(chars / n) * (1 + math.log1p(marks / n)) * (1 - linked / chars) ** 2 for p, (chars, marks, linked, n) in total.items()}
     line = [fused[b.path] for b in found]
     half = len(SMOOTH) // 2
-    return [sum(w * line[j] for j, w in zip(range(i - half, i + half + 1), SMOOTH, strict=True) if 0 <= j < len(line)) for i in range(len(line))]
+    return line, [sum(w * line[j] for j, w in zip(range(i - half, i + half + 1), SMOOTH, strict=True) if 0 <= j < len(line)) for i in range(len(line))]
 
 
 def extract(page: str | None) -> str:
@@ -216,9 +216,9 @@ def extract(page: str | None) -> str:
     found = blocks(page) if page else []
     if not found:
         return ""
-    smooth = ratios(found)
+    own, smooth = ratios(found)
     most = max((r for r, b in zip(smooth, found, strict=True) if b.keep), default=0.0)
-    seeds = [b for r, b in zip(smooth, found, strict=True) if b.keep and r >= SEED * most]
+    seeds = [b for r, o, b in zip(smooth, own, found, strict=True) if b.keep and r >= SEED * most and o >= SEED * SEED * most]
     if not seeds:
         return ""
     marked: dict[int, int] = {}
@@ -237,7 +237,8 @@ def extract(page: str | None) -> str:
     at = {id(b) for b in seeds}
     places = [i for i, b in enumerate(found) if id(b) in at]
     first, last = places[0], places[-1]
-    return "\n".join(found[i].text for i in inside if found[i].path in paths or found[i].node.name in HEADINGS or (first <= i <= last and 2 * found[i].links < len(found[i].text)))
+    prose = [i for i in inside if 2 * found[i].links < len(found[i].text)]
+    return "\n".join(found[i].text for i in prose if first <= i <= last or found[i].path in paths or found[i].node.name in HEADINGS)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -20,7 +20,8 @@ secret     access key ids; values named password, token, ...      name, length,
 =========  =====================================================  ==========================================================
 
 Defined results: a null text stays null with no finds; an empty text stays empty; rows are independent of each other, so
-repeated rows get the same text; other columns pass through unchanged, whatever their names. Text that no check accepts,
+repeated rows get the same text; other columns pass through unchanged, whatever their names (one
+named n_replaced gives way). Text that no check accepts,
 such as a number with a wrong check digit, is not touched.
 """
 
@@ -29,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import packed, unpacked
+from parley.llm.common import packed, restored
 
 ROUNDS = 8
 
@@ -236,7 +237,7 @@ def pseudonym(m: Column, key: str, inverse: bool = False) -> Column:
 
 
 def pseudonymise(df: DataFrame, key: str, text: str = "text", inverse: bool = False) -> DataFrame:
-    """df with pseudonyms in its text column, and the number of values replaced as last column ``n_replaced``."""
+    """df with pseudonyms in its text column, and as last column ``n_replaced``, the number of values replaced."""
     rows = packed(df, text)
     whole = F.col(text)
     maybe = whole.rlike("[0-9@=:]")  # no type goes without one of these
@@ -246,10 +247,4 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", inverse: bool = Fa
     joined = F.array_join(F.zip_with(around, "new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     n = F.coalesce(F.size(F.filter(F.zip_with("found", "new", lambda a, b: a != b), lambda x: x)), F.lit(0))
     changed = F.when(F.size("found") > 0, joined).otherwise(whole)
-    out = rows.select("packed_row", changed.alias(text), F.when(F.col("found").isNull(), 0).otherwise(n).cast("int").alias("n_replaced"))
-    return unpacked(out.withColumnRenamed(text, "packed_text").withColumnRenamed("n_replaced", "packed_n"), df, **{text: F.col("packed_text")}) if "n_replaced" in df.columns else _with_count(out, df, text)
-
-
-def _with_count(out: DataFrame, df: DataFrame, text: str) -> DataFrame:
-    kept = [F.col(f"packed_row.c{i}").alias(n) if n != text else F.col(text) for i, n in enumerate(df.columns)]
-    return out.select(*kept, "n_replaced")
+    return restored(rows, df, {text: changed}, {"n_replaced": F.when(F.col("found").isNull(), 0).otherwise(n).cast("int")})

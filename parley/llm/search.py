@@ -115,8 +115,8 @@ def top_of_block(queries, candidates, k: int) -> tuple[np.ndarray, np.ndarray, n
         who = np.repeat(np.arange(b - a), np.diff(q_ends[a : b + 1]))
         by_term = np.argsort(q_terms[lo:hi], kind="stable")
         term, who, weight = q_terms[lo:hi][by_term], who[by_term], q_weights[lo:hi][by_term]
-        starts = np.flatnonzero(np.diff(term, prepend=-1))
-        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(term)], strict=True):
+        starts = np.flatnonzero(np.diff(term, prepend=-1)).tolist()
+        for s, e in zip(starts, [*starts[1:], len(term)][: len(starts)], strict=True):
             if (found := postings.get(int(term[s]))) is None:
                 continue
             at, w = found

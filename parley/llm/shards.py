@@ -126,7 +126,7 @@ def shard_documents(df: DataFrame, shards: int = 40, slots: int = SLOTS) -> tupl
 
 
 def shard_column(df: DataFrame, slot_map: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """Rows of df with all their columns and the shard that the map gives them, for a partitioned write."""
+    """doc_id and text of df with the shard that the map gives them, for a partitioned write."""
     keyed = pick(df, "doc_id", "text").select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots)).cast("int").alias("virtual_slot"), F.struct("doc_id", "text").alias("record"))
     return keyed.join(F.broadcast(slot_map.select("virtual_slot", "shard")), "virtual_slot").select("record.*", "shard")
 

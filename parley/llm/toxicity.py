@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import fold, pick, share
+from parley.llm.common import fold, packed, pick, restored, share
 from parley.session import stage
 
 #: Labelled rows of each class that learning takes at most, on average.
@@ -284,6 +284,12 @@ def learned(documents: DataFrame, labels: DataFrame) -> Model:
     return fit(documents.where(fold() != 1), labels)
 
 
+def keep_harmless(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The documents scored below the threshold, with all their columns."""
+    rows = score(packed(documents, "doc_id", "text"), learned(pick(documents, "doc_id", "text"), labels))
+    return restored(rows.where(F.col("score") < threshold), documents)
+
+
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted for every document."""
     rows = pick(documents, "doc_id", "text")
