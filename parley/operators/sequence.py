@@ -1,13 +1,11 @@
 """Ordered columns (rank, running totals, lead, lag) that survive one hot key.
 
 ``Window.partitionBy(key).orderBy(...)`` puts every row of a key into one task, and a window without keys puts
-the whole table there. That is fine for keys of a size a task can sort, so a Sequence counts first: rows are
-staged once, and if no key has more than ``parley.hot.rows`` of them, plain windows run on the staged rows.
-
-If some key is larger, rows are range-partitioned by (keys, order) instead, so a key with a third of all rows is
-cut over many segments. Windows then run inside (segment, key); what a segment owes to its predecessors is a
-carry table. A range boundary falls inside at most one key, so the carry has at most two rows per range
-partition: its broadcast is bounded by ``spark.sql.shuffle.partitions`` and does not grow with the data.
+the whole table there. A Sequence range-partitions rows by (keys, order) instead, so a key with a third of all
+rows is cut over many segments, and stages them once: segments must not change between uses. Windows run inside
+(segment, key); what a segment owes to its predecessors is a carry table. A range boundary falls inside at most
+one key, so the carry has at most two rows per range partition: its broadcast is bounded by
+``spark.sql.shuffle.partitions`` and does not grow with the data.
 """
 
 from __future__ import annotations
@@ -21,7 +19,6 @@ from pyspark.sql import functions as F
 from parley.session import stage
 
 SEGMENT = "_segment"
-HOT_ROWS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -67,32 +64,18 @@ def _same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
 
 
-def _has_hot_key(rows: DataFrame, keys: list[str]) -> bool:
-    """Whether a key (or the table, without keys) is too large to be sorted by one task."""
-    limit = int(rows.sparkSession.conf.get("parley.hot.rows", str(HOT_ROWS)))
-    total_rows = rows.count()  # answered from file footers
-    if total_rows <= limit or not keys:
-        return total_rows > limit
-    return not rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).isEmpty()
-
-
 class Sequence:
     """Staged rows with ordered columns per key; ``order`` must be total, ascending."""
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str]):
         self.keys = keys
         self.order = order
-        rows = stage(df)
-        self._whole = not _has_hot_key(rows, keys)
-        if self._whole:
-            self._df = rows.withColumn(SEGMENT, F.lit(0))
-        else:
-            ranged = rows.repartitionByRange(*[F.col(c) for c in keys + order])
-            self._df = stage(ranged.withColumn(SEGMENT, F.spark_partition_id()))
+        ranged = df.repartitionByRange(*[F.col(c) for c in keys + order])
+        self._df = stage(ranged.withColumn(SEGMENT, F.spark_partition_id()))
 
     def _with(self, df: DataFrame) -> Sequence:
         out = object.__new__(Sequence)
-        out.keys, out.order, out._df, out._whole = self.keys, self.order, df, self._whole
+        out.keys, out.order, out._df = self.keys, self.order, df
         return out
 
     @property
@@ -161,9 +144,6 @@ class Sequence:
 
         body = self._df.withColumns(local)
         keep = [c for c in self._df.columns if c not in specs]
-        if self._whole:
-            alone = body.withColumns({f"_c_{n}": F.lit(None).cast(body.schema[f"_l_{n}"].dataType) for n in specs})
-            return self._with(alone.select(*keep, *[c.alias(n) for n, c in final.items()]))
         on = [SEGMENT, *self.keys]
         carry = (
             self._straddling().groupBy(*on).agg(*aggs)
