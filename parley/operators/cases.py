@@ -40,27 +40,29 @@ RESOLVED = ["accepted", "declined", "expired", "finalized"]
 POST_DECISION = "observed_action later_outcomes outcomes adherence target label actual_action".split()
 
 
-def history_mark() -> Column:
-    """32-bit content mark of one turn as history shows it; marks add up to a digest of a prefix."""
-    body = F.concat_ws("|", "actor", "action", F.floor(c("amount") * 1000))
-    return F.conv(F.substring(F.sha2(body, 256), 1, 8), 16, 10).cast("bigint")
+def history_mark(half: int) -> Column:
+    """60 bits of the content hash of one turn at its place in the thread; a missing amount is told from any other."""
+    amount = F.coalesce(F.floor(c("amount") * 1000).cast("string"), F.lit("none"))
+    body = F.concat_ws("|", c("turn_index").cast("string"), F.coalesce("actor", F.lit("")), F.coalesce("action", F.lit("")), amount)
+    return F.conv(F.substring(F.sha2(body, 256), 1 + 15 * half, 15), 16, 10).cast("decimal(38,0)")
 
 
 def turn_features(turns: DataFrame, order: list[str], thread: str = "thread_id") -> DataFrame:
     """Position, look-ahead and prior counts of every turn; turns carry their listing's columns.
 
-    One range shuffle serves all of them, and a hot thread is cut over many segments.
+    One range shuffle serves all of them, and a hot thread is cut over many segments. The digest of a history is the sum
+    of 120-bit marks of (place, turn), so histories with the same turns in another order differ.
     """
-    seq = Sequence(turns.withColumn("_mark", history_mark()), [thread], order).add(
+    seq = Sequence(turns, [thread], order).add(
         turn_index=rank(),
         next_actor=lead(c("actor")),
         next_action=lead(c("action")),
         next_time=lead(c("event_time")),
         prior_counters=running_sum(F.when(c("action") == "counter", 1).otherwise(0), inclusive=False),
-        history_digest=running_sum(c("_mark")),
     )
+    seq = seq.map(_mark_a=history_mark(0), _mark_b=history_mark(1)).add(_sum_a=running_sum(c("_mark_a")), _sum_b=running_sum(c("_mark_b")))
     usable = (c("amount") != 0) & (c("listing_price") != 0)
-    return seq.frame.drop("_mark").withColumns(
+    return seq.frame.withColumn("history_digest", F.concat_ws("-", c("_sum_a").cast("string"), c("_sum_b").cast("string"))).drop("_mark_a", "_mark_b", "_sum_a", "_sum_b").withColumns(
         {
             "prior_turns": c("turn_index") - 1,
             "prior_counters": F.coalesce(c("prior_counters"), F.lit(0)).cast("long"),

@@ -40,16 +40,21 @@ turn AS (
          CASE WHEN offer_type = 0 THEN 'offer' ELSE 'counter' END AS action,
          l.seller_id, l.category, l.condition, l.listing_price, l.final_sale_price, l.sold_by_best_offer
   FROM turn0 t JOIN listing l USING (listing_id)),
-numbered AS (
+turn_placed AS (
   SELECT *, row_number() OVER w AS turn_index,
          lead(actor) OVER w AS next_actor, lead(action) OVER w AS next_action, lead(event_time) OVER w AS next_time,
          row_number() OVER w - 1 AS prior_turns,
          coalesce(sum(CASE WHEN action = 'counter' THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prior_counters,
-         amount / listing_price AS offer_ratio,
-         sum(('0x' || substr(sha256(actor || '|' || action || '|' || floor(amount * 1000)::BIGINT::VARCHAR), 1, 8))::BIGINT)
-           OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS history_digest
+         amount / listing_price AS offer_ratio
   FROM turn
-  WINDOW w AS (PARTITION BY thread_id ORDER BY event_time, offer_type, amount, event_id))
+  WINDOW w AS (PARTITION BY thread_id ORDER BY event_time, offer_type, amount, event_id)),
+turn_marked AS (
+  SELECT *, sha256(turn_index || '|' || coalesce(actor, '') || '|' || coalesce(action, '') || '|' || coalesce(floor(amount * 1000)::BIGINT::VARCHAR, 'none')) AS mark
+  FROM turn_placed),
+numbered AS (
+  SELECT * EXCLUDE (mark), sum(('0x' || substr(mark, 1, 15))::BIGINT::HUGEINT) OVER u || '-' || sum(('0x' || substr(mark, 16, 15))::BIGINT::HUGEINT) OVER u AS history_digest
+  FROM turn_marked
+  WINDOW u AS (PARTITION BY thread_id ORDER BY turn_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 """
 
 CASES = TURN + """,

@@ -83,3 +83,17 @@ def test_utterances(spark):
     assert [r["price"] for r in K.price_sequence(facts, "d", "t").orderBy("place").collect()] == [120.0, 95.0, 100.0]
     out = K.extraction_accuracy(facts, "want", "want_act").first()
     assert out["offer_accuracy"] == 1.0 and out["act_accuracy"] == 1.0 and out["ambiguous"] == 1
+
+
+def test_histories_in_another_order_have_other_digests(spark):
+    """Equal turns in another order, and missing amounts, give other histories and tokens."""
+    turns = {
+        "a": [("buyer", "offer", 10.0), ("seller", "counter", 20.0), ("seller", "counter", 15.0), ("buyer", "offer", 1.0)],
+        "b": [("seller", "counter", 20.0), ("buyer", "offer", 10.0), ("seller", "counter", 15.0), ("buyer", "offer", 1.0)],
+        "c": [("buyer", "offer", None), ("seller", "counter", 20.0), ("seller", "counter", 15.0), ("buyer", "offer", 1.0)],
+        "d": [("buyer", "offer", 10.0), ("seller", "counter", 20.0), ("seller", "counter", 15.0), ("buyer", "offer", 1.0)],
+    }
+    rows = [(t, i, *turn) for t, items in turns.items() for i, turn in enumerate(items)]
+    df = spark.createDataFrame(rows, "thread_id string, event_time int, actor string, action string, amount double").withColumn("listing_price", F.lit(100.0))
+    last = {r.thread_id: r.history_digest for r in K.turn_features(df, ["event_time"]).filter("turn_index = 4").collect()}
+    assert last["a"] == last["d"] and len({last["a"], last["b"], last["c"]}) == 3
