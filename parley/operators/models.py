@@ -372,8 +372,8 @@ def predict_recent(df: DataFrame, train: DataFrame, ts: str, key: str, k: int =
     return df.withColumn("p", last.agg(smoothed_rate(F.sum("target"), F.count("*"))).scalar())
 
 
-def threshold_candidates(train: DataFrame, names: list[str], limit: int = 25) -> DataFrame:
-    """In-sample log loss of up to ``limit`` cut points per variable.
+def threshold_candidates(train: DataFrame, names: list[str], limit: int | None = None) -> DataFrame:
+    """In-sample log loss of every cut point of each variable, or of ``limit`` evenly spaced ones.
 
     Cut points lie between neighbouring distinct values; what lies on each side comes from running
     sums over those values, so rows are aggregated once and never paired with candidates.
@@ -383,12 +383,12 @@ def threshold_candidates(train: DataFrame, names: list[str], limit: int = 25) ->
     seq = Sequence(values, ["name"], ["value"]).add(
         _pos=rank(), _m=total(), _next=lead(c("value")), low_n=running_sum(c("n")), low_k=running_sum(c("k")), _n=total(c("n")), _k=total(c("k"))
     ).frame
-    cuts = c("_m") - 1
-    step = F.when(cuts > limit, (cuts - 1) / F.lit(float(limit - 1)))
-    # cut number j (from 0) is taken if it is the rounded position of one of the ``limit`` even steps
-    j = c("_pos") - 1
-    near = F.array(*[F.bround(step * i, 0).cast("long") for i in range(limit)])
-    rows = seq.filter(c("_next").isNotNull() & F.coalesce(F.array_contains(near, j), F.lit(True)))
+    rows = seq.filter(c("_next").isNotNull())
+    if limit is not None:
+        cuts = c("_m") - 1
+        step = F.when(cuts > limit, (cuts - 1) / F.lit(float(limit - 1)))
+        near = F.array(*[F.bround(step * i, 0).cast("long") for i in range(limit)])
+        rows = rows.filter(F.coalesce(F.array_contains(near, c("_pos") - 1), F.lit(True)))
     high_n, high_k = c("_n") - c("low_n"), c("_k") - c("low_k")
     low_p, high_p = smoothed_rate(c("low_k"), c("low_n")), smoothed_rate(high_k, high_n)
     loss = -(
@@ -433,14 +433,15 @@ def _square_distance(z: Column, centre: list[float]) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
-def predict_two_state(df: DataFrame, train: DataFrame, names: list[str], max_features: int = 6, rounds: int = 20) -> DataFrame:
+def predict_two_state(df: DataFrame, train: DataFrame, names: list[str], max_features: int | None = None, rounds: int = 20) -> DataFrame:
     """Two clusters of the standardised features; the rate is mixed by closeness to each.
 
-    Only the two centres (at most ``max_features`` numbers each) come to the driver between rounds.
+    Only the two centres (a number per feature each) come to the driver between rounds. A state without
+    training rows has the overall rate.
     """
-    ranked = rank_features(train, names).orderBy(F.desc("association"), "name").limit(max_features)
-    used = [r["name"] for r in ranked.collect()]
-    rows = standardised(train, train, used)
+    strongest = rank_features(train, names).orderBy(F.desc("association"), "name")
+    used = [r["name"] for r in (strongest if max_features is None else strongest.limit(max_features)).collect()]
+    rows = stage(standardised(train, train, used).select("z", "target"))
     first = rows.agg(F.min("z")).first()[0]
     second = rows.agg(F.max_by("z", F.struct(_square_distance(c("z"), first), "z"))).first()[0]
     centres = [list(first), list(second)]
@@ -453,19 +454,19 @@ def predict_two_state(df: DataFrame, train: DataFrame, names: list[str], max_fea
             break
         centres = fresh
     state = F.when(_square_distance(c("z"), centres[0]) <= _square_distance(c("z"), centres[1]), 0).otherwise(1)
+    overall = smoothed_rate(F.sum("target"), F.count("*"))
     rates = rows.select(state.alias("s"), "target").agg(
-        *[smoothed_rate(F.coalesce(F.sum(F.when(c("s") == i, c("target"))), F.lit(0)), F.count_if(c("s") == i)).alias(f"r{i}") for i in (0, 1)]
+        *[F.when(F.count_if(c("s") == i) == 0, overall).otherwise(smoothed_rate(F.sum(F.when(c("s") == i, c("target"))), F.count_if(c("s") == i))).alias(f"r{i}") for i in (0, 1)]
     )
     scored = standardised(df, train, used).withColumn("_r", one_row(rates))
     w = [F.exp(-F.least(_square_distance(c("z"), centre), F.lit(50.0))) for centre in centres]
     return scored.withColumn("p", (w[0] * c("_r.r0") + w[1] * c("_r.r1")) / (w[0] + w[1])).drop("_r", "z")
 
 
-def candidate_terms(train: DataFrame, names: list[str], limit: int = 18) -> dict[str, Column]:
-    """Plain features, indicators of their upper median, and products of the strongest."""
-    ranked = [r["name"] for r in rank_features(train, names).orderBy(F.desc("association"), "name").limit(8).collect()]
-    long = long_features(train, [], ranked[:6])
-    at = cumulative_values(long, "value", ["name"])
+def candidate_terms(train: DataFrame, names: list[str], limit: int | None = None) -> dict[str, Column]:
+    """Plain features, indicators of their upper median, and products of two, strongest features first."""
+    ranked = [r["name"] for r in rank_features(train, names).orderBy(F.desc("association"), "name").collect()]
+    at = cumulative_values(long_features(train, [], ranked), "value", ["name"])
     middle = F.floor(c("_total") / 2)
     picks = at.filter((middle >= c("_cum") - c("_n")) & (middle < c("_cum")))
     cuts = {r["name"]: r["value"] for r in picks.collect()}
@@ -474,13 +475,17 @@ def candidate_terms(train: DataFrame, names: list[str], limit: int = 18) -> dict
         return F.coalesce(c(x).cast("double"), F.lit(0.0))
 
     out = {x: v(x) for x in ranked}
-    out.update({f"indicator({x} > {cuts[x]:.6g})": F.when(v(x) > cuts[x], 1.0).otherwise(0.0) for x in ranked[:6] if x in cuts})
-    out.update({f"{a} * {b}": v(a) * v(b) for i, a in enumerate(ranked[:5]) for b in ranked[i + 1 : 5]})
+    out.update({f"indicator({x} > {cuts[x]:.6g})": F.when(v(x) > cuts[x], 1.0).otherwise(0.0) for x in ranked if x in cuts})
+    out.update({f"{a} * {b}": v(a) * v(b) for i, a in enumerate(ranked) for b in ranked[i + 1 :]})
     return dict(list(out.items())[:limit])
 
 
-def forward_select(train: DataFrame, dev: DataFrame, names: list[str], max_terms: int = 5, limit: int = 18, l2: float = 0.01) -> tuple[list[str], DataFrame]:
-    """Greedy choice of formula terms by development log loss; every fit is a distributed logistic regression."""
+def forward_select(train: DataFrame, dev: DataFrame, names: list[str], max_terms: int = 5, limit: int | None = None, l2: float = 0.01) -> tuple[list[str], DataFrame]:
+    """Greedy choice of formula terms; a term stays as long as the development log loss falls.
+
+    All candidates of a round are judged in one pass over the training rows by their score statistic (what one Newton
+    step from the present model would gain); only the winner is fitted, by a distributed logistic regression.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -495,27 +500,37 @@ def forward_select(train: DataFrame, dev: DataFrame, names: list[str], max_terms
     # every fit reads them again, so they are staged once
     a, b = stage(built(train).withColumn("_y", c("target").cast("double"))), stage(built(dev))
 
-    def scored(chosen: list[str]) -> DataFrame:
+    def fitted(chosen: list[str]):
         vector = VectorAssembler(inputCols=chosen, outputCol="_v")
         model = LogisticRegression(featuresCol="_v", labelCol="_y", regParam=l2, maxIter=40).fit(vector.transform(a))
-        return model.transform(vector.transform(b)).withColumn("p", F.get(vector_to_array("probability"), F.lit(1)))
+        return lambda df: model.transform(vector.transform(df)).withColumn("p", F.get(vector_to_array("probability"), F.lit(1)))
 
     def loss(df: DataFrame) -> float:
         p = clip(c("p"), 1e-6, 1 - 1e-6)
         return df.agg(F.avg(-(c("target") * F.log(p) + (1 - c("target")) * F.log(1 - p)))).first()[0]
 
+    def gains(df: DataFrame, open_terms: list[str]) -> dict[str, float]:
+        w = c("p") * (1 - c("p"))
+        sums = [F.sum(w).alias("_w")]
+        for x in open_terms:
+            sums += [F.sum(c(x) * (c("_y") - c("p"))).alias(f"u_{x}"), F.sum(w * c(x)).alias(f"m_{x}"), F.sum(w * c(x) * c(x)).alias(f"i_{x}")]
+        row = df.agg(*sums).first()
+        spread = {x: row[f"i_{x}"] - row[f"m_{x}"] ** 2 / max(row["_w"], 1e-12) for x in open_terms}
+        return {x: row[f"u_{x}"] ** 2 / spread[x] if spread[x] > 1e-9 else 0.0 for x in open_terms}
+
     chosen: list[str] = []
-    best = float("inf")
+    best, model = float("inf"), None
+    base = a.agg(F.avg("_y")).scalar()
     for _ in range(min(max_terms, len(plain))):
-        tries = {x: loss(scored([*chosen, x])) for x in plain if x not in chosen}
-        x = min(tries, key=tries.get)
-        if tries[x] >= best - 1e-8:
+        now = model(a) if model else a.withColumn("p", base)
+        gain = gains(now, [x for x in plain if x not in chosen])
+        x = max(gain, key=lambda k: (gain[k], -list(plain).index(k)))
+        tried = fitted([*chosen, x])
+        fell = loss(tried(b))
+        if fell >= best - 1e-8:
             break
-        chosen.append(x)
-        best = tries[x]
-    if not chosen:
-        chosen = list(plain)[:1]
-    out = scored(chosen).select(*dev.columns, "p")
+        chosen, best, model = [*chosen, x], fell, tried
+    out = model(b).select(*dev.columns, "p")
     return [label[x] for x in chosen], out
 
 

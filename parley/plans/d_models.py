@@ -347,7 +347,7 @@ run AS (
   FROM vals WINDOW w AS (PARTITION BY name ORDER BY value)),
 cand AS (
   SELECT name, (value + nxt) / 2 AS threshold, (lk + 1.0) / (ln + 2.0) AS a, (tk - lk + 1.0) / (tn - ln + 2.0) AS b, ln, lk, tn, tk
-  FROM run WHERE nxt IS NOT NULL AND (m - 1 <= 25 OR pos - 1 IN (SELECT round_even(i * (m - 2) / 24.0::DOUBLE, 0) FROM range(25) s(i)))),
+  FROM run WHERE nxt IS NOT NULL),
 loss AS (
   SELECT *, -(lk * ln(a) + (ln - lk) * ln(1 - a) + (tk - lk) * ln(b) + (tn - ln - tk + lk) * ln(1 - b)) / tn AS log_loss FROM cand)
 """
@@ -386,8 +386,7 @@ def d12(t: Tables) -> DataFrame:
 @query("d13_forward_select")
 def d13(t: Tables) -> DataFrame:
     train, dev = regions(B.case_reg(t))
-    # a small search keeps the smoke run short; the defaults search 18 terms for 5 places
-    return E.score_binary(M.forward_select(train, dev, B.REG_NAMES, max_terms=2, limit=6)[1])
+    return E.score_binary(M.forward_select(train, dev, B.REG_NAMES)[1])
 
 
 @query(

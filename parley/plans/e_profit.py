@@ -193,13 +193,13 @@ def e12(t: Tables) -> DataFrame:
     "e13_margin_counterexamples",
     P
     + """
-    SELECT order_id, margin::DOUBLE AS margin, CASE WHEN margin < 0 THEN 'negative_margin' ELSE 'lowest_observed_margin' END AS reason FROM facts
-    WHERE margin IS NOT NULL AND (margin < 0 OR (SELECT count(*) FROM facts WHERE margin < 0) = 0) ORDER BY margin, order_id LIMIT 5
+    SELECT order_id, margin::DOUBLE AS margin, CASE WHEN margin < 0 THEN 'negative_margin' ELSE 'lowest_observed_margin' END AS reason,
+           row_number() OVER (ORDER BY margin, order_id) AS rank FROM facts WHERE margin IS NOT NULL
     """,
 )
 def e13(t: Tables) -> DataFrame:
     rows = R.margin_counterexamples(R.order_facts(pilot(t), as_of()))
-    return rows.select("order_id", c("margin").cast(D).alias("margin"), "reason")
+    return rows.select("order_id", c("margin").cast(D).alias("margin"), "reason", "rank")
 
 
 @query(
@@ -319,7 +319,7 @@ def e17(t: Tables) -> DataFrame:
     SELECT * FROM (
       SELECT k::VARCHAR AS decision_id, CASE WHEN taken IN ('decline', 'wait') AND offered IS NOT NULL AND margin <= 0 THEN 'retrospective_positive_offer_was_not_closed'
              WHEN has_outcome AND taken = 'accept' AND k % 13 = 0 THEN 'accepted_order_later_returned' END AS reason FROM judged)
-    WHERE reason IS NOT NULL ORDER BY decision_id LIMIT 10
+    WHERE reason IS NOT NULL
     """,
 )
 def e18(t: Tables) -> DataFrame:
@@ -510,20 +510,19 @@ def e11_shadow_gate(t: Tables) -> DataFrame:
     "e11_abstention_reasons",
     ctes(PILOT, GAPS)
     + """
-    SELECT 'cost_coverage' AS check, 'cost-basis coverage is below threshold' AS reason FROM facts
-    HAVING (count(*) - (SELECT count(*) FROM gaps WHERE gap = 'missing_cost_basis')) / count(*) < 0.95 UNION ALL
-    SELECT 'fee_coverage', 'fee coverage is below threshold' FROM facts HAVING (count(*) - (SELECT count(*) FROM gaps WHERE gap = 'missing_fee')) / count(*) < 0.95 UNION ALL
-    SELECT 'shipping_coverage', 'shipping-cost coverage is below threshold' FROM facts HAVING (count(*) - (SELECT count(*) FROM gaps WHERE gap = 'missing_shipping')) / count(*) < 0.95 UNION ALL
-    SELECT 'mature_margins', 'not enough mature buyer-initiated offer outcomes' FROM facts HAVING count(margin) < 30 UNION ALL
-    SELECT 'return_window_coverage', 'return-window maturity coverage is below threshold' FROM facts
-    HAVING count(CASE WHEN completed AND matured THEN 1 END) / count(CASE WHEN completed THEN 1 END) < 0.8 UNION ALL
-    SELECT 'decision_history_coverage', 'decision-history coverage is below threshold' FROM p_offer
-    HAVING count(CASE WHEN seller_response IS NOT NULL AND seller_response_time IS NOT NULL THEN 1 END) / count(*) < 0.8
+    , g AS (
+      SELECT 'cost_coverage' AS "check", (count(*) - (SELECT count(*) FROM gaps WHERE gap = 'missing_cost_basis'))::DOUBLE / count(*) AS seen, 0.95::DOUBLE AS asked FROM facts UNION ALL
+      SELECT 'fee_coverage', (count(*) - (SELECT count(*) FROM gaps WHERE gap = 'missing_fee'))::DOUBLE / count(*), 0.95 FROM facts UNION ALL
+      SELECT 'shipping_coverage', (count(*) - (SELECT count(*) FROM gaps WHERE gap = 'missing_shipping'))::DOUBLE / count(*), 0.95 FROM facts UNION ALL
+      SELECT 'mature_margins', count(margin)::DOUBLE, 30 FROM facts UNION ALL
+      SELECT 'return_window_coverage', count(CASE WHEN completed AND matured THEN 1 END)::DOUBLE / count(CASE WHEN completed THEN 1 END), 0.8 FROM facts UNION ALL
+      SELECT 'decision_history_coverage', count(CASE WHEN seller_response IS NOT NULL AND seller_response_time IS NOT NULL THEN 1 END)::DOUBLE / count(*), 0.8 FROM p_offer)
+    SELECT "check", round(seen, 6) AS seen, asked FROM g WHERE seen < asked
     """,
 )
 def e11_reasons(t: Tables) -> DataFrame:
     p = pilot(t)
-    return R.abstention_reasons(R.readiness_gate(p.offers, R.order_facts(p, as_of())))
+    return six(R.abstention_reasons(R.readiness_gate(p.offers, R.order_facts(p, as_of()))), "seen")
 
 
 @query(
