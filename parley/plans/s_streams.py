@@ -40,11 +40,11 @@ def s01(t: Tables) -> DataFrame:
 
 @query(
     "s02_stream_prospective",
-    ctes(FREEZE) + f"SELECT case_id, split, freeze_id FROM ({ARRIVAL_SQL})",
+    ctes(FREEZE) + ARRIVAL_SQL,
 )
 def s02(t: Tables) -> DataFrame:
-    rows = arrivals(Live(t)).filter(c("event_type") != "purchase")
-    return Z.run_to_folder(Z.stream_prospective(rows, freezes(t)).select("case_id", "split", "freeze_id"))
+    assigned = arrivals(t).filter(c("event_type") == "purchase")
+    return Z.run_to_folder(Z.stream_prospective(arrivals(Live(t)), freezes(t), assigned).select("case_id", "split", "policy", "freeze_id"))
 
 
 @query(

@@ -1,6 +1,8 @@
 """Continuous forms of ingest, classification, action mix and overdue detection.
 
-Every query runs with an available-now trigger as well as continuously; state is bounded by watermarks.
+Streams are started with any trigger and give back the query handle; the forms that return a frame run over what is
+there now. Aggregates bound their state by watermarks. Ingest forgets nothing: it keeps the hashes of the rows it has
+seen in the shared folder, by day, and a batch reads the days of its own rows only.
 """
 
 from __future__ import annotations
@@ -10,8 +12,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from parley.operators.ingest import decode_turns
+from parley.operators.splits import classify_new_rows
 from parley.session import staging_root
 
 c = F.col
@@ -21,49 +25,69 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, schema: T.Struct
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
+def start_to_folder(df: DataFrame, root: str, mode: str = "append", trigger: dict | None = None) -> StreamingQuery:
+    """Write a stream to ``root``/out with its state beside it; trigger as for DataStreamWriter.trigger."""
+    writer = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{root}/state")
+    return writer.trigger(**(trigger or {"availableNow": True})).start(f"{root}/out")
+
+
+def _new_root(spark: SparkSession) -> str:
+    return f"{staging_root(spark)}/stream-{uuid.uuid4().hex}"
+
+
 def run_to_folder(df: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now into a Parquet folder and read that folder."""
     spark = df.sparkSession
-    root = f"{staging_root(spark)}/stream-{uuid.uuid4().hex}"
-    query = (
-        df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out")
-    )
-    query.awaitTermination()
+    root = _new_root(spark)
+    start_to_folder(df, root, mode).awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{root}/out")
 
 
-def without_copies(raw: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Exact copies are dropped for as long as the watermark remembers them: state stays bounded."""
-    body = F.sha2(F.to_json(F.struct(*raw.columns)), 256)
-    return raw.withColumn("_copy", body).withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["_copy"]).drop("_copy")
+SEEN = T.StructType([T.StructField("copy", T.StringType()), T.StructField("day", T.DateType()), T.StructField("batch", T.LongType())])
 
 
-def stream_turns(raw: DataFrame, watermark: str = "1 hour") -> tuple[DataFrame, DataFrame]:
-    """Decoded turns and quarantined ones as two folders.
+def start_turns(raw: DataFrame, root: str, trigger: dict | None = None) -> StreamingQuery:
+    """Decode arriving turns into ``root``/good and ``root``/bad, one folder per micro-batch.
 
-    Each micro-batch is split once and written under its batch id, so a retried batch overwrites itself.
+    Copies have the same event time, so a batch is compared with the hashes of its own days. A retried batch does not see
+    its own first try and overwrites it. However late a row comes, it lands in one of the two folders or is a copy.
     """
     spark = raw.sparkSession
-    root = f"{staging_root(spark)}/stream-{uuid.uuid4().hex}"
+    names = raw.columns
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, bad = decode_turns(batch.persist())
+        body = F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
+        marked = batch.withColumns({"_copy": body, "_day": F.coalesce(F.to_date("event_time"), F.lit("0001-01-01").cast("date"))}).dropDuplicates(["_copy"]).persist()
+        days = [r[0] for r in marked.select("_day").distinct().collect()]
+        fresh = marked
+        if batch_id > 0:
+            seen = spark.read.schema(SEEN).parquet(f"{root}/seen").filter(c("day").isin(days) & (c("batch") < batch_id))
+            fresh = marked.join(seen, c("_copy") == c("copy"), "left_anti")
+        fresh = fresh.persist()
+        fresh.select(c("_copy").alias("copy"), c("_day").alias("day")).write.mode("overwrite").partitionBy("day").parquet(f"{root}/seen/batch={batch_id}")
+        good, bad = decode_turns(fresh.drop("_copy", "_day"))
         good.write.mode("overwrite").parquet(f"{root}/good/batch={batch_id}")
         bad.write.mode("overwrite").parquet(f"{root}/bad/batch={batch_id}")
-        batch.unpersist()
+        fresh.unpersist()
+        marked.unpersist()
 
-    unique = without_copies(raw, watermark)
-    unique.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    writer = raw.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state")
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def stream_turns(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Decoded turns and quarantined ones of all that is there now."""
+    spark = raw.sparkSession
+    root = _new_root(spark)
+    start_turns(raw, root).awaitTermination()
     return spark.read.parquet(f"{root}/good"), spark.read.parquet(f"{root}/bad")
 
 
-def stream_prospective(rows: DataFrame, freezes: DataFrame) -> DataFrame:
-    """Arriving rows against the latest freeze of their campaign: prospective only if decided and ingested after it."""
-    latest = freezes.groupBy("campaign_id").agg(F.max_by(F.struct("freeze_id", "data_cutoff_time", "frozen_at"), "seq").alias("f"))
-    late = (c("decision_time") > c("f.data_cutoff_time")) & (c("eligibility_recorded_at") > c("f.frozen_at"))
-    return rows.join(latest, "campaign_id", "left").withColumns(
-        {"split": F.when(late, "prospective").otherwise("staging"), "freeze_id": F.when(late, c("f.freeze_id"))}
-    ).drop("f")
+def stream_prospective(rows: DataFrame, freezes: DataFrame, assigned: DataFrame | None = None) -> DataFrame:
+    """Arriving rows that are not yet assigned, against the latest freeze of their campaign, as in the batch form."""
+    if assigned is None:
+        assigned = rows.sparkSession.createDataFrame([], rows.select("campaign_id", "case_id").schema)
+    return classify_new_rows(rows, assigned, freezes)
 
 
 def stream_action_mix(turns: DataFrame, width: str = "1 hour", late: str = "2 hours", by: list[str] | None = None) -> DataFrame:
