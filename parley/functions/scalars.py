@@ -106,11 +106,16 @@ def hash_fraction(value: Column) -> Column:
 
 
 def hash_bucket(value: Column, n: int) -> Column:
-    """SHA-256 modulo n for n a power of two, from the last 15 hex digits."""
-    if n < 1 or n & (n - 1):
-        raise ValueError("bucket count must be a power of two")
-    digits = F.conv(F.substring(F.sha2(value.cast("string"), 256), 50, 15), 16, 10)
-    return F.pmod(digits.cast("bigint"), F.lit(n)).cast("int")
+    """SHA-256 modulo n, folded from the left in pieces of 32 bits."""
+    if not 1 <= n < 1 << 31:
+        raise ValueError("bucket count must be from 1 to 2^31 - 1")
+    digest = F.sha2(value.cast("string"), 256)
+    out = F.lit(0).cast("bigint")
+    # a power of two leaves only the last piece
+    for at in range(57 if n & (n - 1) == 0 else 1, 58, 8):
+        piece = F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint")
+        out = (out * F.lit(1 << 32) + piece) % n
+    return out.cast("int")
 
 
 def secret_like(value: Column) -> Column:

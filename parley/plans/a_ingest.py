@@ -610,9 +610,9 @@ def a25(t: Tables) -> DataFrame:
     "a25_mask_secret_spans",
     r"""
     SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text,
-      '(?i)((?:[?&]|^)(?:api[_-]?key|auth|authorization|credential|credentials|key|map[_-]?key|password|secret|session|sig|signature|token|access[_-]?token)=)[^&\s]+', '\1[REDACTED]', 'g'),
-      '(?i)((?:authorization|auth|api[_-]?key|x-api-key|token)\s*:\s*(?:bearer\s+)?)[^\s,;]+', '\1[REDACTED]', 'g'),
-      '(?i)(bearer\s+)[^\s,;]+', '\1[REDACTED]', 'g')) AS digest FROM documents
+      '(?i)((?:\A|[?&;])(?:[a-z0-9]+[_-]){0,3}(?:key|token|secret|password|passwd|credentials?|auth(?:orization)?|session|sig(?:nature)?)=)[^\s&;]+', '\1[REDACTED]', 'g'),
+      '(?i)(\b(?:[a-z0-9]+[_-]){0,3}(?:key|token|secret|password|passwd|credentials?|auth(?:orization)?|session|sig(?:nature)?):[ \t]*(?:(?:bearer|basic)[ \t]+)?)[^\s,;]+', '\1[REDACTED]', 'g'),
+      '(?i)(\b(?:bearer|basic)[ \t]+)[A-Za-z0-9._~+/=-]{6,}', '\1[REDACTED]', 'g')) AS digest FROM documents
     """,
 )
 def a25_mask(t: Tables) -> DataFrame:

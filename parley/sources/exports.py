@@ -17,6 +17,20 @@ def format_of(path: str) -> str:
     raise ValueError(f"no reader for {path}")
 
 
+def _json(spark: SparkSession, path: str, whole: bool, schema: T.StructType | None) -> DataFrame:
+    """Records of a JSON file: a line or list element each, or the elements of ``rows`` in one object."""
+    reader = spark.read.option("multiLine", whole).option("primitivesAsString", True)
+    if not whole:
+        return (reader.schema(schema) if schema else reader).json(path)
+    if schema:
+        df = reader.schema(T.StructType([*schema.fields, T.StructField("rows", T.ArrayType(schema))])).json(path)
+        plain = F.array(F.struct(*[F.col(f"`{x}`") for x in schema.names]))
+        return df.select(F.inline(F.coalesce("rows", plain)))
+    df = reader.json(path)
+    nested = "rows" in df.columns and isinstance(df.schema["rows"].dataType, T.ArrayType) and isinstance(df.schema["rows"].dataType.elementType, T.StructType)
+    return df.select(F.inline("rows")) if nested else df
+
+
 def scan_export(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """One export as text columns. Without a schema the column names are read from the file."""
     kind = format_of(path)
@@ -26,8 +40,7 @@ def scan_export(spark: SparkSession, path: str, schema: T.StructType | None = No
         reader = spark.read.option("header", True)
         df = (reader.schema(schema) if schema else reader).csv(path)
     else:
-        reader = spark.read.option("multiLine", kind == "json").option("primitivesAsString", True)
-        df = (reader.schema(schema) if schema else reader).json(path)
+        df = _json(spark, path, kind == "json", schema)
     return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
 
 

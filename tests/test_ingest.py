@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.operators import ingest as I
@@ -55,3 +56,26 @@ def test_secrets_in_maps_and_arrays(spark):
     df = spark.createDataFrame([({"api_key": "x", "n": "1"}, ["password=1", "ok"], "plain")], "m map<string,string>, a array<string>, s string")
     row = I.redact_secrets(df, ["m", "a", "s"]).first()
     assert row["m"] == {"api_key": "[REDACTED]", "n": "1"} and row["a"] == ["[REDACTED]", "ok"] and row["s"] == "plain" and row["secret_hit"]
+
+
+def test_json_object_with_rows_and_byte_order_mark(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"rows": [{"id": 1, "v": "x"}, {"id": 2, "v": null}], "note": "n"}')
+    (tmp_path / "b.json").write_text('[{"id": 3, "v": "y"}]')
+    (tmp_path / "c.csv").write_bytes(b"\xef\xbb\xbfid,v\n4,z\n")
+    for schema in (None, T.StructType([T.StructField("id", T.StringType()), T.StructField("v", T.StringType())])):
+        out = scan_exports(spark, [str(tmp_path / x) for x in ("a.json", "b.json", "c.csv")], schema)
+        assert sorted((r.id, r.v) for r in out.collect() if r.v) == [("1", "x"), ("3", "y"), ("4", "z")] and out.count() == 4
+
+
+def test_secret_spans(spark):
+    texts = {
+        "?api_key=abc&x=1": "?api_key=[REDACTED]&x=1",
+        "token=abc": "token=[REDACTED]",
+        "X-Api-Key: abc, next": "X-Api-Key: [REDACTED], next",
+        "Authorization: Bearer abc.def": "Authorization: Bearer [REDACTED]",
+        "sent bearer abcdef123": "sent bearer [REDACTED]",
+        "the monkey: ran": "the monkey: ran",
+        "a bearer of news": "a bearer of news",
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(I.mask_secrets(F.col("t"))).collect()] == list(texts.values())

@@ -27,8 +27,11 @@ def test_bucket_is_the_full_modulus(spark):
     df = spark.range(200).select(F.col("id").cast("string").alias("k"))
     for r in df.select("k", S.hash_bucket(F.col("k"), 64).alias("b")).collect():
         assert r["b"] == int(hashlib.sha256(r["k"].encode()).hexdigest(), 16) % 64
+    for n in (1, 48, 64, 1000, 2**31 - 1):
+        got = [r[0] for r in df.select(S.hash_bucket(F.col("k"), n)).collect()]
+        assert got == [int(hashlib.sha256(str(r["k"]).encode()).hexdigest(), 16) % n for r in df.collect()]
     with pytest.raises(ValueError):
-        S.hash_bucket(F.col("k"), 48)
+        S.hash_bucket(F.col("k"), 0)
 
 
 def test_dates(spark):
