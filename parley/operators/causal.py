@@ -97,15 +97,21 @@ def permutation_test(df: DataFrame, treatment: str = "treatment", outcome: str =
     """Two-sided permutation p-value of the effect on a 0/1 outcome, and the mean effect under the null.
 
     Over all ways to pick the treated, the number of treated successes is hypergeometric. Its weights follow
-    from neighbour ratios by a running sum of logarithms, so the test is exact: no draws, no seed.
+    from neighbour ratios by a running sum of logarithms, so the test is exact: no draws, no seed. Other outcomes than
+    0 and 1 are refused.
     """
-    totals = df.agg(
-        F.count("*").alias("n"), F.sum(c(outcome).cast("long")).alias("k"), F.sum(c(treatment).cast("long")).alias("t"),
-        F.sum((c(outcome) * c(treatment)).cast("long")).alias("x"),
-    )
+
+    def binary(name: str) -> Column:
+        told = F.raise_error(F.lit(f"{name} must be 0 or 1")).cast("long")
+        return F.when(c(name).isin(0, 1), c(name).cast("long")).otherwise(told)
+
+    y, z = binary(outcome), binary(treatment)
+    totals = df.agg(F.count("*").alias("n"), F.sum(y).alias("k"), F.sum(z).alias("t"), F.sum(y * z).alias("x"))
+    seen_totals = totals.first()
     n, k, t = c("n"), c("k"), c("t")
-    low, high = F.greatest(F.lit(0), k + t - n), F.least(k, t)
-    support = totals.select("*", F.explode(F.sequence(low, high)).alias("i"), low.alias("_low"))
+    numbers = {x: F.lit(seen_totals[x]).cast("long") for x in ("n", "k", "t", "x")}
+    first, last = (0, -1) if not seen_totals["n"] else (max(0, seen_totals["k"] + seen_totals["t"] - seen_totals["n"]), min(seen_totals["k"], seen_totals["t"]))
+    support = df.sparkSession.range(first, last + 1).withColumnRenamed("id", "i").withColumns({**numbers, "_low": F.lit(first)})
     step = (k - c("i") + 1) * (t - c("i") + 1).cast("double") / (c("i") * (n - k - t + c("i")))
     logs = support.withColumn("_step", F.when(c("i") == c("_low"), 0.0).otherwise(F.log(step)))
     seq = Sequence(logs, [], ["i"]).add(_log=running_sum(c("_step"))).frame

@@ -118,11 +118,12 @@ def max_drawdown(df: DataFrame, order: list[str], value: Column, keys: list[str]
 
 
 def verify_chain(df: DataFrame, chain: str, seq: str, body: Column, genesis: str) -> DataFrame:
-    """Records whose hash does not match their body or whose predecessor is not the record before: an equi-join on seq."""
-    before = df.select(chain, (c(seq) + 1).alias(seq), c("record_hash").alias("_before"))
-    rows = df.join(before, [chain, seq], "left")
-    want = F.when(c(seq) == 1, F.lit(genesis)).otherwise(c("_before"))
-    faults = reasons(hash_mismatch=F.sha2(body, 256) != c("record_hash"), broken_link=~c("previous_hash").eqNullSafe(want))
+    """Records whose hash does not match their body, whose predecessor is not the record before, or whose number is taken."""
+    cell = F.struct(c(seq).alias("seq"), c("record_hash").alias("hash"))
+    rows = Sequence(df, [chain], [seq, "record_hash"]).add(_before=lag(cell)).frame
+    want = F.when(c(seq) == 1, F.lit(genesis)).when(c("_before.seq") == c(seq) - 1, c("_before.hash"))
+    again = F.coalesce(c("_before.seq") == c(seq), F.lit(False))
+    faults = reasons(hash_mismatch=F.sha2(body, 256) != c("record_hash"), repeated_seq=again, broken_link=~again & ~c("previous_hash").eqNullSafe(want))
     return rows.withColumn("faults", faults).drop("_before").filter(F.size("faults") > 0)
 
 

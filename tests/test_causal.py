@@ -1,5 +1,7 @@
 from itertools import combinations
 
+import pytest
+
 from parley.operators import causal as A
 
 
@@ -34,3 +36,9 @@ def test_assignment_is_reproducible(spark):
     a = A.assign(units, "u", 0.3, 1, "n").filter("arm = 'treatment'").count()
     b = A.assign(units.repartition(7), "u", 0.3, 1, "n").filter("arm = 'treatment'").count()
     assert a == b and 500 < a < 700
+
+
+def test_permutation_refuses_other_outcomes(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.0)], "treatment int, outcome double")
+    with pytest.raises(Exception, match="must be 0 or 1"):
+        A.permutation_test(df).collect()
