@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.session import staging_root
+
 
 def place(df: DataFrame, name: str) -> int:
     """Position of a column: the exact name first, else the name in another case."""
@@ -48,3 +52,30 @@ def fold(doc_id: str = "doc_id") -> Column:
 def share(*columns: str, seed: str = "") -> Column:
     """A number in [0, 1) drawn from a hash of the columns: the same for a row in every run."""
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 40)) / float(1 << 40)
+
+
+class Scratch:
+    """Tables staged in the shared folder for the steps of one operator, removed once what follows is staged itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.frames: list[tuple[DataFrame, str]] = []
+
+    def stage(self, df: DataFrame) -> DataFrame:
+        path = f"{staging_root(self.spark)}/stage-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.frames.append((out, path))
+        return out
+
+    def clear(self, *keep: DataFrame) -> None:
+        """Remove all tables but those kept; nothing that is still to be computed may read them."""
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        left = []
+        for df, name in self.frames:
+            if any(df is k for k in keep):
+                left.append((df, name))
+                continue
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+        self.frames = left

@@ -9,8 +9,9 @@ Confirmation without all pairs. Documents with equal sets form a class and are h
 rounds: each round takes a few of its classes as pivots, compares them on full sets with all classes of the bucket that
 are not yet in the same component, adds the confirmed links, and takes the pivots out: their links are all known. Pivots
 are those with most links so far, so a group around one original is joined in about two rounds, with as many comparisons
-as it has members. A bucket is done when all its classes are in one component or have been pivots; the number of pivots
-doubles from round to round. So no link found by the bands is lost, and none is left unconfirmed.
+as it has members. Buckets that are not done then hold classes that share a passage rather than a text: their classes are
+put into buckets by their rarest shingles instead, which loses no link, and these are worked off with a number of pivots
+that grows from round to round. A bucket is done when all its classes are in one component or have been pivots.
 
 No group meets in one task: buckets, classes and components are only ever counted, reduced to a minimum or joined on rows of
 two numbers; the joins are split by the engine where a key is hot.
@@ -24,14 +25,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import packed, pick, restored
+from parley.llm.common import Scratch, packed, pick, restored
 from parley.llm.lines import _same
 from parley.session import stage
 
@@ -40,6 +42,10 @@ SHINGLE = 5
 PERCENT = 75
 PERMUTATIONS, ROWS = 80, 4
 BANDS = 2 * PERMUTATIONS // ROWS
+#: Rounds with one pivot per bucket before the buckets that are not done are refined by rare shingles.
+REFINED = 2
+#: Pivots per bucket after that, fourfold from round to round.
+PIVOTS = 16
 _draw = np.random.default_rng(20_240_501)
 FACTORS = _draw.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _draw.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -96,93 +102,127 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"cls": batch["cls"], "shingles": [shingle_set(t).view(np.int64) for t in batch["text"]]})
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """u and its component (smallest member) for all ends of the edges (u, v), by stars in turn.
 
     First every node hangs its larger neighbours under its smallest one, then each node its smaller ones; the number of
-    rounds grows with the logarithm of the longest path. Stops when a round changes nothing.
+    rounds grows with the logarithm of the longest path. Stops when all nodes hang directly under their smallest one.
     """
-    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = stage(e)
-    seen = None
+    e = scratch.stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(small, "u")
-        e = stage(joined.select("u", F.col("m").alias("v")).unionAll(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-    return e.select("u", F.col("v").alias("component"))
+        e = scratch.stage(joined.select("u", F.col("m").alias("v")).unionAll(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        # done when every node hangs under one other that hangs under none
+        roles = e.select(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionAll(e.select("v", F.lit(0), F.lit(1)))
+        roles = roles.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+        if roles.where("below > 1 OR (below = 1 AND above = 1)").isEmpty():
+            return e.select("u", F.col("v").alias("component"))
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
-    """bucket and cls of all buckets with several classes; buckets with the same classes once."""
-    members = classes.select("cls", F.explode("bands").alias("bucket"))
+def _once(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members (bucket, cls, place) of buckets with several classes; of buckets with the same classes the first in order."""
     spread = F.xxhash64("cls").cast("decimal(38,0)")
-    counts = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(spread).alias("s"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("n > 1")
-    counts = stage(counts)
-    once = counts.groupBy("n", "s", "lo", "hi").agg(F.min("bucket").alias("bucket")).select("bucket")
-    return stage(members.join(once, "bucket"))
+    counts = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(spread).alias("s"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.sum("place").alias("at")).where("n > 1")
+    once = counts.groupBy("n", "s", "lo", "hi").agg(F.min(F.struct("at", "bucket"))["bucket"].alias("bucket")).select("bucket")
+    return scratch.stage(members.join(once, "bucket"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _refined(live: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Buckets by rare shingles for the classes of buckets that are not done.
+
+    All shingles of these classes are put in one order, the rarest first. Two sets alike enough share a shingle among the
+    first n - ceil(0.75 n) + 1 of each: the rest alone could not make up the overlap. Nor can what follows the first shared
+    shingle, if its place is too late; so the place is kept for the comparison of sizes. Classes that have nothing but a
+    common passage in common no longer meet, and no link is lost.
+    """
+    ids = scratch.stage(live.select("cls", "label").distinct())
+    own = sets.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "cls")
+    rows = scratch.stage(own.select("cls", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("bucket")))
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("often")).where("often > 1")
+    rarest = Window.partitionBy("cls").orderBy("often", "bucket")
+    ordered = rows.join(shared, "bucket", "left").withColumn("place", F.row_number().over(rarest))
+    first = ordered.where(F.col("often").isNotNull() & (F.col("place") <= F.col("n") - F.ceil(PERCENT * F.col("n") / 100) + 1)).select("bucket", "cls", "label", (F.col("place") - 1).cast("long").alias("place"))
+    first = scratch.stage(first)
+    across = first.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    return _once(first.join(across, "bucket").select("bucket", "cls", "place"), scratch)
+
+
+#: Ids that may be broadcast to pick the sets of a round: 8 MB. More are joined.
+FEW_IDS = 1_000_000
+
+
+def _needed(sets: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The sets that occur in the pairs."""
+    ids = scratch.stage(pairs.select(F.col("u").alias("cls")).unionAll(pairs.select("v")).distinct())
+    return sets.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "cls", "left_semi")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (u, v) whose sets are alike enough."""
+    sets = _needed(sets, pairs, scratch)
     a = sets.select(F.col("cls").alias("u"), F.col("shingles").alias("set_u"))
     b = sets.select(F.col("cls").alias("v"), F.col("shingles").alias("set_v"))
     both = F.size(F.array_intersect("set_u", "set_v"))
     return pairs.join(a, "u").join(b, "v").where(100 * both >= PERCENT * (F.size("set_u") + F.size("set_v") - both)).select("u", "v").distinct()
 
 
-def linked_classes(documents: DataFrame, classes: DataFrame) -> DataFrame:
+def linked_classes(documents: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """cls and label of all classes that share a bucket with another; label names the component."""
-    buckets = _buckets(classes)
-    wanted = stage(buckets.select("cls").distinct().join(classes.select("cls", "n_shingles", "doc_id", "mark"), "cls"))
+    buckets = _once(classes.select(F.explode("bands").alias("bucket"), "cls", F.lit(0).cast("long").alias("place")), scratch)
+    wanted = scratch.stage(buckets.select("cls").distinct().join(classes.select("cls", "n_shingles", "doc_id", "mark"), "cls"))
     texts = _same(documents.select("doc_id", "mark", "text"), wanted.select("cls", "doc_id", "mark"), ("doc_id", "mark"), "inner")
-    sets = stage(texts.select("cls", "text").mapInPandas(_sets, "cls long, shingles array<long>"))
+    sets = scratch.stage(texts.select("cls", "text").mapInPandas(_sets, "cls long, shingles array<long>"))
     labels = wanted.select("cls", "n_shingles", F.col("cls").alias("label"), F.lit(0).cast("long").alias("links"))
     pivots_per_bucket = 1
-    tested = None
-    while True:
+    tested: list[DataFrame] = []
+    for turn in count():
         live = buckets.join(labels, "cls")
         split = live.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        live = stage(live.join(split, "bucket"))
+        live = scratch.stage(live.join(split, "bucket"))
+        scratch.clear(classes, sets, live, labels, *tested, *([wanted] if turn == 0 else []))  # what earlier rounds left
         if live.isEmpty():
             return labels.select("cls", "label")
+        if turn == REFINED:
+            buckets, pivots_per_bucket = _refined(live, sets, scratch), PIVOTS
+            continue
         slot = F.pmod(F.xxhash64("cls", F.lit(pivots_per_bucket)), F.lit(pivots_per_bucket))
-        pivots = live.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("links", F.xxhash64("cls").alias("order"), "cls", "label", "n_shingles")).alias("p"))
-        pivots = stage(pivots.select("bucket", "p.cls", "p.label", "p.n_shingles"))
-        near = pivots.select("bucket", F.col("cls").alias("v"), F.col("label").alias("v_label"), F.col("n_shingles").alias("v_n"))
-        small, big = F.least("n_shingles", "v_n"), F.greatest("n_shingles", "v_n")
-        pairs = live.join(near, "bucket").where((F.col("label") != F.col("v_label")) & (100 * small >= PERCENT * big))
+        pivots = live.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("links", F.xxhash64("cls").alias("order"), "cls", "label", "n_shingles", "place")).alias("p"))
+        pivots = scratch.stage(pivots.select("bucket", "p.cls", "p.label", "p.n_shingles", "p.place"))
+        near = pivots.select("bucket", F.col("cls").alias("v"), F.col("label").alias("v_label"), F.col("n_shingles").alias("v_n"), F.col("place").alias("v_place"))
+        # at most so many shingles can be shared from this one on, and so many have to be
+        most = F.least(F.col("n_shingles") - F.col("place"), F.col("v_n") - F.col("v_place"))
+        pairs = live.join(near, "bucket").where((F.col("label") != F.col("v_label")) & ((100 + PERCENT) * most >= PERCENT * (F.col("n_shingles") + F.col("v_n"))))
         pairs = pairs.select(F.greatest("cls", "v").alias("u"), F.least("cls", "v").alias("v")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = stage(pairs)
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        links = stage(_confirmed(pairs, sets))
+        for old in tested:
+            pairs = pairs.join(old, ["u", "v"], "left_anti")
+        pairs = scratch.stage(pairs)
+        tested.append(pairs)
+        links = scratch.stage(_confirmed(pairs, sets, scratch))
         ends = links.select("u").unionAll(links.select(F.col("v").alias("u"))).groupBy("u").agg(F.count("*").alias("more")).withColumnRenamed("u", "cls")
         name = labels.select(F.col("cls").alias("u"), F.col("label").alias("a"))
         named = links.join(name, "u").join(name.select(F.col("u").alias("v"), F.col("a").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        moved = components(named).select(F.col("u").alias("label"), "component")
+        moved = components(named, scratch).select(F.col("u").alias("label"), "component")
         labels = labels.join(moved, "label", "left").join(ends, "cls", "left")
-        labels = stage(labels.select("cls", "n_shingles", F.coalesce("component", "label").alias("label"), (F.col("links") + F.coalesce("more", F.lit(0))).alias("links")))
-        buckets = live.select("bucket", "cls").join(pivots.select("bucket", "cls"), ["bucket", "cls"], "left_anti")
-        pivots_per_bucket *= 2
+        labels = scratch.stage(labels.select("cls", "n_shingles", F.coalesce("component", "label").alias("label"), (F.col("links") + F.coalesce("more", F.lit(0))).alias("links")))
+        buckets = live.select("bucket", "cls", "place").join(pivots.select("bucket", "cls"), ["bucket", "cls"], "left_anti")
+        pivots_per_bucket *= 1 if turn < REFINED else 4
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, mark (hash of the text), n_shingles, component_id and kept of every document."""
     docs = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    scratch = Scratch(documents.sparkSession)
     signed = stage(docs.mapInPandas(_sign, "doc_id long, mark long, n_shingles long, set_a long, set_b long, bands array<long>"))
     classes = signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "mark")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    classes = stage(classes.select("set_a", "set_b", "least", "one.doc_id", "one.mark", "n_shingles", "bands").withColumn("cls", F.monotonically_increasing_id()))
-    labels = linked_classes(docs, classes)
+    classes = scratch.stage(classes.select("set_a", "set_b", "least", "one.doc_id", "one.mark", "n_shingles", "bands").withColumn("cls", F.monotonically_increasing_id()))
+    labels = linked_classes(docs, classes, scratch)
     named = classes.select("cls", "set_a", "set_b", "least").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     named = stage(named)
+    scratch.clear()
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
     of_class = named.join(names, "label").select("set_a", "set_b", "component_id")
     out = signed.drop("bands").join(of_class, ["set_a", "set_b"], "left")

@@ -24,8 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import fold, packed, pick, restored, share
-from parley.session import stage
+from parley.llm.common import Scratch, fold, packed, pick, restored, share
 
 #: Labelled rows of each class that learning takes at most, on average.
 PER_CLASS = 6_000
@@ -242,7 +241,8 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     rate = F.when(F.col("toxic") == 1, min(1.0, per_class / n_toxic)).otherwise(min(1.0, per_class / n_clean))
     chosen = marked.where(share("doc_id", seed="toxicity") < rate)  # about 2 * per_class ids, whatever the input: fit to broadcast
     texts = pick(documents, "doc_id", "text").where("doc_id IS NOT NULL")
-    sample = stage(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic"))
+    scratch = Scratch(documents.sparkSession)
+    sample = scratch.stage(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic"))
     sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return Model(heights=np.array([n_toxic / (n_toxic + n_clean)]))
@@ -255,6 +255,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
             yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "x": [features(t, words, stems, heads) for t in batch["text"]]})
 
     rows = sample.mapInPandas(dense, "doc_id long, toxic int, x array<double>").withColumn("draw", share("doc_id", seed="calibrate")).orderBy("doc_id", "x").toPandas()
+    scratch.clear()
     x, y, draw = np.stack(rows["x"]), rows["toxic"].to_numpy(np.float64), rows["draw"].to_numpy()
     weight = np.where(y == 1, n_toxic / sizes[1], n_clean / sizes[0])
     weight *= len(y) / weight.sum()

@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from parley.llm import neardup
+from parley.llm.common import Scratch
 
 
 def sets(text):
@@ -86,7 +87,7 @@ def test_short_texts_and_white_space(spark):
 
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (102, 100)]
-    got = {r.u: r.component for r in neardup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.u: r.component for r in neardup.components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark)).collect()}
     assert {got[i] for i in range(1, 41)} == {0} and got[101] == got[102] == 100
 
 
