@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import packed, place, restored
+from parley.llm.common import Scratch, packed, place, restored
 from parley.session import stage
 
 #: Leading words that choose a leaf; words of the shortest line that can recur; share of fixed words that makes a template.
@@ -35,10 +35,22 @@ def _key(rows: DataFrame) -> DataFrame:
 
 
 def _split(rows: DataFrame) -> DataFrame:
-    """One row per line: place, words joined by single blanks in lower case, variable words masked."""
-    plain = F.trim(F.regexp_replace(F.lower("line"), r"\s+", " "))
-    masked = F.regexp_replace(plain, r"(?<!\S)[^\s0-9]*+[0-9]\S*", "<*>")
-    return rows.select(*DOC, F.posexplode(F.split("text", "\n", -1)).alias("place", "line")).select(*DOC, "place", masked.alias("words")).where("words <> ''")
+    """One row per line: place, words joined by single blanks in lower case, variable words masked.
+
+    The text is brought into this form as a whole, each step only where it changes something, and then cut into lines.
+    """
+
+    def where(test, change) -> None:
+        nonlocal text  # bound as a variable, so that it is computed once
+        text = F.get(F.transform(F.array(text), lambda t: F.when(test(t), change(t)).otherwise(t)), F.lit(0))
+
+    text = F.lower("text")
+    where(lambda t: t.contains("\t") | t.contains("\r") | t.contains("\x0b") | t.contains("\x0c"), lambda t: F.translate(t, "\t\r\x0b\x0c", "    "))
+    where(lambda t: t.contains("  "), lambda t: F.regexp_replace(t, " {2,}", " "))
+    where(lambda t: t.contains(" \n") | t.contains("\n "), lambda t: F.regexp_replace(t, " ?\n ?", "\n"))
+    where(lambda t: t.rlike("[0-9]"), lambda t: F.regexp_replace(t, r"(?<!\S)[^\s0-9]*+[0-9]\S*", "<*>"))
+    whole = rows.select(*DOC, F.split(F.trim(text), "\n", -1).alias("lines"))
+    return whole.select(*DOC, F.posexplode("lines").alias("place", "words")).where("words <> ''")
 
 
 def _leaves(lines: DataFrame) -> DataFrame:
@@ -59,7 +71,7 @@ def _same(a: DataFrame, b: DataFrame, names, how: str) -> DataFrame:
     return a.join(right, on, how).drop(*(f"_{c}" for c in names))
 
 
-def templates(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+def templates(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """line_a, line_b and the template (tmpl_a, tmpl_b) of every distinct line whose template has fields.
 
     docs: doc_id, mark, text. distinct: a row per distinct line with its leaf, length and first occurrence.
@@ -68,6 +80,7 @@ def templates(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     opened = distinct.join(crowded, "leaf", "left_semi").select("leaf", *LINE, "n", F.col("first.doc_id").alias("doc_id"), F.col("first.mark").alias("mark"), F.col("first.place").alias("place"))
     # one occurrence of each such line gives its words; a document lists the places that are wanted of it
     wanted = opened.groupBy(*DOC).agg(F.collect_set("place").alias("wanted"))
+    wanted = scratch.stage(wanted)
     texts = _same(docs, wanted, DOC, "inner").withColumn("all", F.split("text", "\n", -1))
     texts = texts.select(*DOC, F.array_join(F.transform("wanted", lambda i: F.get("all", i)), "\n").alias("text"))
     lines = _leaves(_split(texts)).select("leaf", *LINE, "n", "words").dropDuplicates(list(LINE))
@@ -76,7 +89,7 @@ def templates(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         .where((F.col("at") >= DEPTH) & (F.col("word") != "<*>"))
         .withColumn("word", F.xxhash64("word"))
     )
-    words = stage(words)
+    words = scratch.stage(words)
     fixed = words.groupBy("leaf", "at", "word").agg(F.count("*").alias("lines")).where("lines > 1").drop("lines")
     kept = words.join(fixed, ["leaf", "at", "word"]).groupBy(*LINE, "leaf", "n").agg(
         F.count("*").alias("n_fixed"), F.sum(F.xxhash64("at", "word").cast("decimal(38,0)")).alias("sum_a"), F.sum(F.xxhash64(F.lit(1), "at", "word").cast("decimal(38,0)")).alias("sum_b")
@@ -87,18 +100,21 @@ def templates(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 def recurring(docs: DataFrame) -> DataFrame:
     """doc_id, mark and the places of the lines to drop, for every document that has any."""
-    places = stage(_leaves(_split(docs)).drop("words"))
+    scratch = Scratch(docs.sparkSession)
+    places = scratch.stage(_leaves(_split(docs)).drop("words"))
     occurrence = F.struct("doc_id", "mark", "place")
-    distinct = stage(places.groupBy(*LINE, "leaf", "n").agg(F.min(occurrence).alias("first"), F.max(occurrence).alias("last")))
-    general = templates(docs, distinct)
+    distinct = scratch.stage(places.groupBy(*LINE, "leaf", "n").agg(F.min(occurrence).alias("first"), F.max(occurrence).alias("last")))
+    general = templates(docs, distinct, scratch)
     owned = distinct.join(general, list(LINE), "left").withColumn("tmpl_a", F.coalesce("tmpl_a", "line_a")).withColumn("tmpl_b", F.coalesce("tmpl_b", "line_b"))
-    owned = stage(owned.select(*LINE, "tmpl_a", "tmpl_b", "first", "last"))
+    owned = scratch.stage(owned.select(*LINE, "tmpl_a", "tmpl_b", "first", "last"))
     across = owned.groupBy("tmpl_a", "tmpl_b").agg(F.min("first").alias("head"), F.max("last").alias("tail"))
     other = ~(F.col("head.doc_id").eqNullSafe(F.col("tail.doc_id")) & (F.col("head.mark") == F.col("tail.mark")))
     across = across.where(other).select("tmpl_a", "tmpl_b", F.col("head.doc_id").alias("head_id"), F.col("head.mark").alias("head_mark"))
     lines = owned.join(across, ["tmpl_a", "tmpl_b"]).select(*LINE, "head_id", "head_mark")
     dropped = places.join(lines, list(LINE)).where(~(F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("mark") == F.col("head_mark"))))
-    return dropped.groupBy(*DOC).agg(F.collect_set("place").alias("drop"))
+    drops = stage(dropped.groupBy(*DOC).agg(F.collect_set("place").alias("drop")))
+    scratch.clear()
+    return drops
 
 
 def _deduplicated(documents: DataFrame) -> DataFrame:
