@@ -26,6 +26,9 @@ from parley.session import stage
 #: Leading words that choose a leaf; words of the shortest line that can recur; share of fixed words that makes a template.
 DEPTH, SHORTEST, SIMILAR = 3, 3, 0.75
 
+#: Documents whose 8-byte marks may be broadcast to pick texts before these move: 8 MB. More are joined as they are.
+FEW_DOCS = 1_000_000
+
 DOC = ("doc_id", "mark")
 LINE = ("line_a", "line_b")
 
@@ -71,6 +74,14 @@ def _same(a: DataFrame, b: DataFrame, names, how: str) -> DataFrame:
     return a.join(right, on, how).drop(*(f"_{c}" for c in names))
 
 
+def picked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Documents whose mark is wanted, so that only their texts move in the join that follows; all if there are too many."""
+    if wanted.count() > FEW_DOCS:
+        return docs
+    marks = wanted.select(F.col("mark").alias("_few")).distinct()
+    return docs.join(F.broadcast(marks), F.col("mark") == F.col("_few"), "left_semi")
+
+
 def templates(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """line_a, line_b and the template (tmpl_a, tmpl_b) of every distinct line whose template has fields.
 
@@ -81,7 +92,7 @@ def templates(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> DataFra
     # one occurrence of each such line gives its words; a document lists the places that are wanted of it
     wanted = opened.groupBy(*DOC).agg(F.collect_set("place").alias("wanted"))
     wanted = scratch.stage(wanted)
-    texts = _same(docs, wanted, DOC, "inner").withColumn("all", F.split("text", "\n", -1))
+    texts = _same(picked(docs, wanted), wanted, DOC, "inner").withColumn("all", F.split("text", "\n", -1))
     texts = texts.select(*DOC, F.array_join(F.transform("wanted", lambda i: F.get("all", i)), "\n").alias("text"))
     lines = _leaves(_split(texts)).select("leaf", *LINE, "n", "words").dropDuplicates(list(LINE))
     words = (
