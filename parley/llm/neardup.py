@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.common import Scratch, packed, pick, restored
-from parley.llm.lines import _same
+from parley.llm.lines import _same, picked
 from parley.session import stage
 
 SHINGLE = 5
@@ -174,7 +174,7 @@ def linked_classes(documents: DataFrame, classes: DataFrame, scratch: Scratch) -
     """cls and label of all classes that share a bucket with another; label names the component."""
     buckets = _once(classes.select(F.explode("bands").alias("bucket"), "cls", F.lit(0).cast("long").alias("place")), scratch)
     wanted = scratch.stage(buckets.select("cls").distinct().join(classes.select("cls", "n_shingles", "doc_id", "mark"), "cls"))
-    texts = _same(documents.select("doc_id", "mark", "text"), wanted.select("cls", "doc_id", "mark"), ("doc_id", "mark"), "inner")
+    texts = _same(picked(documents.select("doc_id", "mark", "text"), wanted), wanted.select("cls", "doc_id", "mark"), ("doc_id", "mark"), "inner")
     sets = scratch.stage(texts.select("cls", "text").mapInPandas(_sets, "cls long, shingles array<long>"))
     labels = wanted.select("cls", "n_shingles", F.col("cls").alias("label"), F.lit(0).cast("long").alias("links"))
     pivots_per_bucket = 1
