@@ -196,19 +196,14 @@ def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, list[
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the rising curve that fits y best, by pooling neighbours that fall."""
-    order = np.argsort(x, kind="stable")
+    places, at = np.unique(x, return_inverse=True)  # equal margins share a value
     pools: list[list[float]] = []  # [sum of y, weight, first x, last x]
-    for a, b, w in zip(x[order], y[order], weight[order], strict=True):
-        if pools and pools[-1][3] == a:  # equal margins share a value
-            top = pools[-1]
-            top[0] += b * w
-            top[1] += w
-        else:
-            pools.append([b * w, w, a, a])
+    for a, total, w in zip(places, np.bincount(at, y * weight), np.bincount(at, weight), strict=True):
+        pools.append([total, w, a, a])
         while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
-            s, w2, _, last = pools.pop()
-            pools[-1][0] += s
-            pools[-1][1] += w2
+            total, w, _, last = pools.pop()
+            pools[-1][0] += total
+            pools[-1][1] += w
             pools[-1][3] = last
     knots = [v for p in pools for v in (p[2], p[3])]
     heights = [v for p in pools for v in (p[0] / p[1],) * 2]
