@@ -11,14 +11,20 @@ type       accepted                                               kept
 =========  =====================================================  ==========================================================
 email      local part, domain of two labels or more               length, kind of every character, last label, separators
 card       13 to 19 digits, check digit right                     length, separators; the check digit is made anew
-phone      ten digits after +1 or in (xxx) xxx-xxxx form          +1, separators, first digits in 2 to 9
+phone      any ten digits after +1 or in (xxx) xxx-xxxx form      +1, separators
 ssn        three, two and four digits, none of them unassigned    dashes
 ip         four numbers up to 255                                 dots
-date       a day of 1800 to 2199, yyyy-mm-dd or yyyy/mm/dd        form
+date       a day of 1800 to 2199, year first (- /) or last        form, order and number of digits
+           (- / . between one or two digits for day and month)
 iban       check digits right                                     country, length, kind of every character; check digits anew
-secret     access key ids; values named password, token, ...      name, length, kind of every character
+secret     access key ids; values named password, token, ...,     name, length, kind of every character
+           also db_password, access_token, ..., of any length
 =========  =====================================================  ==========================================================
 
+A date with the year last is read month first between slashes and day first between dots and dashes; if that is no date, the
+other way round. Its pseudonym is read in the same way and has as many digits: the permutation of all days is repeated until
+it comes to such a day.
+
 Defined results: a null text stays null with no finds; an empty text stays empty; rows are independent of each other, so
 repeated rows get the same text; other columns pass through unchanged, whatever their names (one
 named n_replaced gives way). Text that no check accepts,
@@ -38,17 +44,20 @@ ROUNDS = 8
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "secret": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-    r"|(?<![A-Za-z0-9_])(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/-]{6,128}(?![A-Za-z0-9_+/-])[\"']?",
+    r"|(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/-]{6,}+[\"']?",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "date": r"(?<![0-9A-Za-z/.-])(?:18|19|20|21)[0-9]{2}(?:-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}(?![0-9A-Za-z/-])",
+    "date": r"(?<![0-9A-Za-z/.-])(?:18|19|20|21)[0-9]{2}(?:-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}(?![0-9A-Za-z/-])"
+    r"|(?<![0-9A-Za-z/.-])(?:[0-9]{1,2}/[0-9]{1,2}/|[0-9]{1,2}\.[0-9]{1,2}\.|[0-9]{1,2}-[0-9]{1,2}-)(?:18|19|20|21)[0-9]{2}(?![0-9A-Za-z/-]|\.[0-9])",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+1[ .-]?(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[ .-]?|\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[ .-]?[0-9]{4}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?|\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Days of one whole cycle of the calendar, 1800 to 2199: 146,097 = 27 * 5,411.
 FIRST_DAY, LAST_DAY, DAY_PARTS = "1800-01-01", "2199-12-31", (27, 5411)
+#: Steps to a day of the same form. At least a fifth of the days have it, so that a walk of this length misses with a chance of 1e-38.
+WALK = 400
 
 
 def _let(value: Column, body) -> Column:
@@ -58,27 +67,30 @@ def _let(value: Column, body) -> Column:
 
 def feistel(parts: Column, ranges: Column, tweak: Column, key: str, inverse: bool = False) -> Column:
     """Keyed permutation of lists of integers, part i in [0, range i). At least two parts; a range of 1 holds a part still."""
-    half = F.floor(F.size(parts) / 2).cast("int")
+    turns = range(ROUNDS - 1, -1, -1) if inverse else range(ROUNDS)
 
-    def one(held: Column, turn: Column) -> Column:
-        left = turn % 2 == 0  # this turn shifts the left half
-        other = F.when(left, F.slice(held, half + 1, F.size(held))).otherwise(F.slice(held, 1, half))
-        digest = F.sha2(F.concat_ws("|", F.lit(key), tweak, turn.cast("string"), F.array_join(other.cast("array<string>"), ",")).cast("binary"), 512)
+    def bound(b: Column) -> Column:  # what does not change from part to part is computed once
+        return F.aggregate(F.array(*(F.lit(t) for t in turns)), b["parts"], lambda held, turn: _turn(held, turn, b["ranges"], b["half"], b["tweak"], key, inverse))
 
-        def shift(hexes: Column) -> Column:
-            def move(v: Column, i: Column) -> Column:
-                own = F.when(left, i < half).otherwise(i >= half)
-                at = F.when(left, i).otherwise(i - half)
-                step = F.conv(F.substring(hexes, F.pmod(at, F.lit(32)) * 4 + 1, F.lit(4)), 16, 10).cast("int")
-                step = -step if inverse else step
-                return F.when(own, F.pmod(v + step, F.get(ranges, i))).otherwise(v)
+    return _let(F.struct(parts.alias("parts"), ranges.alias("ranges"), F.floor(F.size(parts) / 2).cast("int").alias("half"), tweak.alias("tweak")), bound)
 
-            return F.transform(held, move)
 
-        return _let(digest, shift)
+def _turn(held: Column, turn: Column, ranges: Column, half: Column, tweak: Column, key: str, inverse: bool) -> Column:
+    left = turn % 2 == 0  # this turn shifts the left half
+    other = F.when(left, F.slice(held, half + 1, F.size(held))).otherwise(F.slice(held, 1, half))
+    digest = F.sha2(F.concat_ws("|", F.lit(key), tweak, turn.cast("string"), F.array_join(other.cast("array<string>"), ",")).cast("binary"), 512)
 
-    turns = range(ROUNDS - 1, -1, -1) if inverse else range(ROUNDS)
-    return F.aggregate(F.array(*(F.lit(t) for t in turns)), parts, one)
+    def shift(hexes: Column) -> Column:
+        def move(v: Column, i: Column) -> Column:
+            own = F.when(left, i < half).otherwise(i >= half)
+            at = F.when(left, i).otherwise(i - half)
+            step = F.conv(F.substring(hexes, F.pmod(at, F.lit(32)) * 4 + 1, F.lit(4)), 16, 10).cast("int")
+            step = -step if inverse else step
+            return F.when(own, F.pmod(v + step, F.get(ranges, i))).otherwise(v)
+
+        return F.transform(held, move)
+
+    return _let(digest, shift)
 
 
 def _chars(text: Column) -> Column:
@@ -95,21 +107,22 @@ def permute_text(text: Column, tweak: Column, key: str, inverse: bool, hexadecim
     hexadecimal: letters stay within a to f. fixed(c, i): further characters that stay.
     """
 
-    def kind(c: Column, i: Column) -> tuple[Column, Column]:
-        letters = F.when(hexadecimal, 6).otherwise(26) if hexadecimal is not None else F.lit(26)
+    def kind(c: Column, i: Column, letters: Column) -> tuple[Column, Column]:
         digit, lower, upper = c.rlike("^[0-9]$"), c.rlike("^[a-z]$"), c.rlike("^[A-Z]$")
         still = fixed(c, i) if fixed is not None else F.lit(False)
         size = F.when(still, 1).when(digit, 10).when(lower | upper, letters).otherwise(1)
         return size, F.when(digit, 48).when(lower, 97).when(upper, 65).otherwise(0)
 
-    def body(chars: Column) -> Column:
-        sizes = F.transform(chars, lambda c, i: kind(c, i)[0].cast("int"))
-        parts = F.transform(chars, lambda c, i: F.when(kind(c, i)[0] > 1, _code(c) - kind(c, i)[1]).otherwise(0).cast("int"))
-        form = F.array_join(F.transform(chars, lambda c, i: F.when(kind(c, i)[0] > 1, F.concat(kind(c, i)[0].cast("string"), kind(c, i)[1].cast("string"))).otherwise(c)), " ")
+    def body(b: Column) -> Column:
+        chars, of = b["chars"], lambda c, i: kind(c, i, b["letters"])
+        sizes = F.transform(chars, lambda c, i: of(c, i)[0].cast("int"))
+        parts = F.transform(chars, lambda c, i: F.when(of(c, i)[0] > 1, _code(c) - of(c, i)[1]).otherwise(0).cast("int"))
+        form = F.array_join(F.transform(chars, lambda c, i: F.when(of(c, i)[0] > 1, F.concat(of(c, i)[0].cast("string"), of(c, i)[1].cast("string"))).otherwise(c)), " ")
         moved = feistel(parts, sizes, F.concat_ws("|", tweak, form), key, inverse)
-        return F.array_join(F.zip_with(chars, F.transform(moved, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda c, m: F.when(kind(c, m["i"])[0] > 1, F.char(m["v"] + kind(c, m["i"])[1])).otherwise(c)), "")
+        return F.array_join(F.zip_with(chars, F.transform(moved, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda c, m: F.when(of(c, m["i"])[0] > 1, F.char(m["v"] + of(c, m["i"])[1])).otherwise(c)), "")
 
-    return _let(_chars(text), body)
+    letters = F.when(hexadecimal, 6).otherwise(26) if hexadecimal is not None else F.lit(26)
+    return _let(F.struct(_chars(text).alias("chars"), letters.alias("letters")), body)
 
 
 def _digits(text: Column) -> Column:
@@ -155,13 +168,9 @@ def _card(m: Column, key: str, inverse: bool) -> Column:
 
 
 def _phone(m: Column, key: str, inverse: bool) -> Column:
-    ranges, first = [8, 10, 10, 8, 10, 10, 10, 10, 10, 10], [2, 0, 0, 2, 0, 0, 0, 0, 0, 0]
-
     def body(d: Column) -> Column:
-        own = F.slice(d, F.size(d) - 9, F.lit(10))
-        low = F.array(*map(F.lit, first))
-        moved = feistel(F.zip_with(own, low, lambda a, b: a - b), F.array(*map(F.lit, ranges)), F.lit("phone"), key, inverse)
-        return _refill(m, F.concat(F.slice(d, 1, F.size(d) - 10), F.zip_with(moved, low, lambda a, b: a + b)))
+        moved = feistel(F.slice(d, F.size(d) - 9, F.lit(10)), _times(F.lit(10), 10), F.lit("phone"), key, inverse)
+        return _refill(m, F.concat(F.slice(d, 1, F.size(d) - 10), moved))
 
     return _let(_ints(_digits(m)), body)
 
@@ -183,16 +192,67 @@ def _ip(m: Column, key: str, inverse: bool) -> Column:
     return _let(F.split(m, r"\.").cast("array<int>"), body)
 
 
-def _date(m: Column, key: str, inverse: bool) -> Column:
-    day = F.try_to_date(F.regexp_replace(m, "/", "-"), "yyyy-MM-dd")
+def _moved_day(day: Column, key: str, inverse: bool) -> Column:
     n = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
     wide, narrow = DAY_PARTS[1], DAY_PARTS[0]
     moved = feistel(F.array(F.floor(n / wide).cast("int"), (n % wide).cast("int")), F.array(F.lit(narrow), F.lit(wide)), F.lit("date"), key, inverse)
-    new = _let(moved, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), F.get(p, 0) * wide + F.get(p, 1)))
-    text = F.date_format(new, "yyyy-MM-dd")
+    return _let(moved, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), F.get(p, 0) * wide + F.get(p, 1)))
+
+
+def _day(year: Column, month: Column, day: Column) -> Column:
+    return F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+
+
+def _year_first(m: Column, key: str, inverse: bool) -> Column:
+    day = F.try_to_date(F.regexp_replace(m, "/", "-"), "yyyy-MM-dd")
+    text = F.date_format(_moved_day(day, key, inverse), "yyyy-MM-dd")
     return F.when(day.isNotNull(), F.when(m.contains("/"), F.regexp_replace(text, "-", "/")).otherwise(text)).otherwise(m)
 
 
+def _year_last(m: Column, key: str, inverse: bool) -> Column:
+    """Walks on through the days until one is written with as many digits and read in the same order."""
+
+    def body(f: Column) -> Column:
+        one, two, year = F.get(f, 0), F.get(f, 1), F.get(f, 2)
+        slash = m.contains("/")
+        usual = F.when(slash, _day(year, one, two)).otherwise(_day(year, two, one))
+        other = F.when(slash, _day(year, two, one)).otherwise(_day(year, one, two))
+
+        def walk(s: Column) -> Column:
+            month_first = slash == s["usual"]
+
+            def digits(v: Column, like: Column) -> Column:
+                padded = F.length(like) == 2
+                return F.when(padded, F.lpad(v.cast("string"), 2, "0")).otherwise(v.cast("string"))
+
+            def fits(d: Column) -> Column:
+                first = F.when(month_first, F.month(d)).otherwise(F.dayofmonth(d))
+                second = F.when(month_first, F.dayofmonth(d)).otherwise(F.month(d))
+                narrow = ((F.length(one) == 2) | (first < 10)) & ((F.length(two) == 2) | (second < 10))
+                return narrow & (s["usual"] | (F.dayofmonth(d) > 12))  # a day up to 12 would be read in the usual order
+
+            def step(a: Column, _: Column) -> Column:
+                return F.when(a["done"], a).otherwise(_let(_moved_day(a["day"], key, inverse), lambda d: F.struct(d.alias("day"), fits(d).alias("done"))))
+
+            def write(d: Column) -> Column:
+                first = F.when(month_first, F.month(d)).otherwise(F.dayofmonth(d))
+                second = F.when(month_first, F.dayofmonth(d)).otherwise(F.month(d))
+                sign = F.substring(m, F.length(one) + 1, F.lit(1))
+                return F.concat(digits(first, one), sign, digits(second, two), sign, F.date_format(d, "yyyy"))
+
+            start = F.struct(s["day"].alias("day"), F.lit(False).alias("done"))
+            end = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, step)
+            return F.when(s["day"].isNotNull(), _let(end["day"], write)).otherwise(m)
+
+        return _let(F.struct(F.coalesce(usual, other).alias("day"), usual.isNotNull().alias("usual")), walk)
+
+    return _let(F.split(m, "[/.-]"), body)
+
+
+def _date(m: Column, key: str, inverse: bool) -> Column:
+    return F.when(m.rlike("^[0-9]{4}"), _year_first(m, key, inverse)).otherwise(_year_last(m, key, inverse))
+
+
 def _mod97(text: Column) -> Column:
     """Remainder of the number that the text spells, letters as 10 to 35."""
     return F.aggregate(

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -92,3 +94,30 @@ def test_main_path_has_no_python(documents):
 def test_equal_values_stay_linked_across_documents(spark):
     new = [t for t, _ in through(spark, ["x 70.123.182.155 y", "other words 70.123.182.155"])]
     assert new[0].split()[1] == new[1].split()[2]
+
+
+def test_phones_with_any_ten_digits(spark):
+    phones = ["+1 (017) 555-7713", "+1 (132) 555-1352", "(012) 055-0100", "132-155-1352", "+1 0175557713"]
+    new = through(spark, phones)
+    assert all(n == 1 and t != p and [c for c in t if not c.isdigit()] == [c for c in p if not c.isdigit()] for p, (t, n) in zip(phones, new))
+    assert [t for t, _ in through(spark, [t for t, _ in new], inverse=True)] == phones
+
+
+def test_dates_with_the_year_last(spark):
+    dates = ["12/31/1999", "31/12/1999", "31.12.1999", "12.31.1999", "31-12-1999", "03/04/2001", "3/4/2001", "13/4/2001", "4/13/2001", "4.7.1989", "04.7.1989"]
+    new = [t for t, n in through(spark, dates) if n == 1]
+    assert len(new) == len(dates) and all(a != b and [len(x) for x in re.split("[/.-]", a)] == [len(x) for x in re.split("[/.-]", b)] for a, b in zip(new, dates))
+    assert [t for t, _ in through(spark, new, inverse=True)] == dates
+    refused = ["31/31/1999", "30.02.1999", "1.2.1999.5", "99/99/1999", "1/2/3/1999"]
+    assert [t for t, _ in through(spark, refused)] == refused
+    days = [f"{a}/{b}/1999" for a in range(1, 32) for b in range(1, 32)]
+    moved = through(spark, days)
+    assert len({t for t, _ in moved}) == len(days) and [t for t, _ in through(spark, [t for t, _ in moved], inverse=True)] == days
+
+
+def test_secrets_of_any_length_behind_longer_names(spark):
+    texts = ["db_password=e3b3ed3cc8548923d6", "access_token: Zx81kQw92mPl", "my-api_key='abc123def456'", "token=" + "aB3_" * 40, "secret=" + "0f" * 3000]
+    new = through(spark, texts)
+    assert all(n == 1 and t != old and len(t) == len(old) and re.split("[=:]", t)[0] == re.split("[=:]", old)[0] for old, (t, n) in zip(texts, new))
+    assert not set(re.findall("[a-z0-9]{6,}", " ".join(t for t, _ in new))) & {"e3b3ed3cc8548923d6", "abc123def456"}
+    assert [t for t, _ in through(spark, [t for t, _ in new], inverse=True)] == texts
