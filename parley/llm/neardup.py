@@ -170,12 +170,25 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame
     return pairs.join(a, "u").join(b, "v").where(100 * both >= PERCENT * (F.size("set_u") + F.size("set_v") - both)).select("u", "v").distinct()
 
 
+def _single(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row per class of the staged rows (cls, shingles, row): a document that stands k times gives k rows of its class.
+
+    Only numbers of rows move; the sets are written again where some are surplus.
+    """
+    often = rows.groupBy("cls").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("cls", "first")
+    surplus = scratch.stage(rows.select("cls", "row").join(often, "cls").where("row <> first").select("row"))
+    n = surplus.count()
+    if not n:
+        return rows
+    return scratch.stage(rows.join(F.broadcast(surplus) if n <= FEW_IDS else surplus, "row", "left_anti"))
+
+
 def linked_classes(documents: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """cls and label of all classes that share a bucket with another; label names the component."""
     buckets = _once(classes.select(F.explode("bands").alias("bucket"), "cls", F.lit(0).cast("long").alias("place")), scratch)
     wanted = scratch.stage(buckets.select("cls").distinct().join(classes.select("cls", "n_shingles", "doc_id", "mark"), "cls"))
     texts = _same(picked(documents.select("doc_id", "mark", "text"), wanted), wanted.select("cls", "doc_id", "mark"), ("doc_id", "mark"), "inner")
-    sets = scratch.stage(texts.select("cls", "text").mapInPandas(_sets, "cls long, shingles array<long>"))
+    sets = _single(scratch.stage(texts.select("cls", "text").mapInPandas(_sets, "cls long, shingles array<long>").withColumn("row", F.monotonically_increasing_id())), scratch)
     labels = wanted.select("cls", "n_shingles", F.col("cls").alias("label"), F.lit(0).cast("long").alias("links"))
     pivots_per_bucket = 1
     tested: list[DataFrame] = []

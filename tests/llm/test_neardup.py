@@ -72,6 +72,21 @@ def test_star_and_chain_of_copies(spark):
     check(spark, list(enumerate(rows)))
 
 
+def test_repeated_rows_keep_their_links_when_refined(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "REFINED", 0)  # every bucket goes on by rare shingles
+    monkeypatch.setattr(Scratch, "clear", lambda self, *keep: None)  # no round before has staged the labels
+    base = [f"b{i}" for i in range(104)]
+    rows = [(k, " ".join(base[:90] + [f"k{k}_{i}" for i in range(14)])) for k in range(2)]  # 86 of 114 shingles
+    rows += [(9, " ".join(base[:60] + [f"o{i}" for i in range(44)]))]
+    check(spark, rows * 3)
+
+
+def test_one_set_per_class(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FEW_IDS", 0)
+    rows = spark.createDataFrame([(1, [1], 0), (1, [1], 1), (2, [2], 2), (1, [1], 3)], "cls long, shingles array<long>, row long")
+    assert sorted((r.cls, r.shingles) for r in neardup._single(rows, Scratch(spark)).collect()) == [(1, [1]), (2, [2])]
+
+
 def test_odd_rows(spark, odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     check(spark, rows)
