@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parley.llm import toxicity
+from parley.llm.common import fold
 
 
 def test_isotonic_is_the_least_squares_rising_fit():
@@ -46,6 +48,13 @@ def test_held_out_documents(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
 
 
+def test_held_out_labels_change_nothing(spark, documents, folder):
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    flipped = labels.withColumn("toxic", F.when(fold() == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    as_given, other = ({r.doc_id: r.score for r in toxicity.classify(documents, x).collect()} for x in (labels, flipped))
+    assert len(set(as_given.values())) > 1 and as_given == other
+
+
 def test_odd_rows(spark, odd, empty, documents, folder):
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     model = toxicity.learned(documents, labels)
