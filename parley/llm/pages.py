@@ -44,7 +44,9 @@ BOILER = re.compile(
 )
 #: Words that mark the article.
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|entry|story|main|content|body-text|text-body|post-body|hentry)(?=$|[\s_-])")
-SCAN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']{1,4000}+|\"[^\"]{0,4000}+\"|'[^']{0,4000}+'){0,400}+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*+)>|<[!?/][^<>]*+>", re.S)
+#: A tag, quoted values of any length. Of the scans that fail, no two are ever in the same state (outside, in one kind of
+#: quotes, in the other) at the same place, and one outside ends at the next "<": so at most three pass over any character.
+SCAN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*+)>|<[!?/][^<>]*+>", re.S)
 NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|\baria-hidden\s*=\s*[\"']?true", re.I)
 SPACE = re.compile(r"\s+")

@@ -26,6 +26,21 @@ def test_pages_by_hand(page, text):
     assert pages.extract(page) == text
 
 
+@pytest.mark.parametrize("size", [100, 5_000, 300_000])
+def test_long_values_with_tag_ends(size):
+    value = "b" * size + "> <p>not text</p>" + "b" * size
+    many = " ".join(f'data-{i}="a>b"' for i in range(2_000))
+    assert pages.extract(f'<article><p data-x="{value}" {many}>{PROSE}</p></article>') == PROSE
+    assert pages.extract(f"<article><p data-x='{value}'>{PROSE}</p></article>") == PROSE
+
+
+def test_hostile_quotes_take_linear_time():
+    start = time.time()
+    for page in ('<a "' * 100_000, "<a '\"" * 100_000, "<a \"''" * 100_000, '<a b="' + "<a b='" * 100_000, "<a" + " b='c'" * 100_000, "<a" + ' b="c' * 99_999):
+        pages.extract(page)
+    assert time.time() - start < 20
+
+
 def test_given_pages_keep_the_whole_article(spark, folder):
     import html
     import re
