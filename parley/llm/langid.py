@@ -28,11 +28,11 @@ from parley.llm.common import fold, pick, share
 
 #: Labelled documents that are sampled per language on average, pieces taken of each, and characters of a piece.
 PER_LANG, PIECES, PIECE = 400, 6, 96
-#: Languages that are learned, the most frequent first.
-MAX_LANGS = 64
 #: State of one direction, bytes of a training piece and of a segment, segments that advance together.
 HIDDEN, STEPS, SEGMENT, TOGETHER = 8, 64, 128, 1024
 ROUNDS, BATCH, LEARN = 260, 192, 0.02
+#: Languages that ROUNDS are enough for, and that TOGETHER segments have room for; more take more rounds and fewer segments.
+LANGS, WIDE = 4, 16
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -135,9 +135,15 @@ def gradients(net: Network, data: np.ndarray, lang: np.ndarray) -> tuple[float,
     return loss, [g_gate_in, g_cand_in, g_gate * own, g_cand * own, g_out, g_bias]
 
 
-def train(texts: list[bytes], langs: list[str], rounds: int = ROUNDS, seed: int = 7) -> Network:
+def rounds_for(langs: int) -> int:
+    """Rounds in which every language is drawn as often as LANGS are in ROUNDS."""
+    return max(ROUNDS, -(-ROUNDS * langs // LANGS))
+
+
+def train(texts: list[bytes], langs: list[str], rounds: int | None = None, seed: int = 7) -> Network:
     """Adam on random pieces, every language drawn equally often."""
     names = sorted(set(langs))
+    rounds = rounds_for(len(names)) if rounds is None else rounds
     rng = np.random.default_rng(seed)
     net = _start(names, rng)
     per_lang = [[np.frombuffer(t, np.uint8) for t, g in zip(texts, langs, strict=True) if g == name and t] for name in names]
@@ -217,8 +223,9 @@ def probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     used = np.full(len(whole), SEGMENT)
     last = np.cumsum(-(-length // SEGMENT))[length > 0] - 1
     used[last] = (length[length > 0] - 1) % SEGMENT + 1
-    for a in range(0, len(whole), TOGETHER):  # the last segment of a text is filled up with blanks that do not count
-        b = a + TOGETHER
+    together = max(1, min(TOGETHER, TOGETHER * WIDE // len(net.langs)))
+    for a in range(0, len(whole), together):  # the last segment of a text is filled up with blanks that do not count
+        b = a + together
         p = reader.labels(whole[a:b])
         if used[a:b].min() < SEGMENT:
             p *= np.arange(SEGMENT)[:, None] < used[a:b][None, :]
@@ -227,14 +234,11 @@ def probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
 
 
 def sample(documents: DataFrame, per_lang: int = PER_LANG) -> tuple[list[bytes], list[str]]:
-    """Pieces of about per_lang documents of each of the most frequent languages, drawn by a hash of the id."""
+    """Pieces of about per_lang documents of every language, drawn by a hash of the id."""
     rows = pick(documents, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
-        return [], []
-    rate = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_lang / r["count"]))) for r in counts), F.lit(0.0))
+    rates = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_lang)) / F.count("*")).alias("rate"))
     places = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id", i), F.greatest(F.lit(1), F.length("text") - PIECE + 1)) + 1).cast("int"), F.lit(PIECE)))
-    chosen = rows.where(share("doc_id", seed="language") < rate).select("doc_id", "lang", F.explode(F.array_distinct(places)).alias("piece"))
+    chosen = rows.join(F.broadcast(rates), "lang").where(share("doc_id", seed="language") < F.col("rate")).select("doc_id", "lang", F.explode(F.array_distinct(places)).alias("piece"))
     got = sorted((r.doc_id or 0, r["lang"], r.piece) for r in chosen.collect())
     return [p.encode() for _, _, p in got], [g for _, g, _ in got]
 

@@ -34,6 +34,16 @@ def test_reader_equals_the_plain_network():
     assert np.abs(langid.probabilities(net, texts) - alone).max() < 1e-6
 
 
+def test_every_language_is_learned(spark):
+    df = spark.createDataFrame([(i, f"some words {i}", f"l{i % 70:02d}") for i in range(210)], "doc_id long, text string, lang string")
+    texts, langs = langid.sample(df)
+    net = langid.train(texts, langs, rounds=1)
+    assert net.langs == [f"l{i:02d}" for i in range(70)] and net.out.shape[1] == 70
+    assert langid.rounds_for(4) == langid.ROUNDS and langid.rounds_for(70) * langid.BATCH / 70 >= langid.ROUNDS * langid.BATCH / 4
+    many = [b"word " * 40] * 500  # more segments than advance together
+    assert np.abs(langid.probabilities(net, many) - langid.probabilities(net, many[:1])).max() < 1e-6
+
+
 def test_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     true = {r.doc_id: r["lang"] for r in docs.collect()}
