@@ -4,7 +4,8 @@ A page is scanned into blocks of text, each with its path of block tags from the
 punctuation are added up and divided by the number of blocks: running text has long, punctuated blocks, menus and notices
 do not. The ratios of paths are fused with the density of link text, laid out in page order and smoothed, and the blocks
 above a threshold are the seeds. The content is the container that the page itself marks as article, if seeds lie in one,
-else the smallest container that holds the seeds; of its blocks, those whose path or place says boilerplate are left out.
+else the smallest container that holds the seeds; of its blocks, those whose path or place says boilerplate are left out. A
+word in a class or id alone leaves out neither an outermost article nor an element with most of the text of a high ratio.
 
 Decoding follows the contract: character references are decoded, white space in a block becomes one space, blocks are
 joined by one line feed in page order. Nothing is cut or dropped by size.
@@ -42,6 +43,8 @@ ARTICLE = frozenset("article main".split())
 BOILER = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adbox|banner|breadcrumbs?|captcha|comments?|commentlist|consent|cookies?|disqus|disclaimer|dropdown|footer|gdpr|header|legal|login|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notification|overlay|pagination|pager|paywall|popup|popular|promo|promoted|recommended|related|replies|respond|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|tags|toolbar|trending|widget|complementary|contentinfo|alert)(?=$|[\s_-])"
 )
+#: What follows such a word says what an element is about or comes with, not what it is.
+ABOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:no|has|with|category|tag)-\S*")
 #: Words that mark the article.
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|entry|story|main|content|body-text|text-body|post-body|hentry)(?=$|[\s_-])")
 #: A tag, quoted values of any length. Of the scans that fail, no two are ever in the same state (outside, in one kind of
@@ -59,9 +62,12 @@ SEED = 0.25
 
 
 class Node:
-    """An open element: what it is, and whether it or one around it is boilerplate or article."""
+    """An open element: what it is, and whether it or one around it is boilerplate or article.
 
-    __slots__ = ("article", "boiler", "name", "number", "parent", "path")
+    named: numbers of the elements, itself or around it, that only a word of their class, id or role calls boilerplate.
+    """
+
+    __slots__ = ("article", "boiler", "name", "named", "number", "parent", "path")
 
     def __init__(self, name: str, number: int, parent: Node | None, attrs: str):
         self.name, self.number, self.parent = name, number, parent
@@ -71,21 +77,25 @@ class Node:
         words = " ".join(a or b or c for a, b, c in NAMES.findall(attrs)).lower() if attrs else ""
         # a path is a chain of hashes: tag and first class of every element that makes a block
         self.path = hash((above, name, words.split()[0] if words else "")) if name in BLOCK or words else above
-        if name in ARTICLE:
-            self.boiler = self.boiler and self.article is not None
-        if name in NEVER or (words and BOILER.search(words) and name not in ("html", "body")) or (attrs and HIDDEN.search(attrs) and name not in ("html", "body")):
+        self.named = parent.named if parent else ()
+        if name in ARTICLE and self.article is None:
+            self.boiler, self.named = False, ()
+        whole = name in ("html", "body") or (name in ARTICLE and self.article is None)
+        if name in NEVER or (attrs and HIDDEN.search(attrs) and name not in ("html", "body")):
             self.boiler = True
+        elif words and not whole and BOILER.search(words) and BOILER.search(ABOUT.sub("", words)):
+            self.named = (*self.named, number)
         elif name in ARTICLE or (words and name in BLOCK and name not in ("html", "body", "p", "li") and MAIN.search(words)):
-            if self.article is None and not self.boiler:
+            if self.article is None and not self.boiler and not self.named:
                 self.article = number
 
 
 class Block:
-    __slots__ = ("keep", "links", "node", "path", "text")
+    __slots__ = ("article", "keep", "links", "node", "path", "text")
 
     def __init__(self, text: str, links: int, node: Node, keep: bool):
         self.text, self.links, self.node, self.keep = text, links, node, keep
-        self.path = node.path
+        self.path, self.article = node.path, node.article
 
     def chain(self) -> list[int]:
         """Numbers of the elements around the block, innermost first."""
@@ -114,7 +124,7 @@ def blocks(page: str) -> list[Block]:
                 node = stack[-1]
                 while node.name and node.name not in BLOCK:
                     node = node.parent
-                heading = node.name in HEADINGS and node.article is not None and only_header(node)
+                heading = node.name in HEADINGS and node.article is not None and not node.named and only_header(node)
                 out.append(Block(text, links, node, heading or not node.boiler))
             parts.clear()
         links = 0
@@ -190,7 +200,7 @@ def blocks(page: str) -> list[Block]:
             continue
         numbers += 1
         node = Node(name, numbers, stack[-1], attrs)
-        if node.boiler and not stack[-1].boiler and name not in BLOCK:
+        if (node.boiler, node.named) != (stack[-1].boiler, stack[-1].named) and name not in BLOCK:
             flush()  # an inline part that is no text of the article stands alone
         stack.append(node)
         anchor += name == "a"
@@ -213,22 +223,49 @@ def ratios(found: list[Block]) -> tuple[list[float], list[float]]:
     return line, [sum(w * line[j] for j, w in zip(range(i - half, i + half + 1), SMOOTH, strict=True) if 0 <= j < len(line)) for i in range(len(line))]
 
 
+def decide(found: list[Block], own: list[float]) -> None:
+    """Elements that only a word calls boilerplate: those without most of the page's text of a high ratio are left out.
+
+    The others are kept, and are the article of blocks that lie in no other. Where the page marks an article with text, none
+    outside it is kept.
+    """
+    if not any(b.node.named for b in found):
+        return
+    if any(b.keep and b.article is not None and not b.node.named for b in found):
+        for b in found:
+            b.keep = b.keep and not (b.node.named and b.article is None)
+    open_ = [(o, b) for o, b in zip(own, found, strict=True) if b.keep]
+    bar = SEED * max((o for o, _ in open_), default=0.0)
+    high = [b for o, b in open_ if o > 0 and o >= bar]
+    inside: dict[int, int] = {}
+    for b in high:
+        for number in b.node.named:
+            inside[number] = inside.get(number, 0) + len(b.text)
+    total = sum(len(b.text) for b in high)
+    for b in found:
+        if any(2 * inside.get(number, 0) <= total for number in b.node.named):
+            b.keep = False
+        elif b.node.named and b.article is None:
+            b.article = b.node.named[0]
+
+
 def extract(page: str | None) -> str:
     """Main text of one page."""
     found = blocks(page) if page else []
     if not found:
         return ""
     own, smooth = ratios(found)
+    decide(found, own)
     most = max((r for r, b in zip(smooth, found, strict=True) if b.keep), default=0.0)
     seeds = [b for r, o, b in zip(smooth, own, found, strict=True) if b.keep and r >= SEED * most and o >= SEED * SEED * most]
     if not seeds:
         return ""
     marked: dict[int, int] = {}
     for b in seeds:
-        if b.node.article is not None:
-            marked[b.node.article] = marked.get(b.node.article, 0) + len(b.text)
+        if b.article is not None:
+            marked[b.article] = marked.get(b.article, 0) + len(b.text)
     if marked:  # the page says where its article is
-        chosen = [b for b in found if b.keep and b.node.article in marked]
+        chosen = [b for b in found if b.keep and b.article in marked]
         return "\n".join(b.text for b in chosen)
     common = set(seeds[0].chain())
     for b in seeds[1:]:

@@ -26,6 +26,22 @@ def test_pages_by_hand(page, text):
     assert pages.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<article class='post has-comments'><p>{PROSE}</p></article>",
+        f"<article class='post social'><p>{PROSE}</p></article>",
+        f"<main class='main no-sidebar'><p>{PROSE}</p></main>",
+        f"<body><div class='content with-sidebar'><p>{PROSE}</p></div></body>",
+        f"<body><div class='post category-legal-notice'><p>{PROSE}</p></div><div class=sidebar><p>{PROSE}</p></div></body>",
+        f"<body><div class='page sidebar'><div><p>{PROSE}</p></div><div class=widget><p>see</p></div></div></body>",
+        f"<body><div id=search><article><p>{PROSE}</p><div class=comments><p>{PROSE}</p></div></article></div></body>",
+    ],
+)
+def test_a_class_word_alone_drops_no_article(page):
+    assert pages.extract(page) == PROSE
+
+
 @pytest.mark.parametrize("size", [100, 5_000, 300_000])
 def test_long_values_with_tag_ends(size):
     value = "b" * size + "> <p>not text</p>" + "b" * size
