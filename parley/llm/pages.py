@@ -4,8 +4,9 @@ A page is scanned into blocks of text, each with its path of block tags from the
 punctuation are added up and divided by the number of blocks: running text has long, punctuated blocks, menus and notices
 do not. The ratios of paths are fused with the density of link text, laid out in page order and smoothed, and the blocks
 above a threshold are the seeds. The content is the container that the page itself marks as article, if seeds lie in one,
-else the smallest container that holds the seeds; of its blocks, those whose path or place says boilerplate are left out. A
-word in a class or id alone leaves out neither an outermost article nor an element with most of the text of a high ratio.
+else the smallest container that holds the seeds; of its blocks, those whose path or place says boilerplate are left out. In
+a marked article a lower threshold holds, which paths of mere links do not reach; headings stay. A word in a class or id
+alone leaves out neither an outermost article nor an element with most of the text of a high ratio.
 
 Decoding follows the contract: character references are decoded, white space in a block becomes one space, blocks are
 joined by one line feed in page order. Nothing is cut or dropped by size.
@@ -59,6 +60,8 @@ DEEPEST = 512
 #: Weights of a block's neighbours in page order, and the share of the largest smoothed ratio that makes a seed.
 SMOOTH = (0.06, 0.24, 0.4, 0.24, 0.06)
 SEED = 0.25
+#: Share of it that a path reaches inside the marked article: the mark lowers the bar, paths of mere links stay below it.
+INSIDE = SEED**4
 
 
 class Node:
@@ -265,7 +268,8 @@ def extract(page: str | None) -> str:
         if b.article is not None:
             marked[b.article] = marked.get(b.article, 0) + len(b.text)
     if marked:  # the page says where its article is
-        chosen = [b for b in found if b.keep and b.article in marked]
+        bar = INSIDE * most
+        chosen = [b for r, o, b in zip(smooth, own, found, strict=True) if b.keep and b.article in marked and ((r >= bar and o >= bar) or b.node.name in HEADINGS)]
         return "\n".join(b.text for b in chosen)
     common = set(seeds[0].chain())
     for b in seeds[1:]:

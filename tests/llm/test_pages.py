@@ -42,6 +42,14 @@ def test_a_class_word_alone_drops_no_article(page):
     assert pages.extract(page) == PROSE
 
 
+def test_link_lists_in_the_article_are_below_the_threshold():
+    links = "".join(f"<li><a href=/{i}>Another story number {i}</a></li>" for i in range(8))
+    items = "".join(f"<li>{c}</li>" for c in "abcdefghij")
+    for mark in ("article", "div id=content"):
+        page = f"<{mark}><h1>T</h1><p>{PROSE}</p><p>{PROSE} <a href=x>link</a></p><div class=most-read><ul>{links}</ul></div><ol class=parts>{items}</ol><p>end</p></{mark.split()[0]}>"
+        assert pages.extract(page).split("\n") == ["T", PROSE, f"{PROSE} link", *"abcdefghij", "end"]
+
+
 @pytest.mark.parametrize("size", [100, 5_000, 300_000])
 def test_long_values_with_tag_ends(size):
     value = "b" * size + "> <p>not text</p>" + "b" * size
