@@ -3,7 +3,8 @@
 A line goes down a tree of fixed depth: first by its number of words, then word by word through its first ``DEPTH`` words;
 words with a digit count as variable. What meets in a leaf may be one template with variable fields: a word of a later
 place is fixed if two different lines of the leaf share it there, else it is a field. A line keeps its template if at
-least ``SIMILAR`` of its words are fixed; otherwise it stands for itself, digits aside. A template that stands in two
+least ``SIMILAR`` of its words are fixed; otherwise it stands for itself, digits aside. One that stands for itself and
+has more words with a digit than without (rows of numbers) is compared exactly, with its digits. A template that stands in two
 documents or more recurs: its lines stay in the first of these documents, by id, and are dropped in all others.
 
 Everything is counted, not gathered: lines are first merged into distinct ones, leaves and fields are aggregates over these,
@@ -11,13 +12,14 @@ and only lines of leaves with several different lines are opened word by word. N
 task; joins on a hot line have narrow rows and are split by the engine.
 
 Defined results: a document is its (doc_id, text); repeated rows are one document and get the same text. Null text stays
-null, empty text empty. Lines of fewer than ``SHORTEST`` words are never dropped. A null id comes before all others. Other
+null, empty text empty. Lines of fewer than ``SHORTEST`` words are never dropped, unless they are long without blanks:
+``LONG`` characters, or ``LETTERS`` letters of scripts that are written without blanks. A null id comes before all others. Other
 columns pass through, whatever their names (but for any called n_lines or n_dropped). ``n_lines`` and ``n_dropped`` count the lines of a text and those dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.common import Scratch, packed, place, restored
@@ -26,6 +28,12 @@ from parley.session import stage
 #: Leading words that choose a leaf; words of the shortest line that can recur; share of fixed words that makes a template.
 DEPTH, SHORTEST, SIMILAR = 3, 3, 0.75
 
+#: Characters, or letters of scripts without blanks, from which a line of fewer words can recur.
+LONG, LETTERS = 24, 6
+_BLANKLESS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+#: Stands between the masked words of a line and the line as it is, where that is compared too; no line holds it.
+EXACT = "\n"
+
 #: Documents whose 8-byte marks may be broadcast to pick texts before these move: 8 MB. More are joined as they are.
 FEW_DOCS = 1_000_000
 
@@ -40,6 +48,8 @@ def _key(rows: DataFrame) -> DataFrame:
 def _split(rows: DataFrame) -> DataFrame:
     """One row per line: place, words joined by single blanks in lower case, variable words masked.
 
+    Lines with more variable words than others have the unmasked words behind ``EXACT``.
+
     The text is brought into this form as a whole, each step only where it changes something, and then cut into lines.
     """
 
@@ -51,16 +61,35 @@ def _split(rows: DataFrame) -> DataFrame:
     where(lambda t: t.contains("\t") | t.contains("\r") | t.contains("\x0b") | t.contains("\x0c"), lambda t: F.translate(t, "\t\r\x0b\x0c", "    "))
     where(lambda t: t.contains("  "), lambda t: F.regexp_replace(t, " {2,}", " "))
     where(lambda t: t.contains(" \n") | t.contains("\n "), lambda t: F.regexp_replace(t, " ?\n ?", "\n"))
-    where(lambda t: t.rlike("[0-9]"), lambda t: F.regexp_replace(t, r"(?<!\S)[^\s0-9]*+[0-9]\S*", "<*>"))
-    whole = rows.select(*DOC, F.split(F.trim(text), "\n", -1).alias("lines"))
+    masked = lambda t: F.when(t.rlike("[0-9]"), F.regexp_replace(t, r"(?<!\S)[^\s0-9]*+[0-9]\S*", "<*>")).otherwise(t)
+
+    def exact(line: Column, i: Column, plain: Column) -> Column:
+        blanks = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+        masks = (F.length(line) - F.length(F.replace(line, F.lit("<*>"), F.lit("")))) / 3
+        return F.when(line.contains("<*>") & (2 * masks > blanks + 1), F.concat(line, F.lit(EXACT), F.get(plain, i))).otherwise(line)
+
+    def cut(both: Column) -> Column:
+        lines = F.split(both["masked"], "\n", -1)
+        # two variable words in a row, or the line begins with one and goes on by turns: else none has more of them
+        few = both["masked"].rlike(r"<\*> <\*>|(?:^|\n)<\*>(?:$|\n| [^ \n]+ <\*>)")
+        opened = F.get(F.transform(F.array(F.split(both["plain"], "\n", -1)), lambda plain: F.transform(lines, lambda line, i: exact(line, i, plain))), F.lit(0))
+        return F.when(few, opened).otherwise(lines)
+
+    trimmed = F.get(F.transform(F.array(F.trim(text)), lambda t: F.struct(t.alias("plain"), masked(t).alias("masked"))), F.lit(0))
+    whole = rows.select(*DOC, F.get(F.transform(F.array(trimmed), cut), F.lit(0)).alias("lines"))
     return whole.select(*DOC, F.posexplode("lines").alias("place", "words")).where("words <> ''")
 
 
 def _leaves(lines: DataFrame) -> DataFrame:
     n = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1
+    plain = F.substring_index("words", EXACT, -1)
     return (
-        lines.withColumn("n", n)
-        .where(F.col("n") >= SHORTEST)
+        lines.withColumn("wide", (F.length(plain) >= LONG) | plain.rlike(rf"(?:[{_BLANKLESS}][^{_BLANKLESS}]*+){{{LETTERS}}}"))
+        .withColumn("exact", F.when(F.col("words").contains(EXACT), F.xxhash64("words")).otherwise(F.lit(0).cast("long")))
+        .withColumn("words", F.substring_index("words", EXACT, 1))
+        .withColumn("n", n)
+        .where((F.col("n") >= SHORTEST) | F.col("wide"))
+        .drop("wide")
         .withColumn("leaf", F.xxhash64("n", F.substring_index("words", " ", DEPTH)))
         .withColumn("line_a", F.xxhash64("words"))
         .withColumn("line_b", F.xxhash64(F.lit(1), "words"))
@@ -114,15 +143,15 @@ def recurring(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     places = scratch.stage(_leaves(_split(docs)).drop("words"))
     occurrence = F.struct("doc_id", "mark", "place")
-    distinct = scratch.stage(places.groupBy(*LINE, "leaf", "n").agg(F.min(occurrence).alias("first"), F.max(occurrence).alias("last")))
+    distinct = scratch.stage(places.groupBy(*LINE, "exact", "leaf", "n").agg(F.min(occurrence).alias("first"), F.max(occurrence).alias("last")))
     general = templates(docs, distinct, scratch)
-    owned = distinct.join(general, list(LINE), "left").withColumn("tmpl_a", F.coalesce("tmpl_a", "line_a")).withColumn("tmpl_b", F.coalesce("tmpl_b", "line_b"))
-    owned = scratch.stage(owned.select(*LINE, "tmpl_a", "tmpl_b", "first", "last"))
+    owned = distinct.join(general, list(LINE), "left").withColumn("tmpl_a", F.coalesce("tmpl_a", F.when(F.col("exact") == 0, F.col("line_a")).otherwise(F.col("exact")))).withColumn("tmpl_b", F.coalesce("tmpl_b", "line_b"))
+    owned = scratch.stage(owned.select(*LINE, "exact", "tmpl_a", "tmpl_b", "first", "last"))
     across = owned.groupBy("tmpl_a", "tmpl_b").agg(F.min("first").alias("head"), F.max("last").alias("tail"))
     other = ~(F.col("head.doc_id").eqNullSafe(F.col("tail.doc_id")) & (F.col("head.mark") == F.col("tail.mark")))
     across = across.where(other).select("tmpl_a", "tmpl_b", F.col("head.doc_id").alias("head_id"), F.col("head.mark").alias("head_mark"))
-    lines = owned.join(across, ["tmpl_a", "tmpl_b"]).select(*LINE, "head_id", "head_mark")
-    dropped = places.join(lines, list(LINE)).where(~(F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("mark") == F.col("head_mark"))))
+    lines = owned.join(across, ["tmpl_a", "tmpl_b"]).select(*LINE, "exact", "head_id", "head_mark")
+    dropped = places.join(lines, [*LINE, "exact"]).where(~(F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("mark") == F.col("head_mark"))))
     drops = stage(dropped.groupBy(*DOC).agg(F.collect_set("place").alias("drop")))
     scratch.clear()
     return drops

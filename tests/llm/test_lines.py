@@ -80,6 +80,20 @@ def test_long_passages_stay_once(spark, documents):
     assert all(f"own words of {chr(97 + r.doc_id)}" in r.text for r in out)
 
 
+def test_rows_of_numbers_are_compared_exactly(spark):
+    rows = ["2019-03-04 17.5 22", "2021-07-08 3.1 9", "2019-03-04  17.5 22\n1 a 2", "1 b 2\n1 c 2 d 3"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.drop_recurring(df).collect()}
+    assert got == {0: rows[0], 1: rows[1], 2: "1 a 2", 3: rows[3]}
+
+
+def test_long_lines_without_blanks_recur(spark):
+    rows = ["版权所有，未经许可不得转载\nhttps://example.com/legal/terms/of/use\nshort one", "版权所有，未经许可不得转载\nhttps://example.com/legal/terms/of/use\nshort one", "2024年版权所有未经许可不得转载", "2023年版权所有未经许可不得转载", "未经许可\n未经许可"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.drop_recurring(df).collect()}
+    assert got == {0: rows[0], 1: "short one", 2: rows[2], 3: rows[3], 4: rows[4]}
+
+
 def test_odd_rows(odd, empty):
     out = lines.drop_recurring(odd)
     assert len(out.columns) == len(set(out.columns)) and out.count() == odd.count()
