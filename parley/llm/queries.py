@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontam, langid, lines, neardup, packing, pages, pii, search, shards, toxicity
+from parley.llm import alignment, decontam, langid, lines, neardup, packing, pages, pii, search, shards, toxicity
 
 #: Key of the pseudonyms in the registered query; a deployment passes its own.
 PII_KEY = "parley-query-key"
@@ -44,11 +44,11 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(_table(spark, folder, "documents"))
 
 
-def tokenizer_path() -> str:
-    """The word-piece vocabulary of the installed public tokenizers; executors find it at the same place."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A vocabulary of the installed public tokenizers, the word-piece one if none is named; executors find it at the same place."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,7 +65,11 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", shards.law().alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_pii_pseudonyms, op3_line_dedup, op4_near_dedup, op5_main_text, op6_decontamination, op7_language, op8_packing, op9_toxicity, op10_sharding)}
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(_table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_pii_pseudonyms, op3_line_dedup, op4_near_dedup, op5_main_text, op6_decontamination, op7_language, op8_packing, op9_toxicity, op10_sharding, op13_token_alignment)}
 
 ORACLES = {
     "op1_topk_search": """
