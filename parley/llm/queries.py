@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import alignment, decontam, langid, lines, neardup, negatives, packing, pages, pii, search, shards, toxicity
+from parley.llm import alignment, decontam, langid, lines, neardup, negatives, packing, pages, pii, quality, search, shards, toxicity
 
 #: Key of the pseudonyms in the registered query; a deployment passes its own.
 PII_KEY = "parley-query-key"
@@ -71,11 +71,15 @@ def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return negatives.mine(vectors.withColumn("label", moved))
 
 
+def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align(_table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_pii_pseudonyms, op3_line_dedup, op4_near_dedup, op5_main_text, op6_decontamination, op7_language, op8_packing, op9_toxicity, op10_sharding, op11_hard_negatives, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_pii_pseudonyms, op3_line_dedup, op4_near_dedup, op5_main_text, op6_decontamination, op7_language, op8_packing, op9_toxicity, op10_sharding, op11_hard_negatives, op12_quality, op13_token_alignment)}
 
 ORACLES = {
     "op1_topk_search": """
