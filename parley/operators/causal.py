@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.scalars import clip, hash_fraction, reasons
+from parley.operators.joins import lookup
 from parley.operators.sequence import Sequence, running_sum
 
 c = F.col
@@ -147,7 +148,7 @@ def ope(logs: DataFrame, policy: DataFrame, context: list[str], cap: float = 10.
     logs: context columns, action, propensity, reward. policy: context columns, action, prob.
     """
     means = logs.groupBy("action").agg(F.avg("reward").alias("mean_reward"))
-    rows = logs.join(_policy_by_context(policy, means, context), context, "left").join(means, "action", "left")
+    rows = lookup(lookup(logs, _policy_by_context(policy, means, context), context), means, ["action"])
     p = F.coalesce(F.try_element_at("_policy", c("action")), F.lit(0.0))
     ok = (p > 0) & (c("propensity") > 0)
     w = F.when(ok, p / F.nullif(c("propensity"), F.lit(0.0))).otherwise(0.0)

@@ -6,12 +6,19 @@ binary ones carry target (0/1) and p; regression ones carry label_num, predictio
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.scalars import bin_of, clip
+from parley.operators.fits import merged
+from parley.operators.joins import lookup
 from parley.operators.sequence import Sequence, rank, running_min, running_sum, total
 
 c = F.col
@@ -212,30 +219,52 @@ def outside_support(df: DataFrame, train: DataFrame, numeric: list[str] = NUMERI
         v = F.coalesce(c(x).cast("double"), F.lit(0.0))
         flag = flag | F.coalesce((v < c(f"_b.min_{x}")) | (v > c(f"_b.max_{x}")), F.lit(False))
     for x in categorical:
-        known = train.select(F.coalesce(x, F.lit("missing")).alias(f"_v_{x}")).distinct()
-        out = out.join(known, F.coalesce(c(x), F.lit("missing")) == c(f"_v_{x}"), "left")
-        flag = flag | c(f"_v_{x}").isNull()
-    return out.withColumn("outside", flag).drop("_b", *[f"_v_{x}" for x in categorical])
+        known = train.select(F.coalesce(x, F.lit("missing")).alias(f"_v_{x}")).distinct().withColumn(f"_h_{x}", F.lit(True))
+        out = lookup(out.withColumn(f"_v_{x}", F.coalesce(c(x), F.lit("missing"))), known, [f"_v_{x}"])
+        flag = flag | c(f"_h_{x}").isNull()
+    return out.withColumn("outside", flag).drop("_b", *[f"{p}_{x}" for x in categorical for p in ("_v", "_h")])
 
 
-def bootstrap_brier(pred: DataFrame, label: str, key: str, samples: int = 200, seed: int = 7) -> DataFrame:
-    """Resampling interval of the Brier score with Poisson(1) weights drawn by hash: one pass, same on any cluster."""
-    square = (probability(label) - F.when(c("label") == label, 1.0).otherwise(0.0)) ** 2
-    u = F.pmod(F.xxhash64(F.lit(seed), c("rep"), c(key)), F.lit(2**40)) / F.lit(float(2**40))
-    # Poisson(1) distribution function at 0, 1, 2, ...
-    edges, mass, acc = [], 0.36787944117144233, 0.0
+def _poisson_edges() -> list[int]:
+    """Poisson(1) distribution function at 0, 1, 2, ... in sixteen bits, as long as it can be told from 1."""
+    edges, mass, acc = [], math.exp(-1.0), 0.0
     for k in range(12):
         acc += mass
-        edges.append(acc)
         mass /= k + 1
-    weight = reduce(lambda a, b: a + b, [F.when(u >= e, 1).otherwise(0) for e in edges])
-    reps = pred.select(key, square.alias("s"), F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("rep"))
-    scores = reps.select("rep", "s", weight.alias("w")).groupBy("rep").agg(F.try_divide(F.sum(c("s") * c("w")), F.sum("w")).alias("brier"))
-    # at most ``samples`` rows are left
-    return scores.agg(
-        F.avg("brier").alias("mean_brier"), F.percentile("brier", F.lit(0.025)).alias("low"), F.percentile("brier", F.lit(0.975)).alias("high"),
-        F.count("*").alias("samples"),
-    )
+        if round(acc * 65536) < 65536:
+            edges.append(round(acc * 65536))
+    return edges
+
+
+POISSON_EDGES = _poisson_edges()
+
+
+def bootstrap_brier(pred: DataFrame, label: str, key: str, samples: int = 200, seed: int = 7) -> DataFrame:
+    """Resampling interval of the Brier score with Poisson(1) weights, in one pass and the same on any cluster.
+
+    The SHA-256 of seed, block and key holds sixteen draws of sixteen bits. A task adds up weights and weighted errors of all
+    samples in two arrays; rows are neither copied nor moved.
+    """
+    square = (probability(label) - F.when(c("label") == label, 1.0).otherwise(0.0)) ** 2
+    blocks = -(-samples // 16)
+    edges = np.array(POISSON_EDGES)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros((2, samples))
+        for batch in batches:
+            keys = [k.encode() for k in batch["k"].to_pylist()]
+            heads = [f"{seed}:{b}:".encode() for b in range(blocks)]
+            raw = b"".join([hashlib.sha256(h + k).digest() for k in keys for h in heads])
+            draws = np.frombuffer(raw, ">u2").reshape(len(keys), -1)[:, :samples]
+            weight = np.searchsorted(edges, draws, side="right").astype(np.float64)
+            out += np.stack([batch["s"].to_numpy(zero_copy_only=False) @ weight, weight.sum(axis=0)])
+        return out.ravel()
+
+    rows = pred.select(F.coalesce(c(key).cast("string"), F.lit("")).alias("k"), square.alias("s"))
+    errors, weights = merged(rows, fold, 2 * samples).reshape(2, samples)
+    brier = (errors / weights)[weights > 0]
+    found = [float(v) for v in (brier.mean(), np.quantile(brier, 0.025), np.quantile(brier, 0.975))] if len(brier) else [None] * 3
+    return pred.sparkSession.createDataFrame([(*found, len(brier))], "mean_brier double, low double, high double, samples long")
 
 
 def leaderboard(scores: DataFrame, metric: str, baselines: list[str]) -> DataFrame:

@@ -7,12 +7,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.scalars import bin_of, clip, logit, sigmoid
+from parley.operators import fits
+from parley.operators.joins import lookup
 from parley.operators.metrics import cumulative_values, long_features, median, nearest_rank, rank_features
-from parley.operators.sequence import Sequence, lead, rank, running_sum, total
+from parley.operators.sequence import Sequence, lead, rank, running_max, running_sum, total
 from parley.session import stage
 
 c = F.col
@@ -66,7 +69,7 @@ def predict_category_majority(df: DataFrame, train: DataFrame, labels: list[str]
     """Class shares of the row's category, of all training for a category never seen."""
     key = F.coalesce(c(category), F.lit("missing"))
     model = label_counts(train, labels, [key.alias("_cat")]).select("_cat", F.struct(*labels).alias("_c"))
-    rows = df.withColumn("_g", one_row(label_counts(train, labels))).join(model, key == c("_cat"), "left")
+    rows = lookup(df.withColumns({"_g": one_row(label_counts(train, labels)), "_cat": key}), model, ["_cat"])
     return with_prediction(rows, _shares(F.coalesce("_c", "_g"), labels), drop=("_cat", "_c", "_g"))
 
 
@@ -114,7 +117,8 @@ def predict_histogram(df: DataFrame, train: DataFrame, labels: list[str], bins:
     """Counts by (category, offer bin) smoothed with the overall counts."""
     key = F.coalesce(c("category"), F.lit("missing"))
     model = label_counts(train, labels, [key.alias("_cat"), offer_bin(bins).alias("_bin")]).select("_cat", "_bin", F.struct(*labels).alias("_c"))
-    rows = df.withColumn("_g", one_row(label_counts(train, labels))).join(model, (key == c("_cat")) & (offer_bin(bins) == c("_bin")), "left")
+    rows = df.withColumns({"_g": one_row(label_counts(train, labels)), "_cat": key, "_bin": offer_bin(bins)})
+    rows = lookup(rows, model, ["_cat", "_bin"])
     raw = {x: F.coalesce(c("_c")[x], F.lit(0)) + smoothing * (c("_g")[x] + smoothing) for x in labels}
     return with_prediction(rows, normalised(raw), drop=("_cat", "_bin", "_c", "_g"))
 
@@ -140,7 +144,7 @@ def predict_stumps(df: DataFrame, train: DataFrame, labels: list[str]) -> DataFr
     for x in STUMP_CATEGORIES:
         branch = label_counts(train, labels, [F.coalesce(c(x), F.lit("missing")).alias(f"_k_{x}")])
         branch = branch.select(f"_k_{x}", F.struct(*labels).alias(f"_c_{x}"))
-        rows = rows.join(branch, F.coalesce(c(x), F.lit("missing")) == c(f"_k_{x}"), "left")
+        rows = lookup(rows.withColumn(f"_k_{x}", F.coalesce(c(x), F.lit("missing"))), branch, [f"_k_{x}"])
     raw = {}
     for y in labels:
         parts = [F.when(side(x), c(f"_v.{x}_1_{y}")).otherwise(c(f"_v.{x}_0_{y}")) for x in STUMP_NUMBERS]
@@ -195,49 +199,33 @@ def predict_monotone(df: DataFrame, train: DataFrame, labels: list[str], positiv
     return with_prediction(rows, normalised(raw), drop=("_curve", "_g"))
 
 
-def feature_vector(df: DataFrame, train: DataFrame, numeric: list[str], categorical: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Standardised numbers and one-hot categories of both frames, fitted on train."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-
-    def plain(x: DataFrame) -> DataFrame:
-        return x.fillna(0.0, numeric).fillna("missing", categorical)
+def predict_glm(df: DataFrame, train: DataFrame, labels: list[str], numeric: list[str], categorical: list[str], l2: float = 0.05) -> DataFrame:
+    """Multinomial logistic regression with an L2 penalty; training rows with other labels take no part."""
+    how, fit = fit_glm(train, labels, numeric, categorical, l2)
+    rows, margins = fits.scores(df, how, fit.T)
+    rows = rows.withColumns({f"_p{i}": p for i, p in enumerate(fits.softmax(margins))})
+    return with_prediction(rows, {x: c(f"_p{i}") for i, x in enumerate(labels)}).select(*df.columns, "prediction", "probabilities")
 
-    pipeline = Pipeline(
-        stages=[
-            VectorAssembler(inputCols=numeric, outputCol="_raw"),
-            StandardScaler(inputCol="_raw", outputCol="_std", withMean=True, withStd=True),
-            StringIndexer(inputCols=categorical, outputCols=[f"_i_{x}" for x in categorical], handleInvalid="keep"),
-            OneHotEncoder(inputCols=[f"_i_{x}" for x in categorical], outputCols=[f"_o_{x}" for x in categorical], handleInvalid="keep"),
-            VectorAssembler(inputCols=["_std", *[f"_o_{x}" for x in categorical]], outputCol="vector"),
-        ]
-    ).fit(plain(train))
-    drop = ["_raw", "_std", *[f"_i_{x}" for x in categorical], *[f"_o_{x}" for x in categorical]]
-    return pipeline.transform(plain(df)).drop(*drop), pipeline.transform(plain(train)).drop(*drop)
 
+def fit_glm(train: DataFrame, labels: list[str], numeric: list[str], categorical: list[str], l2: float = 0.05) -> tuple[fits.Design, np.ndarray]:
+    """The design and the coefficients, one line for each label."""
+    how = fits.design(train, numeric, categorical)
+    place = F.array_position(F.array(*[F.lit(x) for x in labels]), c("label")) - 1
+    rows = how.rows(train.filter(c("label").isin(labels)), place)
+    return how, fits.multinomial(rows, how.width, len(labels), l2)
 
-def predict_glm(df: DataFrame, train: DataFrame, labels: list[str], numeric: list[str], categorical: list[str], l2: float = 0.05) -> DataFrame:
-    """Multinomial logistic regression with an L2 penalty."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
 
-    scored, fitted = feature_vector(df, train, numeric, categorical)
-    place = F.array_position(F.array(*[F.lit(x) for x in labels]), c("label")) - 1
-    model = LogisticRegression(featuresCol="vector", labelCol="_y", regParam=l2, maxIter=60, family="multinomial").fit(
-        fitted.withColumn("_y", place.cast("double"))
-    )
-    out = model.transform(scored.drop("prediction")).withColumn("_p", vector_to_array("probability"))
-    p = {x: F.coalesce(F.get("_p", F.lit(i)), F.lit(0.0)) for i, x in enumerate(labels)}
-    return with_prediction(out, p, drop=("_p", "vector", "rawPrediction", "probability"))
+def fit_ridge(train: DataFrame, numeric: list[str], categorical: list[str], l2: float = 0.05) -> tuple[fits.Design, np.ndarray]:
+    """The design and the coefficients of a linear fit of label_num with an L2 penalty."""
+    how = fits.design(train, numeric, categorical)
+    return how, fits.ridge(how.rows(train, c("label_num")), how.width, l2)
 
 
 def predict_ridge(df: DataFrame, train: DataFrame, numeric: list[str], categorical: list[str], l2: float = 0.05) -> DataFrame:
     """Linear regression with an L2 penalty."""
-    from pyspark.ml.regression import LinearRegression
-
-    scored, fitted = feature_vector(df, train, numeric, categorical)
-    model = LinearRegression(featuresCol="vector", labelCol="label_num", regParam=l2, maxIter=60).fit(fitted)
-    return model.transform(scored).drop("vector")
+    how, fit = fit_ridge(train, numeric, categorical, l2)
+    rows, (margin,) = fits.scores(df, how, fit[:, None])
+    return rows.withColumn("prediction", margin).select(*df.columns, "prediction")
 
 
 def _ratio() -> Column:
@@ -265,7 +253,7 @@ def regression_baselines(df: DataFrame, train: DataFrame) -> DataFrame:
         )
     )
     whole = one_row(median(train, "label_num", name="mid").withColumns({n: one_row(nearest_rank(train, "label_num", levels))[n] for n in levels}))
-    rows = df.withColumns({"_f": fit, "_w": whole}).join(by_cat, key == c("_cat"), "left")
+    rows = lookup(df.withColumns({"_f": fit, "_w": whole, "_cat": key}), by_cat, ["_cat"])
     listing = c("listing_price")
 
     def model(name: str, value: Column, lower: Column | None = None, upper: Column | None = None) -> Column:
@@ -481,77 +469,39 @@ def candidate_terms(train: DataFrame, names: list[str], limit: int | None = None
 
 
 def forward_select(train: DataFrame, dev: DataFrame, names: list[str], max_terms: int = 5, limit: int | None = None, l2: float = 0.01) -> tuple[list[str], DataFrame]:
-    """Greedy choice of formula terms; a term stays as long as the development log loss falls.
+    """Greedy choice of formula terms by development log loss, and the development rows with p.
 
-    All candidates of a round are judged in one pass over the training rows by their score statistic (what one Newton
-    step from the present model would gain); only the winner is fitted, by a distributed logistic regression.
+    Every open term of a round is fitted and judged; the best stays as long as the loss falls. Terms are standardised.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
     terms = candidate_terms(train, names, limit)
-    plain = {f"t{i}": col for i, col in enumerate(terms.values())}
-    label = dict(zip(plain, terms))
 
     def built(df: DataFrame) -> DataFrame:
-        return df.select(*df.columns, *[col.alias(x) for x, col in plain.items()])
-
-    # every fit reads them again, so they are staged once
-    a, b = stage(built(train).withColumn("_y", c("target").cast("double"))), stage(built(dev))
-
-    def fitted(chosen: list[str]):
-        vector = VectorAssembler(inputCols=chosen, outputCol="_v")
-        model = LogisticRegression(featuresCol="_v", labelCol="_y", regParam=l2, maxIter=40).fit(vector.transform(a))
-        return lambda df: model.transform(vector.transform(df)).withColumn("p", F.get(vector_to_array("probability"), F.lit(1)))
-
-    def loss(df: DataFrame) -> float:
-        p = clip(c("p"), 1e-6, 1 - 1e-6)
-        return df.agg(F.avg(-(c("target") * F.log(p) + (1 - c("target")) * F.log(1 - p)))).first()[0]
-
-    def gains(df: DataFrame, open_terms: list[str]) -> dict[str, float]:
-        w = c("p") * (1 - c("p"))
-        sums = [F.sum(w).alias("_w")]
-        for x in open_terms:
-            sums += [F.sum(c(x) * (c("_y") - c("p"))).alias(f"u_{x}"), F.sum(w * c(x)).alias(f"m_{x}"), F.sum(w * c(x) * c(x)).alias(f"i_{x}")]
-        row = df.agg(*sums).first()
-        spread = {x: row[f"i_{x}"] - row[f"m_{x}"] ** 2 / max(row["_w"], 1e-12) for x in open_terms}
-        return {x: row[f"u_{x}"] ** 2 / spread[x] if spread[x] > 1e-9 else 0.0 for x in open_terms}
-
-    chosen: list[str] = []
-    best, model = float("inf"), None
-    base = a.agg(F.avg("_y")).scalar()
-    for _ in range(min(max_terms, len(plain))):
-        now = model(a) if model else a.withColumn("p", base)
-        gain = gains(now, [x for x in plain if x not in chosen])
-        x = max(gain, key=lambda k: (gain[k], -list(plain).index(k)))
-        tried = fitted([*chosen, x])
-        fell = loss(tried(b))
-        if fell >= best - 1e-8:
-            break
-        chosen, best, model = [*chosen, x], fell, tried
-    out = model(b).select(*dev.columns, "p")
-    return [label[x] for x in chosen], out
+        x = F.array(*[v.cast("double") for v in terms.values()])
+        return stage(df.select(x.alias("x"), c("target").cast("double").alias("y")))
 
+    chosen, fit, (mean, std) = fits.forward(built(train), built(dev), len(terms), max_terms, l2)
+    columns = list(terms.values())
+    parts = [(columns[t].cast("double") - F.lit(float(mean[t]))) / F.lit(float(std[t])) * F.lit(float(b)) for t, b in zip(chosen, fit[1:], strict=True)]
+    p = sigmoid(reduce(lambda a, b: a + b, parts, F.lit(float(fit[0]))))
+    return [list(terms)[t] for t in chosen], dev.withColumn("p", p)
 
-def platt(pred: DataFrame) -> DataFrame:
-    """Sigmoid recalibration of p against the 0/1 target."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
-    rows = VectorAssembler(inputCols=["_l"], outputCol="_v").transform(pred.withColumns({"_l": logit(c("p")), "_y": c("target").cast("double")}))
-    model = LogisticRegression(featuresCol="_v", labelCol="_y", maxIter=100).fit(rows)
-    return model.transform(rows).withColumn("calibrated", F.get(vector_to_array("probability"), F.lit(1))).select(*pred.columns, "calibrated")
+def platt(pred: DataFrame) -> DataFrame:
+    """Sigmoid recalibration of p against the 0/1 target: intercept and slope on the logit of p."""
+    rows = stage(pred.select(F.array(F.lit(1.0), logit(c("p"))).alias("z"), F.array().cast("array<int>").alias("k"), c("target").cast("double").alias("y")))
+    intercept, slope = (float(b) for b in fits.logistic(rows, 2, 0.0))
+    return pred.withColumn("calibrated", sigmoid(F.lit(intercept) + F.lit(slope) * logit(c("p"))))
 
 
 def isotonic(pred: DataFrame) -> DataFrame:
     """Monotone recalibration of p; equal p are pooled before the fit."""
-    from pyspark.ml.regression import IsotonicRegression
-
-    points = pred.groupBy("p").agg(F.avg(c("target").cast("double")).alias("_y"), F.count("*").cast("double").alias("_w"))
-    model = IsotonicRegression(featuresCol="p", labelCol="_y", weightCol="_w", predictionCol="calibrated").fit(points)
-    return model.transform(pred)
+    points = stage(pred.groupBy("p").agg(F.sum(c("target").cast("long")).alias("s"), F.count("*").alias("w")))
+    pools = fits.monotone(points, "p", "s", "w")
+    starts = pools.select(c("low").alias("p"), (c("total") / c("weight")).alias("fit"))
+    # places in order carry the value of the last pool that began; values rise from pool to pool
+    both = points.filter(c("p").isNotNull()).select("p", F.lit(None).cast("double").alias("fit"), F.lit(1).alias("asked")).unionByName(starts.withColumn("asked", F.lit(0)))
+    curve = Sequence(both, [], ["p", "asked"]).add(calibrated=running_max(c("fit"))).frame.filter("asked = 1").select("p", "calibrated")
+    return lookup(pred, curve, ["p"])
 
 
 def counter_frontier(contexts: DataFrame, history: DataFrame, k: int = 5) -> DataFrame:

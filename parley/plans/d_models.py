@@ -219,19 +219,6 @@ def d06_predict(t: Tables) -> DataFrame:
     return shown(M.predict_monotone(dev, train, NAMES))
 
 
-@query("d07_glm")
-def d07(t: Tables) -> DataFrame:
-    train, dev = regions(B.split_cases(t, TASK))
-    pred = M.predict_glm(dev, train, NAMES, E.NUMERIC, E.CATEGORICAL)
-    return E.score_multiclass(pred, NAMES)
-
-
-@query("d07_ridge")
-def d07_ridge(t: Tables) -> DataFrame:
-    train, dev = regions(B.split_cases(t, "final_price_ratio"))
-    return E.score_regression(M.predict_ridge(dev, train, E.NUMERIC, E.CATEGORICAL))
-
-
 REG = """
 regr AS (SELECT *, coalesce(offer_to_asking_ratio, 0) AS r FROM kept WHERE task = 'final_price_ratio' AND label_num IS NOT NULL),
 train AS (SELECT * FROM regr WHERE region = 'train'),
@@ -377,18 +364,6 @@ def d11_rule(t: Tables) -> DataFrame:
     return M.predict_threshold_rule(dev, M.fit_threshold(train, B.REG_NAMES), B.REG_NAMES).select("doc_id", F.round("p", 6).alias("p"))
 
 
-@query("d12_two_state")
-def d12(t: Tables) -> DataFrame:
-    train, dev = regions(B.case_reg(t))
-    return E.score_binary(M.predict_two_state(dev, train, B.REG_NAMES))
-
-
-@query("d13_forward_select")
-def d13(t: Tables) -> DataFrame:
-    train, dev = regions(B.case_reg(t))
-    return E.score_binary(M.forward_select(train, dev, B.REG_NAMES)[1])
-
-
 @query(
     "d14_recent",
     ctes(B.CASE_REG)
@@ -523,18 +498,6 @@ def d18_drift(t: Tables) -> DataFrame:
     return out.withColumns({x: F.round(x, 6) for x in ("early_ece", "late_ece", "drift")})
 
 
-@query("d19_platt")
-def d19(t: Tables) -> DataFrame:
-    pred = B.predictions(t).select("row_id", "target", c("p_accept").alias("p"))
-    return E.score_binary(M.platt(pred).withColumn("p", c("calibrated")))
-
-
-@query("d19_isotonic")
-def d19_isotonic(t: Tables) -> DataFrame:
-    pred = B.predictions(t).select("row_id", "target", c("p_accept").alias("p"))
-    return E.score_binary(M.isotonic(pred).withColumn("p", c("calibrated")))
-
-
 @query(
     "d20_nearest_rank",
     """
@@ -621,11 +584,6 @@ def d22(t: Tables) -> DataFrame:
     return E.outside_support(dev, train).select("row_id", "outside")
 
 
-@query("d23_bootstrap_brier")
-def d23(t: Tables) -> DataFrame:
-    return E.bootstrap_brier(B.predictions(t), "accept", "row_id")
-
-
 def board(t: Tables) -> DataFrame:
     """Scores of the five transparent classifiers on two splits; stage because ranking and selection read it."""
     rows = stage(K.build_cases(B.numbered(t), [TASK]).filter(c("outcome_state") == "supervised").withColumnRenamed("label_str", "label"))

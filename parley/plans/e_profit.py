@@ -317,8 +317,8 @@ def e17(t: Tables) -> DataFrame:
     J
     + """
     SELECT * FROM (
-      SELECT k::VARCHAR AS decision_id, CASE WHEN taken IN ('decline', 'wait') AND offered IS NOT NULL AND margin <= 0 THEN 'retrospective_positive_offer_was_not_closed'
-             WHEN has_outcome AND taken = 'accept' AND k % 13 = 0 THEN 'accepted_order_later_returned' END AS reason FROM judged)
+      SELECT k::VARCHAR AS decision_id, CASE WHEN taken IN ('decline', 'wait') AND offered IS NOT NULL AND margin <= 0 THEN 'positive_offer_let_go'
+             WHEN has_outcome AND taken = 'accept' AND k % 13 = 0 THEN 'accepted_then_returned' END AS reason FROM judged)
     WHERE reason IS NOT NULL
     """,
 )
@@ -384,9 +384,9 @@ def e20(t: Tables) -> DataFrame:
               list_position(['wait', 'decline', 'counter_at_amount', 'accept'], action)) AS r FROM act3 WHERE NOT violates AND expected IS NOT NULL),
     best AS (SELECT k, max(m) FILTER (r = 1) AS m1, max(m) FILTER (r = 2) AS m2, max(action) FILTER (r = 1) AS a1 FROM v GROUP BY 1),
     w AS (
-      SELECT p.k, comparables, m1, a1, concat_ws(',', CASE WHEN cost IS NULL THEN 'missing_seller_cost_basis' END, CASE WHEN age_hours > 72 THEN 'stale_traffic_data' END,
-               CASE WHEN comparables < 10 THEN 'insufficient_comparable_mature_outcomes' END, CASE WHEN b.k IS NULL THEN 'no_viable_actions_above_floor' END,
-               CASE WHEN m1 - m2 < 5.0 THEN 'top_actions_too_close_for_confident_choice' END) AS reasons
+      SELECT p.k, comparables, m1, a1, concat_ws(',', CASE WHEN cost IS NULL THEN 'no_cost' END, CASE WHEN age_hours > 72 THEN 'old_traffic' END,
+               CASE WHEN comparables < 10 THEN 'few_comparables' END, CASE WHEN b.k IS NULL THEN 'nothing_above_floor' END,
+               CASE WHEN m1 - m2 < 5.0 THEN 'best_two_too_close' END) AS reasons
       FROM pend p LEFT JOIN best b USING (k))
     SELECT k::VARCHAR AS decision_id, CASE WHEN reasons = '' THEN 'recommend' ELSE 'abstain' END AS status, reasons, comparables,
            CASE WHEN reasons = '' THEN a1 END AS action, CASE WHEN reasons = '' THEN m1 END AS expected_margin,
