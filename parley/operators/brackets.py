@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.scalars import reasons
+from parley.operators.dominance import below
 from parley.operators.sequence import Sequence, running_sum
 
 c = F.col
@@ -52,29 +53,37 @@ def in_bracket(value: Column, lo: Column | None = None, hi: Column | None = None
 def climatology(events: DataFrame, history: DataFrame) -> DataFrame:
     """Events with the share of earlier days at their station that fell into their bracket, and the station's forecast bias.
 
-    history: station, local_date, high, forecast_mean. Days are spread over the station's distinct brackets
-    (few) and counted by running sums in date order; events read the sums at their own date, strictly before it.
+    history: station, local_date, high, forecast_mean. What lies below either end of a bracket is counted by date and value
+    at once, so days meet neither events nor brackets; bias and number of days come from running sums in date order. Events
+    read all of these at their own date, strictly before it.
     """
-    brackets = events.select("station", *BRACKET).distinct()
-    seen = history.join(brackets, "station").select(
-        "station", *BRACKET, "local_date", F.lit(1).alias("_k"), F.lit(None).cast("string").alias("event_id"),
-        in_bracket(c("high")).cast("int").alias("_hit"), (c("high") - c("forecast_mean")).alias("_delta"),
+    day = F.coalesce(F.unix_date("local_date"), F.lit(-(2**31))).alias("_day")
+    both = history.select("station", "local_date", F.lit(1).alias("_k"), F.lit("").alias("_row"), (c("high") - c("forecast_mean")).alias("_delta")).unionByName(
+        events.select("station", "local_date", F.lit(0).alias("_k"), c("event_id").cast("string").alias("_row"), F.lit(None).cast("double").alias("_delta"))
     )
-    asked = events.select(
-        "station", *BRACKET, "local_date", F.lit(0).alias("_k"), "event_id", F.lit(None).cast("int").alias("_hit"), F.lit(None).cast("double").alias("_delta")
-    )
-    # open ends are NULL; a string key keeps them comparable
-    key = F.to_json(F.struct(*BRACKET))
-    both = seen.unionByName(asked).withColumn("_bracket", key).withColumn("_row", F.coalesce("event_id", F.lit("")))
-    seq = Sequence(both, ["station", "_bracket"], ["local_date", "_k", "_row"]).add(
-        _n=running_sum(c("_k")), _hits=running_sum(F.coalesce("_hit", F.lit(0))), _d=running_sum(F.coalesce("_delta", F.lit(0.0))),
-        _m=running_sum(F.when(c("_delta").isNotNull(), 1).otherwise(0)),
+    seq = Sequence(both, ["station"], ["local_date", "_k", "_row"]).add(
+        _n=running_sum(c("_k")), _d=running_sum(F.coalesce("_delta", F.lit(0.0))), _m=running_sum(F.when(c("_delta").isNotNull(), 1).otherwise(0))
     ).frame
-    out = seq.filter(c("_k") == 0).select(
-        "event_id", c("_n").alias("history_days"), F.when(c("_n") > 0, F.round(c("_hits") / c("_n"), 6)).alias("station_climatology"),
-        F.when(c("_m") > 0, F.round(c("_d") / c("_m"), 6)).otherwise(0.0).alias("station_bias"),
+    days = seq.filter(c("_k") == 0).select(c("_row").alias("event_id"), "_n", "_d", "_m")
+
+    # an open upper end has everything below it, an open lower end nothing
+    upper = F.struct(F.lit("u").alias("side"), F.coalesce("hi", F.lit(float("nan"))).cast("double").alias("v"), F.coalesce(c("hi").isNull() | c("hi_incl"), F.lit(False)).alias("incl"))
+    lower = F.struct(F.lit("l").alias("side"), c("lo").cast("double").alias("v"), (~F.coalesce("lo_incl", F.lit(False))).alias("incl"))
+    ends = events.select("station", day, "event_id", F.explode(F.array(upper, lower)).alias("e")).filter("e.v IS NOT NULL")
+    ends = ends.select("station", "_day", F.concat("e.side", c("event_id").cast("string")).alias("_end"), c("e.v").alias("_v"), c("e.incl").alias("_incl"))
+    points = history.select("station", day, c("high").cast("double").alias("_v"))
+    counts = below(points, ends, ["station"], "_day", "_v", "_end", "_incl")
+    sides = counts.groupBy(F.expr("substr(_end, 2)").alias("event_id")).agg(
+        F.sum(F.when(c("_end").startswith("u"), c("n")).otherwise(-c("n"))).alias("_hits")
+    )
+    hits = F.when(c("lo").isNull() & c("hi").isNull(), c("_n")).otherwise(F.greatest(F.coalesce("_hits", F.lit(0)), F.lit(0)))
+    out = events.join(days, "event_id").join(sides, "event_id", "left").withColumns(
+        {
+            "history_days": c("_n"), "station_climatology": F.when(c("_n") > 0, F.round(hits / c("_n"), 6)),
+            "station_bias": F.when(c("_m") > 0, F.round(c("_d") / c("_m"), 6)).otherwise(0.0),
+        }
     )
-    return events.join(out, "event_id")
+    return out.drop("_n", "_d", "_m", "_hits")
 
 
 def forecast_mass(distribution: Column, shift: Column | None = None) -> Column:
