@@ -5,6 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from parley.operators import sequence
 from parley.session import local_session
 
 
@@ -16,8 +17,9 @@ def spark():
 
 
 @pytest.fixture
-def many_segments(spark):
-    """Keep every range partition, so that small data really spreads over segments."""
+def many_segments(spark, monkeypatch):
+    """Keep every range partition and cut every key, so that small data really spreads over segments."""
+    monkeypatch.setattr(sequence, "HOT_ROWS", 0)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield spark
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

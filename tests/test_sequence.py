@@ -3,6 +3,7 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
+from parley.operators import sequence
 from parley.operators.sequence import SEGMENT, Sequence, lag, lead, rank, running_max, running_min, running_sum, total
 from parley.operators.walkforward import drawdown, framed
 
@@ -51,6 +52,28 @@ def test_even_keys(many_segments):
     check(many_segments, rows(0.1), ["k"])
 
 
+def test_hot_and_cold_keys_side_by_side(many_segments, monkeypatch):
+    monkeypatch.setattr(sequence, "HOT_ROWS", 100)
+    data = rows(0.7)
+    df = many_segments.createDataFrame(data, "k int, t int, i int, v int")
+    seq = Sequence(df, ["k"], ["t", "i"])
+    assert seq._df.select("k").distinct().count() == 1 and seq._cold.filter("k = 0").count() == 0
+    check(many_segments, data, ["k"])
+    nulls = [(None if k == 0 else k, t, i, v) for k, t, i, v in data]
+    got = Sequence(many_segments.createDataFrame(nulls, "k int, t int, i int, v int"), ["k"], ["t", "i"]).add(r=rank(), n=total())
+    assert got._df.count() == got.frame.filter("k IS NULL").count() == got.frame.filter("k IS NULL").agg(F.max("r")).first()[0]
+
+
+def test_keys_below_the_bound_are_not_staged(many_segments, monkeypatch):
+    monkeypatch.setattr(sequence, "HOT_ROWS", 10_000)
+    data = rows(0.7)
+    want, df = expected(pd.DataFrame(data, columns=["k", "t", "i", "v"]), ["k"]), many_segments.createDataFrame(data, "k int, t int, i int, v int")
+    seq = Sequence(df, ["k"], ["t", "i"])
+    assert seq._df is None
+    got = seq.add(r=rank(), s=running_sum(F.col("v")), nxt=lead(F.col("i"))).map(t2=F.col("t") * 2).frame.toPandas().set_index("i").loc[want.index]
+    assert (got["r"] == want["r"]).all() and (got["s"] == want["s"]).all() and (got["nxt"].fillna(-1) == want["nxt"].fillna(-1)).all()
+
+
 def test_no_key_at_all(many_segments):
     check(many_segments, rows(0.3), [])
 
