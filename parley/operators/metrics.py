@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from parley.functions.scalars import bin_of, clip
 from parley.operators.fits import merged
 from parley.operators.joins import lookup
+from parley.operators.selection import Place, values_at
 from parley.operators.sequence import Sequence, rank, running_min, running_sum, total
 
 c = F.col
@@ -161,25 +162,29 @@ def cumulative_values(df: DataFrame, value: str, keys: list[str] | None = None)
     return Sequence(counted, keys, [value]).add(_cum=running_sum(c("_n")), _total=total(c("_n"))).frame
 
 
-def _covers(position: Column) -> Column:
-    return (position >= c("_cum") - c("_n")) & (position < c("_cum"))
+def quantile_place(q: float) -> Place:
+    """Nearest rank; the index is rounded half to even."""
+    return q, lambda n: F.bround((n - 1) * F.lit(q), 0)
+
+
+MIDDLE: dict[str, Place] = {"_low": (0.5, lambda n: F.floor((n - 1) / 2)), "_high": (0.5, lambda n: F.ceil((n - 1) / 2))}
 
 
 def nearest_rank(df: DataFrame, value: str, quantiles: dict[str, float], keys: list[str] | None = None) -> DataFrame:
     """Quantiles by nearest rank; the index is rounded half to even."""
-    at = cumulative_values(df, value, keys)
-    picks = [
-        F.max(F.when(_covers(F.bround((c("_total") - 1) * F.lit(q), 0).cast("long")), c(value))).alias(name) for name, q in quantiles.items()
-    ]
-    return at.groupBy(*(keys or [])).agg(*picks)
+    return values_at(df, value, {name: quantile_place(q) for name, q in quantiles.items()}, keys).drop("_total")
 
 
 def median(df: DataFrame, value: str, keys: list[str] | None = None, name: str = "median") -> DataFrame:
     """Exact interpolated median."""
-    at = cumulative_values(df, value, keys)
-    low = F.max(F.when(_covers(F.floor((c("_total") - 1) / 2)), c(value)))
-    high = F.max(F.when(_covers(F.ceil((c("_total") - 1) / 2)), c(value)))
-    return at.groupBy(*(keys or [])).agg(((low + high) / 2).alias(name))
+    at = values_at(df, value, MIDDLE, keys)
+    return at.select(*(keys or []), ((c("_low") + c("_high")) / 2).alias(name))
+
+
+def quantiles_and_median(df: DataFrame, value: str, quantiles: dict[str, float], keys: list[str] | None = None, name: str = "mid") -> DataFrame:
+    """Nearest ranks and the interpolated median, found together."""
+    at = values_at(df, value, {**MIDDLE, **{x: quantile_place(q) for x, q in quantiles.items()}}, keys)
+    return at.select(*(keys or []), ((c("_low") + c("_high")) / 2).alias(name), *quantiles)
 
 
 def interval_report(pred: DataFrame, train: DataFrame, label: str = "label_num", level: float = 0.8) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from parley.functions.scalars import bin_of, clip, logit, sigmoid
 from parley.operators import fits
 from parley.operators.joins import lookup
-from parley.operators.metrics import cumulative_values, long_features, median, nearest_rank, rank_features
+from parley.operators.metrics import cumulative_values, long_features, median, quantiles_and_median, rank_features
 from parley.operators.sequence import Sequence, lead, rank, running_max, running_sum, total
 from parley.session import stage
 
@@ -235,10 +235,16 @@ def _ratio() -> Column:
 def regression_baselines(df: DataFrame, train: DataFrame) -> DataFrame:
     """Predictions of all regression baselines, one row per (row, model), with intervals where the model has them."""
     key = F.coalesce(c("category"), F.lit("missing"))
-    trained = train.withColumn("_cat", key)
     levels = {"lower": 0.1, "median": 0.5, "upper": 0.9}
-    by_cat = median(trained, "label_num", ["_cat"], "cat_median").join(nearest_rank(trained, "label_num", levels, ["_cat"]), "_cat")
-    cut = median(train.select(_ratio().alias("_r")), "_r", name="cut").scalar()
+    # label by category, label of all rows and offer ratio: all quantiles are found in one go
+    def told(of: str, category: Column, value: Column) -> Column:
+        return F.struct(F.lit(of).alias("of"), category.alias("_cat"), value.cast("double").alias("v"))
+
+    none = F.lit(None).cast("string")
+    told = F.array(told("cat", key, c("label_num")), told("all", none, c("label_num")), told("ratio", none, _ratio()))
+    found = stage(quantiles_and_median(train.select(F.explode(told).alias("x")).select("x.*"), "v", levels, ["of", "_cat"]))
+    by_cat = found.filter("of = 'cat'").select("_cat", c("mid").alias("cat_median"), *levels)
+    cut = found.filter("of = 'ratio'").select(c("mid").alias("cut")).scalar()
     split = train.withColumn("_cut", cut)
     y, r, k = c("label_num"), _ratio(), F.coalesce(c("prior_counter_count"), F.lit(0))
     fit = one_row(
@@ -252,7 +258,7 @@ def regression_baselines(df: DataFrame, train: DataFrame) -> DataFrame:
             F.coalesce(F.avg(F.when(r >= c("_cut"), y)), F.avg(y)).alias("right"),
         )
     )
-    whole = one_row(median(train, "label_num", name="mid").withColumns({n: one_row(nearest_rank(train, "label_num", levels))[n] for n in levels}))
+    whole = one_row(found.filter("of = 'all'").select("mid", *levels))
     rows = lookup(df.withColumns({"_f": fit, "_w": whole, "_cat": key}), by_cat, ["_cat"])
     listing = c("listing_price")
 
@@ -541,7 +547,8 @@ def counter_frontier(contexts: DataFrame, history: DataFrame, k: int = 5) -> Dat
     p = [c(f"p_{s}") for s in ("accept", "counter", "exit")]
     entropy = reduce(lambda a, b: a + b, [F.when(x > 0, -x * F.log2(x)).otherwise(0.0) for x in p])
     out = cand.join(span, "category", "left").withColumn("supported", F.coalesce(c("ratio").between(c("_lo"), c("_hi")), F.lit(False)))
-    joined = out.join(answers, (out["category"] == answers["category"]) & (out["ratio"] == answers["_asked"]), "left").drop(answers["category"])
+    answers = answers.withColumnRenamed("category", "_answered")
+    joined = out.join(answers, (c("category") == c("_answered")) & (c("ratio") == c("_asked")), "left").drop("_answered")
     shown = {x: F.when(c("supported"), c(x)) for x in ("comparables", "p_accept", "p_counter", "p_exit")}
     return joined.withColumns({**shown, "expected_rounds": F.when(c("supported"), 1 + c("p_counter")), "entropy": F.when(c("supported"), entropy)}).select(
         "context_id", "category", "ratio", "counter_amount", "supported", "support", "comparables",

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.operators.selection import rows_at
 from parley.operators.sequence import Sequence, rank, total
 
 c = F.col
@@ -33,13 +34,33 @@ def region(position: Column, n: Column, train: float = 0.6, development: float =
     return F.when(position <= train_end, TRAIN).when(position <= dev_end, DEVELOPMENT).otherwise(HIDDEN)
 
 
+def _ends(train: float, development: float) -> dict:
+    """Places of the last rows of train and development, as 0-based indices."""
+    check_fractions(train, development)
+
+    def train_end(n: Column) -> Column:
+        return F.greatest(F.lit(1), F.floor(n * F.lit(train)))
+
+    def dev_end(n: Column) -> Column:
+        reach = F.greatest(train_end(n), F.floor(n * F.lit(train + development)))
+        return F.when(n >= 3, F.least(reach, n - 1)).otherwise(reach)
+
+    return {"train": (train, lambda n: train_end(n) - 1), "dev": (train + development, lambda n: dev_end(n) - 1)}
+
+
+def _by_position(df: DataFrame, by: list[str], first: Column, order: list[str], train: float, development: float) -> DataFrame:
+    """Region by place in an order: rows are compared with the last ones of train and development, none is moved."""
+    rows, extra = rows_at(df, by, first, order, _ends(train, development))
+    own = F.struct(*order)
+    at = F.when(own <= c("_cut_train"), TRAIN).when(own <= c("_cut_dev"), DEVELOPMENT).otherwise(HIDDEN)
+    return rows.withColumn("region", at).drop(*extra)
+
+
 def chronological_split(
     df: DataFrame, ts: str, key: str, by: list[str] | None = None, train: float = 0.6, development: float = 0.2
 ) -> DataFrame:
     """Region by time rank, ties by key, separately for each value of ``by``."""
-    by = by or []
-    placed = Sequence(df, by, [ts, key]).add(_pos=rank(), _n=total()).frame
-    return placed.withColumn("region", region(c("_pos"), c("_n"), train, development)).drop("_pos", "_n")
+    return _by_position(df, by or [], c(ts), [ts, key], train, development)
 
 
 def group_value(group: str, key: str) -> Column:
@@ -69,25 +90,22 @@ def chronological_purged_split(
     return kept.drop("_group"), purged.select(*by, c("_group").alias(group), "rows")
 
 
-def _place_groups(df: DataFrame, groups: DataFrame, by: list[str], order: list[str], train: float, development: float) -> DataFrame:
-    placed = Sequence(groups, by, order).add(_pos=rank(), _n=total()).frame
+def _place_groups(rows: DataFrame, by: list[str], order: list[str], train: float, development: float) -> DataFrame:
+    """Region of every row's group: its place among the distinct groups."""
+    placed = Sequence(rows.select(*by, *order).distinct(), by, order).add(_pos=rank(), _n=total()).frame
     regions = placed.select(*by, "_group", region(c("_pos"), c("_n"), train, development).alias("region"))
-    return df.join(regions, [*by, "_group"]).drop("_group")
+    return rows.join(regions, [*by, "_group"]).drop(*order)
 
 
 def group_split(df: DataFrame, group: str, key: str, by: list[str] | None = None, train: float = 0.6, development: float = 0.2) -> DataFrame:
     """Whole groups to regions, groups in text order."""
     by = by or []
     rows = df.withColumn("_group", group_value(group, key))
-    return _place_groups(rows, rows.select(*by, "_group").distinct(), by, ["_group"], train, development)
+    return _place_groups(rows, by, ["_group"], train, development)
 
 
-def hash_group_split(
-    df: DataFrame, group: str, split_name: str | None = None, by: list[str] | None = None, missing: str = "error",
-    train: float = 0.6, development: float = 0.2,
-) -> DataFrame:
-    """Whole groups to regions, groups in hash order. Missing groups: ``error`` or ``exclude``."""
-    by = by or []
+def _hashed(df: DataFrame, group: str, split_name: str | None = None, missing: str = "error") -> DataFrame:
+    """df with its group and the hash that orders groups. Missing groups: ``error`` or ``exclude``."""
     rows = df.withColumn("_group", F.nullif(c(group).cast("string"), F.lit("")))
     if missing == "error":
         fault = F.raise_error(F.lit(f"missing {group} in a required split"))
@@ -97,8 +115,15 @@ def hash_group_split(
     else:
         raise ValueError("missing must be 'error' or 'exclude'")
     body = F.concat(F.lit('{"group":"'), c("_group"), F.lit(f'","split":"{split_name or group}"}}'))
-    groups = rows.select(*by, "_group").distinct().withColumn("_hash", F.sha2(body, 256))
-    return _place_groups(rows, groups, by, ["_hash", "_group"], train, development)
+    return rows.withColumn("_hash", F.sha2(body, 256))
+
+
+def hash_group_split(
+    df: DataFrame, group: str, split_name: str | None = None, by: list[str] | None = None, missing: str = "error",
+    train: float = 0.6, development: float = 0.2,
+) -> DataFrame:
+    """Whole groups to regions, groups in hash order. Missing groups: ``error`` or ``exclude``."""
+    return _place_groups(_hashed(df, group, split_name, missing), by or [], ["_hash", "_group"], train, development)
 
 
 def standard_splits(cases: DataFrame) -> DataFrame:
@@ -107,15 +132,19 @@ def standard_splits(cases: DataFrame) -> DataFrame:
     def named(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.lit(name).alias("split_name"), "task", "row_id", "region")
 
-    lean = cases.select("task", "row_id", "timestamp", "listing_id", "seller_id", "buyer_id", "category", "thread_id")
-    parts = [
-        named(chronological_purged_split(lean, "timestamp", "listing_id", "row_id", ["task"])[0], "chronological_listing_purged"),
-        named(hash_group_split(lean, "seller_id", by=["task"]), "seller_disjoint"),
-        named(hash_group_split(lean, "buyer_id", by=["task"], missing="exclude"), "buyer_disjoint"),
-        named(hash_group_split(lean, "category", by=["task"]), "category_disjoint_diagnostic"),
-        named(hash_group_split(lean, "thread_id", by=["task"]), "thread_safe_nested_development"),
+    chrono = chronological_purged_split(cases.select("task", "row_id", "timestamp", "listing_id"), "timestamp", "listing_id", "row_id", ["task"])[0]
+    groups = {
+        "seller_disjoint": ("seller_id", "error"), "buyer_disjoint": ("buyer_id", "exclude"),
+        "category_disjoint_diagnostic": ("category", "error"), "thread_safe_nested_development": ("thread_id", "error"),
+    }
+    # the groups of all splits and tasks take their places together
+    rows = [
+        _hashed(cases.select("task", "row_id", column), column, missing=missing).select(F.lit(name).alias("split_name"), "task", "row_id", "_group", "_hash")
+        for name, (column, missing) in groups.items()
     ]
-    return reduce(DataFrame.unionByName, parts)
+    safe = _place_groups(reduce(DataFrame.unionByName, rows), ["split_name", "task"], ["_hash", "_group"], 0.6, 0.2)
+    names = ["split_name", "task", "row_id", "region"]
+    return chrono.withColumn("split_name", F.lit("chronological_listing_purged")).select(*names).unionByName(safe.select(*names))
 
 
 def assignment_counts(assign: DataFrame) -> DataFrame:
