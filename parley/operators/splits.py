@@ -48,9 +48,9 @@ def _ends(train: float, development: float) -> dict:
     return {"train": (train, lambda n: train_end(n) - 1), "dev": (train + development, lambda n: dev_end(n) - 1)}
 
 
-def _by_position(df: DataFrame, by: list[str], first: Column, order: list[str], train: float, development: float) -> DataFrame:
-    """Region by place in an order: rows are compared with the last ones of train and development, none is moved."""
-    rows, extra = rows_at(df, by, first, order, _ends(train, development))
+def _by_position(df: DataFrame, first: Column, order: list[str], train: float, development: float) -> DataFrame:
+    """Region by place in an order of all rows: they are compared with the last ones of train and development, none is moved."""
+    rows, extra = rows_at(df, [], first, order, _ends(train, development))
     own = F.struct(*order)
     at = F.when(own <= c("_cut_train"), TRAIN).when(own <= c("_cut_dev"), DEVELOPMENT).otherwise(HIDDEN)
     return rows.withColumn("region", at).drop(*extra)
@@ -60,7 +60,10 @@ def chronological_split(
     df: DataFrame, ts: str, key: str, by: list[str] | None = None, train: float = 0.6, development: float = 0.2
 ) -> DataFrame:
     """Region by time rank, ties by key, separately for each value of ``by``."""
-    return _by_position(df, by or [], c(ts), [ts, key], train, development)
+    if not by:
+        return _by_position(df, c(ts), [ts, key], train, development)
+    placed = Sequence(df, by, [ts, key]).add(_pos=rank(), _n=total()).frame
+    return placed.withColumn("region", region(c("_pos"), c("_n"), train, development)).drop("_pos", "_n")
 
 
 def group_value(group: str, key: str) -> Column:

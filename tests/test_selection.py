@@ -46,6 +46,11 @@ def test_split_by_time_with_ties_and_gaps(spark, setting):
     df = spark.createDataFrame(data, "i long, task string, t int, row string").withColumn("ts", F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, t)"))
     got = {r["i"]: r["region"] for r in P.chronological_split(df, "ts", "row", ["task"]).collect()}
     assert len(got) == len(data)
+    alone = {r["i"]: r["region"] for r in P.chronological_split(df.filter("task = 'x'"), "ts", "row").collect()}
+    assert alone == {i: got[i] for i in alone} and len(alone) == sum(x[1] == "x" for x in data)
+    rows, _ = L.rows_at(df, ["task"], F.col("ts"), ["ts", "row"], P._ends(0.6, 0.2))
+    by_cut = rows.select("i", F.struct("ts", "row") <= F.col("_cut_train")).collect()
+    assert {i for i, is_train in by_cut if is_train} == {i for i, x in got.items() if x == "train"}
     for task in {x[1] for x in data}:
         rows = sorted([x for x in data if x[1] == task], key=lambda x: (x[2] is not None, x[2] or 0, x[3]))
         n = len(rows)
@@ -56,7 +61,7 @@ def test_split_by_time_with_ties_and_gaps(spark, setting):
             assert got[i] == ("train" if place <= train else "development" if place <= dev else "hidden"), (task, place)
 
 
-def test_groups_in_text_order(spark, setting):
+def test_groups_in_text_order(spark):
     names = [f"group-{i:04d}" for i in range(400)] + ["", "a", "é", "zz", "group-0399x"]
     df = spark.createDataFrame([(i, names[i % len(names)]) for i in range(2000)], "i long, g string")
     got = {r["g"]: r["region"] for r in P.group_split(df.filter("g <> ''"), "g", "i").collect()}
