@@ -20,8 +20,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import sys
-import types
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from parley.llm.common import Scratch, pick
+from parley.llm.common import Scratch, per_worker, pick
 
 #: Bytes of text that close a block, and blocks whose counts and documents meet in a partition on average.
 BLOCK_BYTES, TOGETHER = 2_000_000, 8
@@ -104,12 +102,8 @@ class Sides:
 
 
 def sides(path_a: str, path_b: str) -> Sides:
-    """One pair of vocabularies for each Python worker: tasks of a worker share it, as functions travel by value and cannot."""
-    held = sys.modules.setdefault("parley_worker_memory", types.ModuleType("parley_worker_memory")).__dict__
-    key = ("alignment", path_a, path_b)
-    if key not in held:
-        held[key] = Sides(path_a, path_b)
-    return held[key]
+    """One pair of vocabularies for each Python worker."""
+    return per_worker(("alignment", path_a, path_b), lambda: Sides(path_a, path_b))
 
 
 @dataclass

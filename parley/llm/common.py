@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +56,14 @@ def share(*columns: str, seed: str = "") -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 40)) / float(1 << 40)
 
 
+def per_worker(key: tuple, build):
+    """What ``build`` makes, once for each Python worker: functions of this package travel by value, so their modules hold nothing."""
+    held = sys.modules.setdefault("parley_worker_memory", types.ModuleType("parley_worker_memory")).__dict__
+    if key not in held:
+        held[key] = build()
+    return held[key]
+
+
 class Scratch:
     """Tables staged in the shared folder for the steps of one operator, removed once what follows is staged itself."""
 

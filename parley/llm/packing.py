@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from parley.llm.common import pick
+from parley.llm.common import per_worker, pick
 from parley.session import staging_root
 
 WINDOW = 2048
@@ -39,7 +39,7 @@ CLOSING = 1
 DIMS, BITS = 4, 8
 #: Tokens that a range holds on average.
 RANGE_TOKENS = 4_000_000
-#: Words whose ids a task remembers; then it starts anew.
+#: Words whose ids a worker remembers; then it starts anew.
 REMEMBERED = 300_000
 #: Words of these characters are split in the same way by both libraries; others take the plain path.
 USUAL = re.compile(r"[!-&(-~¡-¬®-±´-¸º»¿-ſ]+")
@@ -155,8 +155,8 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def _encoder(path: str):
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words(path)
-        table = signs(np.arange(1 << (20 if words.wide else 16)))
+        words = per_worker(("words", path), lambda: Words(path))  # with the ids of the words met so far
+        table = per_worker(("signs", words.wide), lambda: signs(np.arange(1 << (20 if words.wide else 16))))
         closing = np.array([CLOSING], words.kind).tobytes()
         for batch in batches:
             ids = [words.encode(t or "") + closing for t in batch["text"]]
