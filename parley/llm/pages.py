@@ -52,7 +52,9 @@ MAIN = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|entry|story|main|con
 #: quotes, in the other) at the same place, and one outside ends at the next "<": so at most three pass over any character.
 SCAN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*+)>|<[!?/][^<>]*+>", re.S)
 NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|\baria-hidden\s*=\s*[\"']?true", re.I)
+#: Attributes with their values; what hides an element is read off single attributes, not off the tag as a whole.
+ATTRIBUTE = re.compile(r"([^\s\"'=<>/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
+UNSEEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 SPACE = re.compile(r"\s+")
 MARKS = frozenset(".,;:!?…。，！？")
 #: Elements nested deeper than this are read as siblings; no text is lost.
@@ -64,6 +66,18 @@ SEED = 0.25
 INSIDE = SEED**4
 
 
+def hidden(attrs: str) -> bool:
+    """Whether attributes hide their element: hidden, aria-hidden="true", or a style without display or visibility."""
+    lower = attrs.lower()
+    if "hidden" not in lower and "display" not in lower:
+        return False
+    for name, a, b, c in ATTRIBUTE.findall(attrs):
+        name, value = name.lower(), (a or b or c).strip().lower()
+        if (name == "hidden" and value != "false") or (name == "aria-hidden" and value == "true") or (name == "style" and UNSEEN.search(value)):
+            return True
+    return False
+
+
 class Node:
     """An open element: what it is, and whether it or one around it is boilerplate or article.
 
@@ -84,7 +98,7 @@ class Node:
         if name in ARTICLE and self.article is None:
             self.boiler, self.named = False, ()
         whole = name in ("html", "body") or (name in ARTICLE and self.article is None)
-        if name in NEVER or (attrs and HIDDEN.search(attrs) and name not in ("html", "body")):
+        if name in NEVER or (attrs and name not in ("html", "body") and hidden(attrs)):
             self.boiler = True
         elif words and not whole and BOILER.search(words) and BOILER.search(ABOUT.sub("", words)):
             self.named = (*self.named, number)
@@ -180,9 +194,8 @@ def blocks(page: str) -> list[Block]:
                     break
             continue
         if name in RAW:
-            if not attrs.rstrip().endswith("/"):
-                m = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = m.end() if m else end
+            m = re.compile(rf"</{name}\s*>", re.I).search(page, at)  # a slash at the end of the tag closes no such element
+            at = m.end() if m else end
             parts.append(" ")
             continue
         if name in VOID:

@@ -89,3 +89,29 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None), (None, "u", "<p>x"), (1, None, None)], "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
     assert sorted(map(str, (tuple(r) for r in pages.extract_pages(df).collect()))) == sorted(map(str, [(1, None, "", 0), (None, "u", "x", 1), (1, None, "", 0)]))
     assert pages.extract_pages(df.where("false")).count() == 0
+
+
+RUNNING = "A long sentence of running text, with commas, and a full stop at its end. " * 3
+
+
+@pytest.mark.parametrize(
+    "tag",
+    [
+        '<article class="card overflow-hidden">', '<div class="content overflow-hidden">', '<main style="overflow: hidden">', '<article data-title="hidden gem">',
+        '<article class="post" aria-hidden="false">', "<main id=main data-visibility='visibility: hidden'>", '<article title="display: none">',
+    ],
+)
+def test_a_word_in_another_attribute_hides_nothing(tag):
+    name = tag[1:].split()[0]
+    assert pages.extract(f"<html><body><nav><a href=/>Home</a></nav>{tag}<p>{RUNNING}</p><p>{RUNNING}</p></{name}></body></html>").startswith("A long sentence")
+
+
+@pytest.mark.parametrize("attrs", ["hidden", 'class=x hidden=""', 'aria-hidden="true"', 'style="color: red; display:none"', "style='visibility: hidden'", "style=display:none"])
+def test_hidden_elements_are_left_out(attrs):
+    got = pages.extract(f"<article><p>{RUNNING}</p><div {attrs}><p>Unseen. {RUNNING}</p></div><p>{RUNNING}</p></article>")
+    assert "Unseen" not in got and got.count("\n") == 1
+
+
+def test_a_slash_closes_no_script():
+    got = pages.extract(f"<article><p>{RUNNING}</p><script src=https://x.com/>code(1, 2); more.code();</script><p>{RUNNING}</p></article>")
+    assert "code" not in got and got.count("\n") == 1
