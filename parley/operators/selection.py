@@ -104,6 +104,11 @@ def placed(rows: DataFrame, groups: list[str], value: str, places: dict[str, Pla
     return stage(_picked(_running(every, groups), groups, places))
 
 
+def text_start(text: Column) -> Column:
+    """The first seven bytes as a number, which never falls along the order of texts."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
 def values_at(df: DataFrame, value: str, places: dict[str, Place], keys: list[str] | None = None) -> DataFrame:
     """keys, ``_total`` (rows with a value) and the value at each place."""
     keys = keys or []

@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from parley.operators.selection import rows_at
+from parley.operators.selection import rows_at, text_start
 from parley.operators.sequence import Sequence, rank, total
 
 c = F.col
@@ -61,7 +62,8 @@ def chronological_split(
 ) -> DataFrame:
     """Region by time rank, ties by key, separately for each value of ``by``."""
     if not by:
-        return _by_position(df, c(ts), [ts, key], train, development)
+        first = text_start(c(ts)) if isinstance(df.schema[ts].dataType, StringType) else c(ts)
+        return _by_position(df, first, [ts, key], train, development)
     placed = Sequence(df, by, [ts, key]).add(_pos=rank(), _n=total()).frame
     return placed.withColumn("region", region(c("_pos"), c("_n"), train, development)).drop("_pos", "_n")
 

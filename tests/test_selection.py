@@ -70,6 +70,13 @@ def test_groups_in_text_order(spark):
     assert [x for x in ordered if got[x] == "train"] == ordered[: int(n * 0.6)] and got[ordered[-1]] == "hidden"
 
 
+def test_texts_are_ordered_too(spark, setting):
+    df = spark.createDataFrame([(i, f"same start {i * 7919 % 1000:04d}" if i % 2 else "é"[: i % 4] + "z" * (i % 9)) for i in range(1000)], "i long, name string")
+    got = {r["i"]: r["region"] for r in P.chronological_split(df, "name", "i").collect()}
+    ordered = sorted(df.collect(), key=lambda r: (r["name"].encode(), r["i"]))
+    assert [got[r["i"]] for r in ordered] == ["train"] * 600 + ["development"] * 200 + ["hidden"] * 200
+
+
 def test_nothing_to_split(spark):
     df = spark.createDataFrame([], "i long, ts timestamp")
     assert P.chronological_split(df, "ts", "i").count() == 0 and E.median(df, "i").count() == 0
