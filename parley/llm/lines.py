@@ -2,8 +2,8 @@
 
 A line goes down a tree of fixed depth: first by its number of words, then word by word through its first ``DEPTH`` words;
 words with a digit count as variable. What meets in a leaf may be one template with variable fields: a word of a later
-place is fixed if two different lines of the leaf share it there, else it is a field. A line keeps its template if at
-least ``SIMILAR`` of its words are fixed; otherwise it stands for itself, digits aside. One that stands for itself and
+place is fixed if two different lines of the leaf share it there, else it is a field; leading words are fixed unless variable.
+A line keeps its template if at least ``SIMILAR`` of its words are fixed; otherwise it stands for itself, digits aside. One that stands for itself and
 has more words with a digit than without (rows of numbers) is compared exactly, with its digits. A template that stands in two
 documents or more recurs: its lines stay in the first of these documents, by id, and are dropped in all others.
 
@@ -34,6 +34,9 @@ _BLANKLESS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhme
 #: Stands between the masked words of a line and the line as it is, where that is compared too; no line holds it.
 EXACT = "\n"
 
+#: A word with a digit, in a line whose only blanks are single spaces.
+VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
+
 #: Documents whose 8-byte marks may be broadcast to pick texts before these move: 8 MB. More are joined as they are.
 FEW_DOCS = 1_000_000
 
@@ -45,12 +48,24 @@ def _key(rows: DataFrame) -> DataFrame:
     return rows.withColumn("mark", F.xxhash64("text"))
 
 
+def _masked(line: Column) -> Column:
+    """The line with its variable words masked, and as it is behind ``EXACT`` if more than half of its words are variable."""
+
+    def form(masked: Column) -> Column:
+        words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+        masks = (F.length(masked) - F.length(F.replace(masked, F.lit("<*>"), F.lit("")))) / 3
+        return F.when(2 * masks > words, F.concat(masked, F.lit(EXACT), line)).otherwise(masked)
+
+    return F.get(F.transform(F.array(F.regexp_replace(line, VARIABLE, "<*>")), form), F.lit(0))
+
+
 def _split(rows: DataFrame) -> DataFrame:
     """One row per line: place, words joined by single blanks in lower case, variable words masked.
 
     Lines with more variable words than others have the unmasked words behind ``EXACT``.
 
-    The text is brought into this form as a whole, each step only where it changes something, and then cut into lines.
+    Blanks are brought into this form in the text as a whole, each step only where it changes something; the text is then cut
+    into lines once, and only lines with a digit are looked at word by word.
     """
 
     def where(test, change) -> None:
@@ -61,30 +76,17 @@ def _split(rows: DataFrame) -> DataFrame:
     where(lambda t: t.contains("\t") | t.contains("\r") | t.contains("\x0b") | t.contains("\x0c"), lambda t: F.translate(t, "\t\r\x0b\x0c", "    "))
     where(lambda t: t.contains("  "), lambda t: F.regexp_replace(t, " {2,}", " "))
     where(lambda t: t.contains(" \n") | t.contains("\n "), lambda t: F.regexp_replace(t, " ?\n ?", "\n"))
-    masked = lambda t: F.when(t.rlike("[0-9]"), F.regexp_replace(t, r"(?<!\S)[^\s0-9]*+[0-9]\S*", "<*>")).otherwise(t)
-
-    def exact(line: Column, i: Column, plain: Column) -> Column:
-        blanks = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
-        masks = (F.length(line) - F.length(F.replace(line, F.lit("<*>"), F.lit("")))) / 3
-        return F.when(line.contains("<*>") & (2 * masks > blanks + 1), F.concat(line, F.lit(EXACT), F.get(plain, i))).otherwise(line)
-
-    def cut(both: Column) -> Column:
-        lines = F.split(both["masked"], "\n", -1)
-        # two variable words in a row, or the line begins with one and goes on by turns: else none has more of them
-        few = both["masked"].rlike(r"<\*> <\*>|(?:^|\n)<\*>(?:$|\n| [^ \n]+ <\*>)")
-        opened = F.get(F.transform(F.array(F.split(both["plain"], "\n", -1)), lambda plain: F.transform(lines, lambda line, i: exact(line, i, plain))), F.lit(0))
-        return F.when(few, opened).otherwise(lines)
-
-    trimmed = F.get(F.transform(F.array(F.trim(text)), lambda t: F.struct(t.alias("plain"), masked(t).alias("masked"))), F.lit(0))
-    whole = rows.select(*DOC, F.get(F.transform(F.array(trimmed), cut), F.lit(0)).alias("lines"))
+    formed = F.transform(F.split(F.trim(text), "\n", -1), lambda line: F.when(line.rlike("[0-9]"), _masked(line)).otherwise(line))
+    whole = rows.select(*DOC, formed.alias("lines"))
     return whole.select(*DOC, F.posexplode("lines").alias("place", "words")).where("words <> ''")
 
 
 def _leaves(lines: DataFrame) -> DataFrame:
     n = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1
     plain = F.substring_index("words", EXACT, -1)
+    foreign = F.octet_length("words") > F.length("words")
     return (
-        lines.withColumn("wide", (F.length(plain) >= LONG) | plain.rlike(rf"(?:[{_BLANKLESS}][^{_BLANKLESS}]*+){{{LETTERS}}}"))
+        lines.withColumn("wide", (F.length(plain) >= LONG) | foreign & plain.rlike(rf"(?:[{_BLANKLESS}][^{_BLANKLESS}]*+){{{LETTERS}}}"))
         .withColumn("exact", F.when(F.col("words").contains(EXACT), F.xxhash64("words")).otherwise(F.lit(0).cast("long")))
         .withColumn("words", F.substring_index("words", EXACT, 1))
         .withColumn("n", n)
@@ -123,18 +125,19 @@ def templates(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> DataFra
     wanted = scratch.stage(wanted)
     texts = _same(picked(docs, wanted), wanted, DOC, "inner").withColumn("all", F.split("text", "\n", -1))
     texts = texts.select(*DOC, F.array_join(F.transform("wanted", lambda i: F.get("all", i)), "\n").alias("text"))
-    lines = _leaves(_split(texts)).select("leaf", *LINE, "n", "words").dropDuplicates(list(LINE))
+    lead = F.size(F.filter(F.slice(F.split("words", " "), 1, DEPTH), lambda word: word != "<*>"))
+    lines = _leaves(_split(texts)).select("leaf", *LINE, "n", "words", lead.alias("lead")).dropDuplicates(list(LINE))
     words = (
-        lines.select("leaf", *LINE, "n", F.posexplode(F.split("words", " ")).alias("at", "word"))
+        lines.select("leaf", *LINE, "n", "lead", F.posexplode(F.split("words", " ")).alias("at", "word"))
         .where((F.col("at") >= DEPTH) & (F.col("word") != "<*>"))
         .withColumn("word", F.xxhash64("word"))
     )
     words = scratch.stage(words)
     fixed = words.groupBy("leaf", "at", "word").agg(F.count("*").alias("lines")).where("lines > 1").drop("lines")
-    kept = words.join(fixed, ["leaf", "at", "word"]).groupBy(*LINE, "leaf", "n").agg(
+    kept = words.join(fixed, ["leaf", "at", "word"]).groupBy(*LINE, "leaf", "n", "lead").agg(
         F.count("*").alias("n_fixed"), F.sum(F.xxhash64("at", "word").cast("decimal(38,0)")).alias("sum_a"), F.sum(F.xxhash64(F.lit(1), "at", "word").cast("decimal(38,0)")).alias("sum_b")
     )
-    general = kept.where((F.col("n_fixed") + DEPTH) >= SIMILAR * F.col("n")).select(*LINE, F.xxhash64("leaf", "n_fixed", "sum_a").alias("tmpl_a"), F.xxhash64("leaf", "n_fixed", "sum_b").alias("tmpl_b"))
+    general = kept.where((F.col("n_fixed") + F.col("lead")) >= SIMILAR * F.col("n")).select(*LINE, F.xxhash64("leaf", "n_fixed", "sum_a").alias("tmpl_a"), F.xxhash64("leaf", "n_fixed", "sum_b").alias("tmpl_b"))
     return general
 
 
