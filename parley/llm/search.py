@@ -5,12 +5,13 @@ rows are packed into blocks and a block is inverted into postings. For a block o
 weight times posting weight into a dense array of scores, one line per candidate; partition selection then keeps the k
 best of the block for each query, and the winners of all blocks are merged. Nothing is skipped, so the result is exact.
 
-Work is laid out as a grid: query blocks times groups of candidate blocks. A cell holds a bounded number of rows whatever
-the data, so a frequent vector or id is no hot key.
+Candidate blocks lie in groups of a bounded number, each read once; query blocks travel to every group and are streamed past
+it. A group holds a bounded number of rows whatever the data, so a frequent vector or id is no hot key.
 
 Defined results: a vector that is null, or holds null or non-finite components, or whose vec_id is null, takes no part;
 vectors may differ in length (a missing component is 0); if a query id is repeated, its smallest vector is the query;
-repeated candidates each take a rank; a query without candidates gives no row; ties go to the smaller vec_id.
+repeated candidates each take a rank; a query without candidates gives no row; ties go to the smaller vec_id. Scores that
+might leave 64 bits are added up as unbounded integers; only one that does leave them, among those returned, is refused.
 """
 
 from __future__ import annotations
@@ -25,11 +26,14 @@ from pyspark.sql import functions as F
 from parley.llm.common import pick
 from parley.session import stage
 
-#: Rows of a block of queries and of candidates, and candidate blocks of a grid cell.
-QUERY_ROWS, BLOCK_ROWS, CELL_BLOCKS = 1024, 2048, 4
+#: Rows of a block of queries and of candidates, and the most candidate blocks of a group.
+QUERY_ROWS, BLOCK_ROWS, CELL_BLOCKS = 1024, 2048, 64
 #: Queries whose scores are accumulated at a time: bounds the dense array.
 TOGETHER = 128
 
+#: Scores are below it; its negative stands for a query's own row.
+NONE_YET = 1 << 63
+
 BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("ends", pa.binary()), ("terms", pa.binary()), ("weights", pa.binary())])
 HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -103,14 +107,15 @@ def top_of_block(queries, candidates, k: int) -> tuple[np.ndarray, np.ndarray, n
     known, first = np.unique(terms, return_index=True)
     last = np.append(first[1:], len(terms))
     postings = {t: (rows[a:b], weights[a:b]) for t, a, b in zip(known.tolist(), first.tolist(), last.tolist(), strict=True)}
-    most = np.abs(q_weights).max(initial=0).astype(object) * np.abs(weights).max(initial=0).astype(object) * max(1, len(known))
-    if most * (len(ids) + 1) >= 1 << 62:
-        raise ValueError("components are too large for a score of 64 bits")
+    wide = _largest(q_weights) * _largest(weights) * max(1, len(known)) >= NONE_YET
+    kind, own = (object, -(1 << 256)) if wide else (np.int64, -NONE_YET)
+    if wide:
+        q_weights, postings = q_weights.astype(object), {t: (r, w.astype(object)) for t, (r, w) in postings.items()}
     n, take = len(ids), min(k, len(ids))
     out = []
     for a in range(0, len(q_ids), TOGETHER):
         b = min(a + TOGETHER, len(q_ids))
-        scores = np.zeros((n, b - a), np.int64)
+        scores = np.zeros((n, b - a), kind)
         lo, hi = q_ends[a], q_ends[b]
         who = np.repeat(np.arange(b - a), np.diff(q_ends[a : b + 1]))
         by_term = np.argsort(q_terms[lo:hi], kind="stable")
@@ -121,7 +126,7 @@ def top_of_block(queries, candidates, k: int) -> tuple[np.ndarray, np.ndarray, n
                 continue
             at, w = found
             if 2 * (e - s) >= b - a:  # most queries have the term: whole lines
-                line = np.zeros(b - a, np.int64)
+                line = np.zeros(b - a, kind)
                 line[who[s:e]] = weight[s:e]
                 if len(at) == n:
                     scores += np.multiply.outer(w, line)
@@ -129,15 +134,23 @@ def top_of_block(queries, candidates, k: int) -> tuple[np.ndarray, np.ndarray, n
                     scores[at] += np.multiply.outer(w, line)
             else:
                 scores[np.ix_(at, who[s:e])] += np.multiply.outer(w, weight[s:e])
-        rank = scores * n - np.arange(n)[:, None]  # one order: score, then id
-        rank[ids[:, None] == q_ids[None, a:b]] = np.iinfo(np.int64).min
-        best = np.argpartition(-1 - rank, take - 1, axis=0)[:take]
-        which = np.broadcast_to(np.arange(b - a), best.shape)
-        keep = rank[best, which] != np.iinfo(np.int64).min
-        out.append((q_ids[a:b][which[keep]], ids[best[keep]], scores[best, which][keep]))
+        scores[ids[:, None] == q_ids[None, a:b]] = own
+        least = (np.sort(scores, axis=0) if wide else np.partition(scores, n - take, axis=0))[n - take]
+        above, level = scores > least, scores == least
+        # candidates are in the order of ids: the first of those that tie fill what is left
+        best = (above | (level & (np.cumsum(level, axis=0) <= take - above.sum(axis=0)))) & (scores != own)
+        at, which = np.nonzero(best)
+        found = scores[at, which]
+        if wide and any(not -NONE_YET <= x < NONE_YET for x in found):
+            raise ValueError("a score does not fit 64 bits")
+        out.append((q_ids[a:b][which], ids[at], found.astype(np.int64)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _largest(weights: np.ndarray) -> int:
+    return max(int(weights.max(initial=0)), -int(weights.min(initial=0)))
+
+
 def _scorer(k: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,17 +170,15 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     queries = queries.groupBy("vec_id").agg(F.min("x").alias("x"))
     n_queries, n_rows = queries.count(), candidates.count()
     n_q, n_c = -(-n_queries // QUERY_ROWS), -(-n_rows // BLOCK_ROWS)
-    groups = max(1, -(-n_c // CELL_BLOCKS))
-    cells = max(1, n_q * groups)
+    groups = max(1, -(-n_c // CELL_BLOCKS), min(n_c, 2 * queries.sparkSession.sparkContext.defaultParallelism))
     q = stage(blocks(queries, n_q, QUERY_ROWS))
     q = q.select(*(F.col(c).alias(f"q_{c}") for c in q.columns))
     c = stage(blocks(candidates, n_c, BLOCK_ROWS)).withColumn("part", F.pmod("block", F.lit(groups)))
     q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    c = c.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_q - 1)))))
-    cell = (F.col("q_block") * groups + F.col("part")).alias("cell")
-    q = q.select(cell, "q_ids", "q_ends", "q_terms", "q_weights").repartition(cells, "cell")
-    c = c.select(cell, "ids", "ends", "terms", "weights").repartition(cells, "cell")
-    hits = q.join(c, "cell").drop("cell").mapInArrow(_scorer(k), "query_id long, vec_id long, score long")
+    q = q.select("part", "q_ids", "q_ends", "q_terms", "q_weights").repartition(groups, "part")
+    c = c.select(F.col("part").cast("int").alias("part"), "ids", "ends", "terms", "weights").repartition(groups, "part")
+    # the streamed side are the queries: a task holds one group of candidates
+    hits = q.join(c.hint("merge"), "part").drop("part").mapInArrow(_scorer(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

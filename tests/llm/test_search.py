@@ -48,5 +48,17 @@ def test_empty_and_single(spark):
 
 def test_scores_beyond_64_bits_are_refused():
     big = (np.array([1]), np.array([0, 1]), np.array([0], np.int32), np.array([1 << 40]))
+    other = (np.array([2]), *big[1:])
     with pytest.raises(ValueError):
-        search.top_of_block(big, big, 1)
+        search.top_of_block(big, other, 1)
+    # terms that cancel out: the bound leaves 64 bits, the score does not
+    one = (np.array([1]), np.array([0, 2]), np.array([0, 1], np.int32), np.array([1 << 40, 1 << 40]))
+    two = (np.array([2]), np.array([0, 2]), np.array([0, 1], np.int32), np.array([1 << 40, 7 - (1 << 40)]))
+    assert [x.tolist() for x in search.top_of_block(one, two, 1)] == [[1], [2], [7 << 40]]
+
+
+def test_large_components(spark):
+    rng = np.random.default_rng(4)
+    vectors = [(i, [float(x) for x in rng.integers(-30_000, 30_000, 64)]) for i in range(40)] + [(100, [1e5] * 64)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert rows(search.search(df, 10, 5)) == brute(vectors, 10, 5)
