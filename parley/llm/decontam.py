@@ -7,8 +7,10 @@ any copy of an item lies whole in one of them. Every passage is a query: all ite
 pivots and block maxima skip what cannot reach it. A hit counts if the passage also holds the item's question (share of
 its five-word shingles) and its answer (share of its words); the answer is the item's last sentence.
 
-The index is read in shards of a bounded number of items; every shard sees all documents. Passages are made inside the
-task from the whole text, so nothing is shuffled and no key can be hot.
+The index is read in shards of a bounded number of items; every shard sees all documents. Number of items, document
+frequencies, mean and largest length are counted once over all items and given to every shard, so scores and passages do
+not depend on the number of shards. Passages are made inside the task from the whole text, so no document is shuffled and no
+key can be hot.
 
 Defined results: null or empty texts match nothing; an item without words takes no part; items with equal text both match; an
 item's question of fewer than five words is read
@@ -22,6 +24,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.common import packed, pick, restored
+from parley.session import stage
 
 #: Items of one shard of the index, on average; bounds what travels to the tasks.
 SHARD_ITEMS = 20_000
@@ -73,30 +77,39 @@ class Item:
         return sum(s in have for s in self.question) / len(self.question), sum(min(n, count[w]) for w, n in self.answer.items()) / total
 
 
+@dataclass
+class Whole:
+    """What is counted over all items: their number, words and largest length, and items by word, for the words of a shard at least."""
+
+    items: int
+    words: int
+    longest: int
+    in_items: dict[str, int]
+
+
 class Index:
     """Postings of a shard of items, with block maxima and bounds by range of items."""
 
-    def __init__(self, items: list[tuple]):
+    def __init__(self, items: list[tuple], whole: Whole | None = None):
         self.items = [i for i in (Item(*x) for x in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")) if x[1]) if i.words]
-        n = len(self.items)
-        self.longest = max((len(i.words) for i in self.items), default=0)
-        mean = sum(len(i.words) for i in self.items) / max(1, n)
-        in_items = Counter(w for i in self.items for w in set(i.words))
-        self.vocabulary = {w: t for t, w in enumerate(sorted(in_items))}
-        postings: list[list[tuple[int, float]]] = [[] for _ in in_items]
+        whole = whole or Whole(len(self.items), sum(len(i.words) for i in self.items), max((len(i.words) for i in self.items), default=0), Counter(w for i in self.items for w in set(i.words)))
+        self.longest, in_items = whole.longest, whole.in_items
+        mean = whole.words / max(1, whole.items)
+        self.vocabulary = {w: t for t, w in enumerate(sorted({w for i in self.items for w in i.words}))}
+        postings: list[list[tuple[int, float]]] = [[] for _ in self.vocabulary]
         for d, item in enumerate(self.items):
             weights = {}
             for w, tf in Counter(item.words).items():
-                idf = math.log(1 + (n - in_items[w] + 0.5) / (in_items[w] + 0.5))
+                idf = math.log(1 + (whole.items - in_items[w] + 0.5) / (in_items[w] + 0.5))
                 weights[w] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(item.words) / mean))
-            whole = sum(weights.values())
+            own = sum(weights.values())
             for w, x in weights.items():
-                postings[self.vocabulary[w]].append((d, x / whole))
+                postings[self.vocabulary[w]].append((d, x / own))
         self.docs = [[d for d, _ in p] for p in postings]
         self.weights = [[x for _, x in p] for p in postings]
         self.blocks = [[(p[min(i + BLOCK, len(p)) - 1][0], max(x for _, x in p[i : i + BLOCK])) for i in range(0, len(p), BLOCK)] for p in postings]
         self.most = [max(x) for x in self.weights]
-        self.span = -(-n // RANGES) or 1
+        self.span = -(-len(self.items) // RANGES) or 1
         self.bounds = np.zeros((len(postings), RANGES), np.float32)
         for t, p in enumerate(postings):
             for d, x in p:
@@ -148,7 +161,7 @@ class Index:
                 target = max(item + 1, min(end, following))
                 moved = cursors[: pivot + 1]
             elif cursors[0][0] == item:
-                score = sum(self.weights[c[3]][c[1]] for c in cursors[: pivot + 1])
+                score = math.fsum(self.weights[c[3]][c[1]] for c in cursors[: pivot + 1])
                 if score >= threshold:
                     hits.append((item, score))
                 target, moved = item + 1, cursors[: pivot + 1]
@@ -199,8 +212,27 @@ def indexes(benchmark: DataFrame) -> Iterator[Index]:
     """The index shard by shard; a shard holds SHARD_ITEMS items on average, chosen by a hash."""
     items = pick(benchmark, "item_id", "text").where("text IS NOT NULL AND text <> ''")
     shards = max(1, -(-items.count() // SHARD_ITEMS))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
+    if shards == 1:  # the shard is the whole
+        yield Index([(r.item_id, r.text) for r in items.collect()])
+        return
+    words = stage(items.select("shard", "text").mapInPandas(_distinct_words, "shard long, word string, length long"))
+    totals = words.agg(F.count_if(F.col("length") > 0).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words"), F.coalesce(F.max("length"), F.lit(0)).alias("longest")).first()
+    counts = stage(words.groupBy("word").agg(F.count("*").alias("n")))
     for s in range(shards):
-        yield Index([(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s).collect()])
+        own = words.where(F.col("shard") == s).select("word").distinct()
+        known = {r.word: r.n for r in counts.join(own, "word", "left_semi").collect()}  # the words of one shard
+        yield Index([(r.item_id, r.text) for r in items.where(F.col("shard") == s).collect()], Whole(totals.n, totals.words, totals.longest, known))
+
+
+def _distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every distinct word of an item; the item's number of words stands beside the first."""
+    for batch in batches:
+        rows = []
+        for shard, text in zip(batch["shard"], batch["text"], strict=True):
+            words = words_of(text)
+            rows += [(shard, w, 0 if i else len(words)) for i, w in enumerate(dict.fromkeys(words))]
+        yield pd.DataFrame(rows, columns=["shard", "word", "length"])
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -40,9 +40,14 @@ def test_planted_items_are_found_wherever_they_lie(spark):
 def test_shards_give_the_same_result(spark, monkeypatch):
     benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = spark.createDataFrame(planted(100), "doc_id long, text string")
-    whole = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, benchmark).collect()}
+    # passages about the threshold: some of an item's words, and an item that is longer than those of most shards
+    near = [(5000 + i, " ".join(w for w in text.split() if rng.random() < 0.9)) for i, text in ITEMS]
+    docs = docs.union(spark.createDataFrame(near, docs.schema))
+    benchmark = benchmark.union(spark.createDataFrame([(7777, " ".join(rng.choices(VOCABULARY, k=150)) + ".")], benchmark.schema))
+    whole = sorted(map(tuple, decontam.contaminated(docs, benchmark).collect()))
+    assert any(d >= 5000 for d, *_ in whole)
     monkeypatch.setattr(decontam, "SHARD_ITEMS", 40)
-    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, benchmark).collect()} == whole
+    assert sorted(map(tuple, decontam.contaminated(docs, benchmark).collect())) == whole
 
 
 def test_question_without_answer_does_not_count():
