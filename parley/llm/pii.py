@@ -11,14 +11,20 @@ type       accepted                                               kept
 =========  =====================================================  ==========================================================
 email      local part, domain of two labels or more               length, kind of every character, last label, separators
 card       13 to 19 digits, check digit right                     length, separators; the check digit is made anew
-phone      any ten digits after +1 or in (xxx) xxx-xxxx form      +1, separators
+phone      any ten digits after +1 or in (xxx) xxx-xxxx form;     +1 or the first three digits, separators
+           8 to 15 digits after + and another country code
 ssn        three, two and four digits, none of them unassigned    dashes
 ip         four numbers up to 255                                 dots
+ipv6       eight hexadecimal groups, or fewer around ::           colons, kind of every character
 date       a day of 1800 to 2199, year first (- /) or last        form, order and number of digits
            (- / . between one or two digits for day and month)
 iban       check digits right                                     country, length, kind of every character; check digits anew
-secret     access key ids; values named password, token, ...,     name, length, kind of every character
-           also db_password, access_token, ..., of any length
+secret     values named password, passphrase, secret, token, api  name, quotes, length, kind of every character,
+           key or authorization, names in quotes or longer ones   other signs than letters and digits
+           (db_password) too, up to the quote, blank or
+           separator, of six characters or any more
+secret     access key ids (AKIA, ASIA, ghp_, sk-, xoxb-, ...),    leading mark, length, kind of every character,
+           web tokens (eyJ), bearer values, private key blocks    other signs
 =========  =====================================================  ==========================================================
 
 A date with the year last is read month first between slashes and day first between dots and dashes; if that is no date, the
@@ -27,8 +33,8 @@ it comes to such a day.
 
 Defined results: a null text stays null with no finds; an empty text stays empty; rows are independent of each other, so
 repeated rows get the same text; other columns pass through unchanged, whatever their names (one
-named n_replaced gives way). Text that no check accepts,
-such as a number with a wrong check digit, is not touched.
+named n_replaced gives way). Text that no check accepts, such as a number with a wrong check digit or ten digits without any
+sign of a phone number, is not touched.
 """
 
 from __future__ import annotations
@@ -39,17 +45,26 @@ from pyspark.sql import functions as F
 from parley.llm.common import packed, restored
 
 ROUNDS = 8
+#: Shifts that one digest gives, 16 bits each; a longer half takes a digest for each block of as many parts.
+SHIFTS = 32
 
 #: One pattern per type; the names are also the tweak of the permutation. Tried in this order at each place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "secret": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-    r"|(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/-]{6,}+[\"']?",
+    r"|(?<![A-Za-z0-9])(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|authorization)[\"']?\s{0,3}[=:]\s{0,3}"
+    r"(?:\"[^\"\n]{6,}+\"|'[^'\n]{6,}+'|(?i:(?:bearer|basic)\s{1,3})?[^\s\"'`,;&<>(){}\[\]]{6,}+)"
+    r"|(?<![A-Za-z0-9])(?:gh[oprsu]_|sk-|xox[abprs]-)(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{16,}+"
+    r"|(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{5,}+\.[A-Za-z0-9_-]{5,}+\.[A-Za-z0-9_-]{5,}+"
+    r"|(?<![A-Za-z0-9])(?i:bearer)\s{1,3}(?=[A-Za-z._~+/-]*[0-9])[A-Za-z0-9._~+/-]{16,}+={0,2}"
+    r"|-----BEGIN (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}+-----END (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![0-9A-Za-z/.-])(?:18|19|20|21)[0-9]{2}(?:-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}(?![0-9A-Za-z/-])"
     r"|(?<![0-9A-Za-z/.-])(?:[0-9]{1,2}/[0-9]{1,2}/|[0-9]{1,2}\.[0-9]{1,2}\.|[0-9]{1,2}-[0-9]{1,2}-)(?:18|19|20|21)[0-9]{2}(?![0-9A-Za-z/-]|\.[0-9])",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?|\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
+    "phone": r"(?<![0-9A-Za-z+])\+(?!1[ .(-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9]))[1-9](?:[ .-]?\(?[0-9]\)?){7,14}(?![0-9A-Za-z])|"
+    r"(?<![0-9A-Za-z+])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?|\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
@@ -78,19 +93,21 @@ def feistel(parts: Column, ranges: Column, tweak: Column, key: str, inverse: boo
 def _turn(held: Column, turn: Column, ranges: Column, half: Column, tweak: Column, key: str, inverse: bool) -> Column:
     left = turn % 2 == 0  # this turn shifts the left half
     other = F.when(left, F.slice(held, half + 1, F.size(held))).otherwise(F.slice(held, 1, half))
-    digest = F.sha2(F.concat_ws("|", F.lit(key), tweak, turn.cast("string"), F.array_join(other.cast("array<string>"), ",")).cast("binary"), 512)
+    heard = F.concat_ws("|", F.lit(key), tweak, turn.cast("string"), F.array_join(other.cast("array<string>"), ","))
+    blocks = F.sequence(F.lit(0), F.floor(F.size(held) / (2 * SHIFTS)).cast("int"))  # a half holds at most one more than these
+    digests = _let(heard, lambda h: F.transform(blocks, lambda b: F.sha2(F.when(b == 0, h).otherwise(F.concat_ws("|", h, b.cast("string"))).cast("binary"), 512)))
 
     def shift(hexes: Column) -> Column:
         def move(v: Column, i: Column) -> Column:
             own = F.when(left, i < half).otherwise(i >= half)
             at = F.when(left, i).otherwise(i - half)
-            step = F.conv(F.substring(hexes, F.pmod(at, F.lit(32)) * 4 + 1, F.lit(4)), 16, 10).cast("int")
+            step = F.conv(F.substring(F.get(hexes, F.floor(at / SHIFTS).cast("int")), F.pmod(at, F.lit(SHIFTS)) * 4 + 1, F.lit(4)), 16, 10).cast("int")
             step = -step if inverse else step
             return F.when(own, F.pmod(v + step, F.get(ranges, i))).otherwise(v)
 
         return F.transform(held, move)
 
-    return _let(digest, shift)
+    return _let(digests, shift)
 
 
 def _chars(text: Column) -> Column:
@@ -169,8 +186,10 @@ def _card(m: Column, key: str, inverse: bool) -> Column:
 
 def _phone(m: Column, key: str, inverse: bool) -> Column:
     def body(d: Column) -> Column:
-        moved = feistel(F.slice(d, F.size(d) - 9, F.lit(10)), _times(F.lit(10), 10), F.lit("phone"), key, inverse)
-        return _refill(m, F.concat(F.slice(d, 1, F.size(d) - 10), moved))
+        national = ~m.startswith("+") | (m.startswith("+1") & (F.size(d) == 11))
+        n = F.when(national, 10).otherwise(F.size(d) - 3)  # digits that move
+        moved = feistel(F.slice(d, F.size(d) - n + 1, n), F.array_repeat(F.lit(10), n), F.lit("phone"), key, inverse)
+        return F.when(F.size(d) >= 8, _refill(m, F.concat(F.slice(d, 1, F.size(d) - n), moved))).otherwise(m)
 
     return _let(_ints(_digits(m)), body)
 
@@ -278,14 +297,29 @@ def _email(m: Column, key: str, inverse: bool) -> Column:
     return F.concat(permute_text(head, F.lit("email"), key, inverse), F.regexp_extract(m, r"\.[A-Za-z]+$", 0))
 
 
+#: What stays before and behind a secret value.
+BEFORE = (
+    r"^(-----BEGIN [A-Z ]*PRIVATE KEY-----|(?:AKIA|ASIA)(?=[A-Z0-9]{16}$)|gh[oprsu]_|sk-|xox[abprs]-|eyJ(?=[A-Za-z0-9_-]+\.)|(?i:bearer)\s+"
+    r"|[A-Za-z_-]+[\"']?\s*[=:]\s*[\"']?(?i:(?:bearer|basic)\s+)?)"
+)
+BEHIND = r"(-----END [A-Z ]*PRIVATE KEY-----|[\"']|)$"
+
+
 def _secret(m: Column, key: str, inverse: bool) -> Column:
-    """The value behind the name. Hexadecimal values stay hexadecimal."""
-    name = F.regexp_extract(m, r"^((?:AKIA|ASIA)(?=[A-Z0-9]{16}$)|[A-Za-z_-]+\s*[=:]\s*[\"']?)", 1)
-    value = F.substring(m, F.length(name) + 1, F.length(m))
-    return F.concat(name, permute_text(value, F.lit("secret"), key, inverse, hexadecimal=value.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)[\"']?$")))
+    """The value between what names or marks it. Hexadecimal values stay hexadecimal."""
+
+    def body(b: Column) -> Column:
+        value = F.substring(m, F.length(b["name"]) + 1, F.length(m) - F.length(b["name"]) - F.length(b["end"]))
+        return F.concat(b["name"], permute_text(value, F.lit("secret"), key, inverse, hexadecimal=value.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$")), b["end"])
+
+    return _let(F.struct(F.regexp_extract(m, BEFORE, 1).alias("name"), F.regexp_extract(m, BEHIND, 1).alias("end")), body)
+
+
+def _ipv6(m: Column, key: str, inverse: bool) -> Column:
+    return permute_text(m, F.lit("ipv6"), key, inverse, hexadecimal=F.lit(True))
 
 
-MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ip": _ip, "phone": _phone, "ssn": _ssn, "card": _card}
+MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ip": _ip, "ipv6": _ipv6, "phone": _phone, "ssn": _ssn, "card": _card}
 
 
 def pseudonym(m: Column, key: str, inverse: bool = False) -> Column:
@@ -300,7 +334,7 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", inverse: bool = Fa
     """df with pseudonyms in its text column, and as last column ``n_replaced``, the number of values replaced."""
     rows = packed(df, text)
     whole = F.col(text)
-    maybe = whole.rlike("[0-9@=:]")  # no type goes without one of these
+    maybe = whole.rlike("[0-9@=:]|KEY-----|eyJ")  # no type goes without one of these
     rows = rows.withColumn("found", F.when(maybe, F.regexp_extract_all(whole, F.lit(ANY), F.lit(0))))
     rows = rows.withColumn("new", F.transform("found", lambda m: pseudonym(m, key, inverse)))
     around = F.split(whole, ANY, -1)
