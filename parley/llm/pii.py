@@ -51,19 +51,19 @@ SHIFTS = 32
 #: One pattern per type; the names are also the tweak of the permutation. Tried in this order at each place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-    r"|(?<![A-Za-z0-9])(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|authorization)[\"']?\s{0,3}[=:]\s{0,3}"
+    "secret": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
+    r"|(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|authorization)[\"']?\s{0,3}[=:]\s{0,3}"
     r"(?:\"[^\"\n]{6,}+\"|'[^'\n]{6,}+'|(?i:(?:bearer|basic)\s{1,3})?[^\s\"'`,;&<>(){}\[\]]{6,}+)"
-    r"|(?<![A-Za-z0-9])(?:gh[oprsu]_|sk-|xox[abprs]-)(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{16,}+"
-    r"|(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{5,}+\.[A-Za-z0-9_-]{5,}+\.[A-Za-z0-9_-]{5,}+"
-    r"|(?<![A-Za-z0-9])(?i:bearer)\s{1,3}(?=[A-Za-z._~+/-]*[0-9])[A-Za-z0-9._~+/-]{16,}+={0,2}"
-    r"|-----BEGIN (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}+-----END (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----",
+    r"|(?:gh[oprsu]_|sk-|xox[abprs]-)(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{16,}+"
+    r"|eyJ[A-Za-z0-9_-]{5,}+\.[A-Za-z0-9_-]{5,}+\.[A-Za-z0-9_-]{5,}+"
+    r"|(?i:bearer)\s{1,3}(?=[A-Za-z._~+/-]*[0-9])[A-Za-z0-9._~+/-]{16,}+={0,2}"
+    r"|-----BEGIN (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}+-----END (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![0-9A-Za-z/.-])(?:18|19|20|21)[0-9]{2}(?:-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}(?![0-9A-Za-z/-])"
     r"|(?<![0-9A-Za-z/.-])(?:[0-9]{1,2}/[0-9]{1,2}/|[0-9]{1,2}\.[0-9]{1,2}\.|[0-9]{1,2}-[0-9]{1,2}-)(?:18|19|20|21)[0-9]{2}(?![0-9A-Za-z/-]|\.[0-9])",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
-    "ipv6": r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
-    "phone": r"(?<![0-9A-Za-z+])\+(?!1[ .(-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9]))[1-9](?:[ .-]?\(?[0-9]\)?){7,14}(?![0-9A-Za-z])|"
+    "ipv6": r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]{1,4}:)(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
+    "phone": r"\+(?<![0-9A-Za-z+]\+)(?!1[ .(-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9]))[1-9](?:[ .-]?\(?[0-9]\)?){7,14}(?![0-9A-Za-z])|"
     r"(?<![0-9A-Za-z+])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?|\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
