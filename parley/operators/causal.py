@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.scalars import clip, hash_fraction, reasons
+from parley.operators.fits import merged
 from parley.operators.joins import lookup
 from parley.operators.sequence import Sequence, running_sum
 
@@ -128,6 +134,113 @@ def permutation_test(df: DataFrame, treatment: str = "treatment", outcome: str =
     )
 
 
+#: Bins that a draw's bracket is cut into, and the rows of a block times draws that a task holds at a time.
+BINS, BLOCK = 256, 1_000_000
+
+
+def mixed(x: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """64 mixed bits for every row (down) and draw (across), by the finaliser of the SplitMix generator."""
+    z = x[:, None] + (draw[None, :] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _binned(rows: DataFrame, draws: np.ndarray, low: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows and outcomes below each draw's bracket, and in each of its bins."""
+    d, width = len(draws), len(draws) * BINS
+    step = max(1, BLOCK // d)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros(2 * d + 2 * width)
+        below, inside = out[: 2 * d].reshape(2, d), out[2 * d :].reshape(2, width)
+        for batch in batches:
+            x = batch["x"].to_numpy(zero_copy_only=False).astype(np.uint64)
+            y = batch["y"].to_numpy(zero_copy_only=False)
+            for i in range(0, len(x), step):
+                values = y[i : i + step]
+                z = mixed(x[i : i + step], draws)
+                under = z < low
+                below += [under.sum(axis=0), values @ under]
+                place = (z - low) >> shift
+                row, draw = np.nonzero(~under & (place < BINS))
+                at = draw * BINS + place[row, draw].astype(np.int64)
+                inside[0] += np.bincount(at, minlength=width)
+                inside[1] += np.bincount(at, values[row], minlength=width)
+        return out
+
+    sums = merged(rows, fold, 2 * d + 2 * width)
+    return (*sums[: 2 * d].reshape(2, d), *sums[2 * d :].reshape(2, d, BINS))
+
+
+def _drawn(rows: DataFrame, n: int, treated: int, draws: int) -> np.ndarray:
+    """Sum of the outcomes of each draw's treated: the rows with the smallest mixed bits.
+
+    Every draw has a bracket for its threshold, first eight standard errors around the expected one, and each pass over the
+    rows cuts it into BINS, until an edge has the wanted number of rows below it. Rows are neither copied nor moved; what
+    travels are counts and sums per draw and bin.
+    """
+    share, error = treated / n, 8 * math.sqrt(treated * (n - treated) / n) / n
+    start, stop = int(max(0.0, share - error) * 2**64), int(min(1.0, share + error) * 2**64)
+    bits = max(0, ((stop - start) // BINS).bit_length())
+    low, shift = np.full(draws, start, np.uint64), np.full(draws, min(bits, 56), np.uint64)
+    out, still = np.zeros(draws), np.arange(draws)
+    while len(still):
+        under, under_y, bins, bins_y = _binned(rows, still.astype(np.uint64), low[still], shift[still])
+        missed = (under > treated) | (under + bins.sum(axis=1) < treated)
+        count = under[:, None] + np.cumsum(bins, axis=1)
+        total = under_y[:, None] + np.cumsum(bins_y, axis=1)
+        edge = np.argmax(count >= treated, axis=1)
+        pick = np.arange(len(still))
+        before, before_y = count[pick, edge] - bins[pick, edge], total[pick, edge] - bins_y[pick, edge]
+        # rows that share all bits cannot be told apart: those wanted of them count by the mean of them all
+        wanted = (treated - before) / np.maximum(bins[pick, edge], 1)
+        done = ~missed & ((count[pick, edge] == treated) | (shift[still] == 0))
+        out[still[done]] = (before_y + wanted * bins_y[pick, edge])[done]
+        now = still[missed]
+        low[now], shift[now] = 0, 56
+        cut = ~missed & ~done
+        now = still[cut]
+        low[now] += edge[cut].astype(np.uint64) << shift[now]
+        shift[now] = np.maximum(shift[now].astype(np.int64) - 8, 0).astype(np.uint64)
+        still = still[~done]
+    return out
+
+
+def permutation_draws(df: DataFrame, key: str, treatment: str = "treatment", outcome: str = "outcome", draws: int = 2000) -> DataFrame:
+    """Two-sided permutation p-value of the effect on an outcome of any numbers, and the mean effect under the null.
+
+    Every draw treats as many rows as were treated, by hashes of the ``key``: the same rows on every cluster (where only some
+    of the rows of one key find a place, they count by the mean of that key). Where all ways to pick them are no more than
+    ``draws``, all are taken. An outcome that is missing or not finite and a treatment other than 0 and 1 are refused; an
+    empty arm or table gives NULL and the method "empty_arm".
+    """
+    told = F.raise_error(F.lit(f"{treatment} must be 0 or 1")).cast("long")
+    z = F.when(c(treatment).isin(0, 1), c(treatment).cast("long")).otherwise(told)
+    number = c(outcome).cast("double")
+    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < math.inf)
+    y = F.when(finite, number).otherwise(F.raise_error(F.lit(f"{outcome} must be a finite number")).cast("double"))
+    # fifteen digits of the key's SHA-256
+    x = F.conv(F.right(F.sha2(F.coalesce(c(key).cast("string"), F.lit("")), 256), F.lit(15)), 16, 10).cast("long")
+    rows = df.select(x.alias("x"), y.alias("y"), z.alias("z"))
+    seen = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("z"), F.lit(0)).alias("m"), F.sum("y").alias("total"), F.sum(c("z") * c("y")).alias("treated")).first()
+    n, m = seen["n"], seen["m"]
+    spark, schema = df.sparkSession, "ate double, p_value double, null_mean double, draws long, method string"
+    if not 0 < m < n:
+        return spark.createDataFrame([(None, None, None, 0, "empty_arm")], schema)
+    ways = math.comb(n, m) if min(m, n - m) == 1 or n <= 64 else math.inf
+    if ways <= draws:  # so there are at most ``draws`` rows
+        values = np.array([r.y for r in rows.select("y").collect()])
+        sums = np.array([values[list(pick)].sum() for pick in combinations(range(n), m)])
+        method = "exact"
+    else:
+        sums, method = _drawn(rows.select("x", "y"), n, m, draws), "sampled"
+    null = sums / m - (seen["total"] - sums) / (n - m)
+    ate = seen["treated"] / m - (seen["total"] - seen["treated"]) / (n - m)
+    slack = 1e-12 * max(1.0, abs(ate))
+    return spark.createDataFrame([(ate, float((np.abs(null) >= abs(ate) - slack).mean()), float(null.mean()), len(null), method)], schema)
+
+
 def _policy_by_context(policy: DataFrame, means: DataFrame, context: list[str]) -> DataFrame:
     """Per context: action probabilities as a map and the modelled value of the policy."""
     return policy.join(means, "action", "left").groupBy(*context).agg(

@@ -104,6 +104,36 @@ def f04(t: Tables) -> DataFrame:
     return out.select(F.round("ate", 6).alias("ate"), F.round("p_value", 6).alias("p_value"), (F.round("null_mean", 6) + 0.0).alias("null_mean"))
 
 
+def _wrapped(product: str) -> str:
+    return f"(({product}) % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+
+# the mixed bits of a row and draw, in wrapping 64-bit arithmetic
+DRAWN = f"""
+u AS (SELECT (user_id % 2)::INT AS t, value AS y, ('0x' || right(sha256(event_id::VARCHAR), 15))::UBIGINT AS x FROM events),
+z0 AS (SELECT d, y, {_wrapped("x::UHUGEINT + (d + 1)::UHUGEINT * 11400714819323198485::UHUGEINT")} AS z FROM u, range(200) r(d)),
+z1 AS (SELECT d, y, {_wrapped("xor(z, z >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT")} AS z FROM z0),
+z2 AS (SELECT d, y, {_wrapped("xor(z, z >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT")} AS z FROM z1),
+placed AS (SELECT d, y, row_number() OVER (PARTITION BY d ORDER BY xor(z, z >> 31)) AS place FROM z2)
+"""
+
+
+@query(
+    "f04_permutation_draws",
+    ctes(DRAWN)
+    + """
+    , s AS (SELECT count(*) AS n, sum(t) AS m, sum(y) AS total, avg(y) FILTER (t = 1) - avg(y) FILTER (t = 0) AS ate FROM u),
+    e AS (SELECT d, max(ate) AS seen, sum(y) FILTER (place <= m) / max(m) - (max(total) - sum(y) FILTER (place <= m)) / (max(n) - max(m)) AS ate
+          FROM placed, s GROUP BY d)
+    SELECT round(max(seen), 6) AS ate, round(avg((abs(ate) >= abs(seen) - 1e-12 * greatest(1, abs(seen)))::INT), 6) AS p_value, round(avg(ate), 6) AS null_mean,
+           count(*) AS draws, 'sampled' AS method FROM e
+    """,
+)
+def f04_draws(t: Tables) -> DataFrame:
+    rows = t.events.select("event_id", (c("user_id") % 2).cast("int").alias("treatment"), c("value").alias("outcome"))
+    return rounded(A.permutation_draws(rows, "event_id", draws=200), "ate", "p_value", "null_mean")
+
+
 # Probabilities of a policy by context (rows) and action (columns); "gift" is never logged.
 POLICY_ACTIONS = ["click", "error", "purchase", "signup", "gift"]
 POLICY = [[0.4, 0.1, 0.3, 0.1, 0.1], [0.2, 0.2, 0.2, 0.4, 0.0], [0.5, 0.0, 0.5, 0.0, 0.0], [0.25, 0.25, 0.25, 0.25, 0.0]]
