@@ -77,8 +77,36 @@ def s03_sessions(t: Tables) -> DataFrame:
     return out.select("buyer_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "turns")
 
 
-@query("s04_stream_overdue")
+# An offer is told when its deadline is before the watermark of both sides: the earlier one of their last times.
+@query(
+    "s04_stream_overdue",
+    ctes(B.TURN)
+    + """
+    , o AS (SELECT *, least((SELECT max(event_time) FROM turn0), (SELECT max(response_time) FROM turn0)) - INTERVAL 1 HOUR AS mark FROM turn0)
+    SELECT event_id AS offer_id, event_time FROM o
+    WHERE (response_time IS NULL OR response_time > event_time + INTERVAL 30 MINUTE) AND event_time + INTERVAL 30 MINUTE < mark
+    """,
+)
 def s04(t: Tables) -> DataFrame:
     offers = B.bare_turns(Live(t)).select(c("event_id").alias("offer_id"), "event_time")
     answered = B.bare_turns(Live(t)).filter(c("response_time").isNotNull()).select(c("event_id").alias("offer_id"), "response_time")
-    return Z.run_to_folder(Z.stream_overdue(offers, answered, "30 minutes"))
+    late = Z.run_to_folder(Z.stream_overdue(offers, answered, "30 minutes"))
+    return late.select("offer_id", c("event_time").cast("timestamp_ntz").alias("event_time"))
+
+
+# The watermark is in milliseconds and runs over offers and answers together.
+@query(
+    "s04_stream_reminders",
+    ctes(B.TURN)
+    + """
+    , o AS (SELECT *, (SELECT max(epoch_ms(greatest(event_time, response_time))) FROM turn0) - 3600000 AS mark FROM turn0),
+    d AS (SELECT event_id AS offer_id, step, event_time + to_seconds(wait) AS deadline, response_time, mark FROM o, (VALUES (1, 1800), (2, 3600), (3, 14400)) s(step, wait))
+    SELECT offer_id, step, strftime(deadline, '%Y-%m-%d %H:%M:%S') AS deadline FROM d WHERE (response_time IS NULL OR response_time > deadline) AND epoch_ms(deadline) <= mark
+    """,
+)
+def s04_reminders(t: Tables) -> DataFrame:
+    offers = B.bare_turns(Live(t)).select(c("event_id").alias("offer_id"), "event_time")
+    answers = B.bare_turns(Live(t)).select(c("event_id").alias("offer_id"), "response_time")
+    with Z.rocks_state(t.spark):
+        told = Z.run_to_folder(Z.stream_reminders(offers, answers, [1800, 3600, 14400]))
+    return told.select("offer_id", "step", F.date_format("deadline", "yyyy-MM-dd HH:mm:ss").alias("deadline"))

@@ -8,11 +8,14 @@ seen in the shared folder, by day, and a batch reads the days of its own rows on
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from parley.operators.ingest import decode_turns
 from parley.operators.splits import classify_new_rows
@@ -31,6 +34,20 @@ def start_to_folder(df: DataFrame, root: str, mode: str = "append", trigger: dic
     return writer.trigger(**(trigger or {"availableNow": True})).start(f"{root}/out")
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which timers and state variables need."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
 def _new_root(spark: SparkSession) -> str:
     return f"{staging_root(spark)}/stream-{uuid.uuid4().hex}"
 
@@ -115,3 +132,72 @@ def stream_overdue(offers: DataFrame, responses: DataFrame, ttl: str = "1 hour",
     b = responses.select(c("offer_id").alias("_offer"), c("response_time").cast("timestamp").alias("response_time")).withWatermark("response_time", late)
     inside = (c("offer_id") == c("_offer")) & (c("response_time") >= c("event_time")) & (c("response_time") <= c("event_time") + F.expr(f"INTERVAL {ttl}"))
     return a.join(b, inside, "left").filter(c("_offer").isNull()).drop("_offer", "response_time")
+
+
+class Reminders(StatefulProcessor):
+    """One timer per offer and deadline. Facts of an offer may come in any order.
+
+    An offer told twice keeps the time it was first told with, and of its answers the first that is not before it counts; both are kept
+    until its last deadline. An answer without an offer is kept until the watermark has passed it, as its offer would be late by then.
+    """
+
+    def __init__(self, steps: list[int]):
+        self.steps = steps
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.offer = handle.getValueState("offer", "offered long, answered long")
+        self.early = handle.getListState("early", "answered long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        facts = [(row["is_offer"], row["micros"]) for row in rows]
+        answers = {at for is_offer, at in facts if not is_offer}
+        known = self.offer.get()
+        offered, answered = known or (min((at for is_offer, at in facts if is_offer), default=None), None)
+        if offered is None:
+            for at in answers - {a for (a,) in self.early.get()}:
+                self.early.appendValue((at,))
+                self.handle.registerTimer(at // 1000)
+            return iter(())
+        if known is None:
+            answers |= {a for (a,) in self.early.get()}
+            self.early.clear()
+            for step in self.steps:
+                self.handle.registerTimer((offered + step) // 1000)
+        first = min((a for a in answers | ({answered} - {None}) if a >= offered), default=None)
+        if known is None or first != answered:
+            self.offer.update((offered, first))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        known = self.offer.get()
+        if known is None:
+            left = [a for a in self.early.get() if a[0] // 1000 > now]
+            self.early.put(left) if left else self.early.clear()
+            return iter(())
+        offered, answered = known
+        due = [(i, offered + s) for i, s in enumerate(self.steps, 1) if (offered + s) // 1000 == now]
+        if now >= (offered + max(self.steps)) // 1000:
+            self.offer.clear()
+        return iter([Row(offer_id=key[0], step=i, event_time=offered, deadline=at) for i, at in due if answered is None or answered > at])
+
+
+def stream_reminders(offers: DataFrame, responses: DataFrame, steps: list[int], late: str = "1 hour") -> DataFrame:
+    """Every deadline of an offer that passed without an answer, told once the watermark has passed it.
+
+    offers: offer_id, event_time. responses: offer_id, response_time. steps: seconds from an offer to its deadlines, numbered from
+    1. An answer at the very deadline is in time. State and timers are kept per offer, so a hot buyer or thread is spread like any
+    other. One watermark runs over both kinds of facts; what comes after it passed is late and not looked at. Facts without an id or time are left
+    out. Start inside ``rocks_state``.
+    """
+    facts = offers.select("offer_id", F.lit(True).alias("is_offer"), c("event_time").cast("timestamp").alias("at")).unionByName(
+        responses.select("offer_id", F.lit(False).alias("is_offer"), c("response_time").cast("timestamp").alias("at"))
+    )
+    rows = facts.filter(c("offer_id").isNotNull() & c("at").isNotNull()).withWatermark("at", late).withColumn("micros", F.unix_micros("at"))
+    schema = T.StructType(
+        [T.StructField("offer_id", offers.schema["offer_id"].dataType), *[T.StructField(x, t) for x, t in (("step", T.IntegerType()), ("event_time", T.LongType()), ("deadline", T.LongType()))]]
+    )
+    micros = sorted({s * 1_000_000 for s in steps})
+    out = rows.groupBy("offer_id").transformWithState(Reminders(micros), schema, "append", "eventTime")
+    return out.withColumns({x: F.timestamp_micros(x) for x in ("event_time", "deadline")})

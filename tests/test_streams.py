@@ -47,3 +47,57 @@ def test_a_stream_runs_until_it_is_stopped(spark, tmp_path):
     query.processAllAvailable()
     assert query.isActive and spark.read.parquet(str(tmp_path / "out" / "out")).count() == 5
     query.stop()
+
+
+def _batches(spark, folder, kind, schema, batches):
+    """One file for each micro-batch, told apart by age."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{kind}/b{i}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{kind}/*")
+
+
+def test_reminders_over_micro_batches(spark, tmp_path):
+    """Answers before their offers, at the deadline, after it, late ones, repeated facts: as a plain loop says."""
+    at = lambda m: T0 + timedelta(minutes=m)
+    offers = [[(i, at(i)) for i in range(0, 200)], [(i, at(i)) for i in range(200, 400)] + [(199, at(200))], [(i, at(i)) for i in range(400, 600)] + [(None, at(599)), (7_000, None)]]
+    # by offer: never, before its deadline, at it, after the first and before the second, after both
+    wait = [None, 5, 20, 35, 70]
+    given = [(i, at(i + wait[i % 5])) for i in range(600) if wait[i % 5] is not None]
+    # the answer of 202 comes before its offer, those of 190 to 199 a batch after theirs
+    answers = [[r for r in given if r[0] < 190 or r[0] == 202], [r for r in given if 190 <= r[0] < 400 and r[0] != 202], [r for r in given if r[0] >= 400] * 2]
+    o = _batches(spark, tmp_path, "o", "offer_id long, event_time timestamp", offers)
+    a = _batches(spark, tmp_path, "a", "offer_id long, response_time timestamp", answers)
+    with Z.rocks_state(spark):
+        query = Z.start_to_folder(Z.stream_reminders(o, a, [3000, 1200], "5 hours"), str(tmp_path / "x"))
+        query.awaitTermination()
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) == 3
+    got = [(r.offer_id, r.step) for r in spark.read.parquet(str(tmp_path / "x" / "out")).collect()]
+    mark = max(t for _, t in given) - timedelta(hours=5)
+    told = {i: t for i, t in given}
+    want = []
+    for i in range(600):
+        for step, minutes in ((1, 20), (2, 50)):
+            due = at(i + minutes)
+            if due <= mark and (i not in told or told[i] > due):
+                want.append((i, step))
+    assert sorted(got) == want and len(want) > 150
+
+
+def test_reminders_go_on_after_a_restart(spark, tmp_path):
+    """Offers of the first run are told by the second one, which knows their answers from its state."""
+    o_schema, a_schema = "offer_id long, event_time timestamp", "offer_id long, response_time timestamp"
+    folder = str(tmp_path)
+
+    def run():
+        o = spark.readStream.schema(o_schema).parquet(f"{folder}/o/*")
+        a = spark.readStream.schema(a_schema).parquet(f"{folder}/a/*")
+        with Z.rocks_state(spark):
+            Z.start_to_folder(Z.stream_reminders(o, a, [600], "1 minute"), f"{folder}/x").awaitTermination()
+        return sorted(r.offer_id for r in spark.read.schema("offer_id long").parquet(f"{folder}/x/out").collect())
+
+    _batches(spark, tmp_path, "o", o_schema, [[(1, T0), (2, T0), (3, T0 + timedelta(minutes=5))]])
+    _batches(spark, tmp_path, "a", a_schema, [[(1, T0 + timedelta(minutes=3))]])
+    assert run() == []
+    spark.createDataFrame([(9, T0 + timedelta(hours=2))], o_schema).write.parquet(f"{folder}/o/next")
+    spark.createDataFrame([(3, T0 + timedelta(minutes=9))], a_schema).write.parquet(f"{folder}/a/next")
+    assert run() == [2]
