@@ -2,7 +2,7 @@
 
 Streams are started with any trigger and give back the query handle; the forms that return a frame run over what is
 there now. Aggregates bound their state by watermarks. Ingest forgets nothing: it keeps the hashes of the rows it has
-seen in the shared folder, by day, and a batch reads the days of its own rows only.
+seen in the shared folder, by day, in runs that are merged as they grow in number; a batch reads the days of its own rows only.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulP
 
 from parley.operators.ingest import decode_turns
 from parley.operators.splits import classify_new_rows
-from parley.session import staging_root
+from parley.session import remove, staging_root
 
 c = F.col
 
@@ -60,31 +60,91 @@ def run_to_folder(df: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{root}/out")
 
 
-SEEN = T.StructType([T.StructField("copy", T.StringType()), T.StructField("day", T.DateType()), T.StructField("batch", T.LongType())])
+SEEN = T.StructType([T.StructField("copy", T.StringType()), T.StructField("day", T.DateType()), T.StructField("run", T.StringType())])
+#: Runs of hashes that are merged into one of the next level.
+RUNS = 8
+
+
+def runs_of(batches: int, fan: int) -> list[tuple[int, int]]:
+    """Level and first batch of the runs that hold the batches before this one: the digits of that number, so fewer than ``fan`` a level."""
+    out, level, first = [], 0, 0
+    while fan ** (level + 1) <= batches:
+        level += 1
+    while level >= 0:
+        while first + fan**level <= batches:
+            out.append((level, first))
+            first += fan**level
+        level -= 1
+    return out
+
+
+class SeenRows:
+    """Hashes of all rows ever seen, by day, below a folder.
+
+    Every batch adds a run; whenever ``fan`` runs of a level stand beside each other they become one of the next, so a hash is written
+    once a level and a batch reads a number of runs that grows with the logarithm of the number of batches. What a batch reads and
+    writes follows from its number alone, so a retried batch does not see its own first try and overwrites it.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, fan: int = RUNS):
+        self.spark, self.root, self.fan = spark, root, fan
+
+    def _path(self, level: int, first: int) -> str:
+        return f"{self.root}/run=level{level}-{first}"
+
+    def _read(self, runs: list[tuple[int, int]]) -> DataFrame:
+        return self.spark.read.schema(SEEN).option("basePath", self.root).parquet(*[self._path(*r) for r in runs]).drop("run")
+
+    def unseen(self, rows: DataFrame, copy: str, day: str, batch: int) -> DataFrame:
+        """Rows whose hash is in no batch before this one."""
+        runs = runs_of(batch, self.fan)
+        if not runs:
+            return rows
+        days = [r[0] for r in rows.select(day).distinct().collect()]
+        return rows.join(self._read(runs).filter(c("day").isin(days)), c(copy) == c("copy"), "left_anti")
+
+    def add(self, rows: DataFrame, copy: str, day: str, batch: int) -> None:
+        """The hashes of a batch, and the merges that its number asks for."""
+        rows.select(c(copy).alias("copy"), c(day).alias("day")).write.mode("overwrite").partitionBy("day").parquet(self._path(0, batch))
+        for runs, new in self._merges(batch):
+            merged = self._read(runs).repartitionByRange("day", "copy").sortWithinPartitions("day", "copy")
+            merged.write.mode("overwrite").partitionBy("day").parquet(self._path(*new))
+
+    def tidy(self, batch: int) -> None:
+        """Remove the runs that the batch before this one, which is committed by now, has merged."""
+        for runs, _ in self._merges(batch - 1):
+            for run in runs:
+                remove(self.spark, self._path(*run))
+
+    def _merges(self, batch: int) -> list[tuple[list[tuple[int, int]], tuple[int, int]]]:
+        out, level, done = [], 1, batch + 1
+        while done > 0 and done % self.fan**level == 0:
+            first, part = done - self.fan**level, self.fan ** (level - 1)
+            out.append(([(level - 1, first + i * part) for i in range(self.fan)], (level, first)))
+            level += 1
+        return out
 
 
 def start_turns(raw: DataFrame, root: str, trigger: dict | None = None) -> StreamingQuery:
     """Decode arriving turns into ``root``/good and ``root``/bad, one folder per micro-batch.
 
-    Copies have the same event time, so a batch is compared with the hashes of its own days. A retried batch does not see
-    its own first try and overwrites it. However late a row comes, it lands in one of the two folders or is a copy.
+    Copies have the same event time, so a batch is compared with the hashes of its own days (``SeenRows``). However late a row
+    comes, it lands in one of the two folders or is a copy; no state store forgets it.
     """
     spark = raw.sparkSession
     names = raw.columns
+    seen = SeenRows(spark, f"{root}/seen")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         body = F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
-        marked = batch.withColumns({"_copy": body, "_day": F.coalesce(F.to_date("event_time"), F.lit("0001-01-01").cast("date"))}).dropDuplicates(["_copy"]).persist()
-        days = [r[0] for r in marked.select("_day").distinct().collect()]
-        fresh = marked
-        if batch_id > 0:
-            seen = spark.read.schema(SEEN).parquet(f"{root}/seen").filter(c("day").isin(days) & (c("batch") < batch_id))
-            fresh = marked.join(seen, c("_copy") == c("copy"), "left_anti")
-        fresh = fresh.persist()
-        fresh.select(c("_copy").alias("copy"), c("_day").alias("day")).write.mode("overwrite").partitionBy("day").parquet(f"{root}/seen/batch={batch_id}")
+        day = F.coalesce(F.to_date("event_time"), F.lit("0001-01-01").cast("date"))
+        marked = batch.withColumns({"_copy": body, "_day": day}).dropDuplicates(["_copy"]).persist()
+        seen.tidy(batch_id)
+        fresh = seen.unseen(marked, "_copy", "_day", batch_id).persist()
         good, bad = decode_turns(fresh.drop("_copy", "_day"))
         good.write.mode("overwrite").parquet(f"{root}/good/batch={batch_id}")
         bad.write.mode("overwrite").parquet(f"{root}/bad/batch={batch_id}")
+        seen.add(fresh, "_copy", "_day", batch_id)
         fresh.unpersist()
         marked.unpersist()
 

@@ -101,3 +101,36 @@ def test_reminders_go_on_after_a_restart(spark, tmp_path):
     spark.createDataFrame([(9, T0 + timedelta(hours=2))], o_schema).write.parquet(f"{folder}/o/next")
     spark.createDataFrame([(3, T0 + timedelta(minutes=9))], a_schema).write.parquet(f"{folder}/a/next")
     assert run() == [2]
+
+
+def test_runs_hold_every_batch_once():
+    for fan in (2, 3, 8):
+        for n in range(200):
+            runs = Z.runs_of(n, fan)
+            assert [b for level, first in runs for b in range(first, first + fan**level)] == list(range(n))
+            assert all(sum(x == level for x, _ in runs) < fan for level, _ in runs)
+
+
+def test_hashes_are_merged_and_none_is_forgotten(spark, tmp_path):
+    """Nine batches of two days, each with rows of all earlier ones; every third batch is tried twice."""
+    seen, schema = Z.SeenRows(spark, str(tmp_path / "seen"), 3), "copy_ string, day_ date"
+    days = [T0.date(), (T0 + timedelta(days=1)).date()]
+    for batch in range(9):
+        seen.tidy(batch)
+        rows = spark.createDataFrame([(f"r{i}", days[i % 2]) for i in range((batch + 1) * 4)], schema)
+        for _ in range(2 if batch % 3 == 2 else 1):
+            fresh = seen.unseen(rows, "copy_", "day_", batch)
+            assert sorted(r.copy_ for r in fresh.collect()) == sorted(f"r{i}" for i in range(batch * 4, batch * 4 + 4))
+            seen.add(fresh, "copy_", "day_", batch)
+    seen.tidy(9)
+    assert [p.name for p in (tmp_path / "seen").iterdir()] == ["run=level2-0"]
+    assert seen.unseen(rows, "copy_", "day_", 9).count() == 0
+
+
+def test_an_empty_batch_leaves_an_empty_run(spark, tmp_path):
+    seen = Z.SeenRows(spark, str(tmp_path / "seen"), 2)
+    none = spark.createDataFrame([], "copy_ string, day_ date")
+    some = spark.createDataFrame([("a", T0.date())], none.schema)
+    for batch, rows in enumerate([none, none, some, none]):
+        seen.add(seen.unseen(rows, "copy_", "day_", batch), "copy_", "day_", batch)
+    assert seen.unseen(some, "copy_", "day_", 4).count() == 0
