@@ -111,14 +111,16 @@ def copies_removed(df: DataFrame) -> DataFrame:
 def dedupe_by_key(df: DataFrame, key: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
     """First row per key in the given order, and the rest with the number of copies of each.
 
-    Copies collapse to a count before rows are ordered, so neither a hot key nor a hot group of copies is gathered.
+    Copies collapse to a count, the least row of a key is an aggregate that starts before the shuffle, and the rest is what
+    remains of the counts without it: no key and no group of copies is gathered or ordered.
     """
     columns = df.columns
     copies = df.groupBy(*columns).agg(F.count("*").alias("copies"))
-    placed = ranked(copies, key, [*order, *[x for x in columns if x not in order and x not in key]], "_place")
-    first = c("_place") == 1
-    rest = placed.withColumn("copies", c("copies") - F.when(first, 1).otherwise(0)).filter("copies > 0")
-    return placed.filter(first).select(*columns), rest.select(*columns, "copies")
+    # a column that is both key and order is the same in all rows of a key
+    least = F.struct(*order, *[x for x in columns if x not in order and x not in key])
+    first = copies.groupBy(*key).agg(F.min(least).alias("_first")).select(*[c(x) if x in key else c(f"_first.{x}").alias(x) for x in columns])
+    left = copies.unionByName(first.withColumn("copies", F.lit(-1).cast("long"))).groupBy(*columns).agg(F.sum("copies").alias("copies"))
+    return first, left.filter("copies > 0")
 
 
 def linked(listings: DataFrame, turns: DataFrame, key: str = "listing_id") -> DataFrame:
@@ -186,18 +188,17 @@ def profile(turns: DataFrame, listings: DataFrame) -> DataFrame:
     )
     b = linked_rows.agg(F.count("*").alias("listings"))
 
-    def distinct(df: DataFrame, x: str) -> Column:
-        # distinct first, then count: partial aggregation on both steps and no row expansion
-        return df.filter(c(x).isNotNull()).select(x).distinct().agg(F.count("*")).scalar()
-
-    return a.select(
-        "*",
-        b.scalar().alias("listings"),
-        distinct(turns, "thread_id").alias("threads"),
-        distinct(turns, "buyer_id").alias("buyers"),
-        distinct(turns, "seller_id").alias("sellers"),
-        distinct(turns, "listing_id").alias("referenced_listings"),
-        distinct(linked_rows, "category").alias("categories"),
+    def distinct(df: DataFrame, **names: str) -> DataFrame:
+        # all counts from one scan: values of the named columns below each other, made distinct before the shuffle
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), c(x).cast("string").alias("v")) for i, x in enumerate(names.values())])
+        values = df.select(F.explode(cells).alias("cell")).select("cell.i", "cell.v").filter("v IS NOT NULL").distinct()
+        return values.agg(*[F.count_if(c("i") == i).alias(name) for i, name in enumerate(names)])
+
+    counts = distinct(turns, threads="thread_id", buyers="buyer_id", sellers="seller_id", referenced_listings="listing_id")
+    kinds = distinct(linked_rows, categories="category")
+    one = counts.select(F.struct("*").alias("s")).scalar()
+    return a.select("*", b.scalar().alias("listings"), one.alias("_n"), kinds.scalar().alias("categories")).select(
+        *a.columns, "listings", "_n.threads", "_n.buyers", "_n.sellers", "_n.referenced_listings", "categories"
     )
 
 

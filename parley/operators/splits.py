@@ -156,11 +156,13 @@ def assignment_counts(assign: DataFrame) -> DataFrame:
     return assign.groupBy("split_name", "task", "region").agg(F.count("*").alias("rows"))
 
 
-def validate_split(assign: DataFrame, group: str, ts: str) -> DataFrame:
-    """One row: rows in two regions, groups in two regions, and whether region bounds follow in time."""
-    at = _place()
-    twice = assign.groupBy("row_id").agg((F.min(at) != F.max(at)).alias("x")).agg(F.count_if("x")).scalar()
-    shared = assign.groupBy(group).agg((F.min(at) != F.max(at)).alias("x")).agg(F.count_if("x")).scalar()
+def validate_split(assign: DataFrame, group: str, ts: str, by: list[str] | None = None) -> DataFrame:
+    """One row for each value of ``by``: rows in two regions, groups in two regions, and whether region bounds follow in time."""
+    at, by = _place(), by or []
+
+    def in_two(key: str, name: str) -> DataFrame:
+        per = assign.groupBy(*by, key).agg((F.min(at) != F.max(at)).alias("_x"))
+        return per.groupBy(*by).agg(F.count_if("_x").alias(name))
 
     def bound(fold, name: str) -> Column:
         return fold(F.when(c("region") == name, c(ts)))
@@ -169,9 +171,13 @@ def validate_split(assign: DataFrame, group: str, ts: str) -> DataFrame:
         F.coalesce(bound(F.max, TRAIN) <= bound(F.min, DEVELOPMENT), F.lit(True))
         & F.coalesce(bound(F.max, DEVELOPMENT) <= bound(F.min, HIDDEN), F.lit(True))
     )
-    return assign.agg(F.count("*").alias("rows"), follows.alias("chronological")).select(
-        "rows", twice.alias("rows_in_two_regions"), shared.alias("groups_in_two_regions"), "chronological"
-    )
+    out = assign.groupBy(*by).agg(F.count("*").alias("rows"), follows.alias("chronological"))
+    twice, shared = in_two("row_id", "rows_in_two_regions"), in_two(group, "groups_in_two_regions")
+    if by:
+        out = out.join(twice, by).join(shared, by)
+    else:
+        out = out.withColumns({x: df.scalar() for x, df in (("rows_in_two_regions", twice), ("groups_in_two_regions", shared))})
+    return out.select(*by, "rows", "rows_in_two_regions", "groups_in_two_regions", "chronological")
 
 
 TOKENS = ["case_token", "content_token", "source_token"]

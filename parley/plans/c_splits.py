@@ -119,17 +119,17 @@ def c06(t: Tables) -> DataFrame:
     "c07_validate_split",
     ctes(B.CASES, CHRONO)
     + """
-    SELECT count(*) AS rows, 0::BIGINT AS rows_in_two_regions,
-           (SELECT count(*) FROM (SELECT listing_id FROM kept WHERE task = 'agreement' GROUP BY 1 HAVING count(DISTINCT region) > 1)) AS groups_in_two_regions,
-           max(CASE WHEN region = 'train' THEN timestamp END) <= min(CASE WHEN region = 'development' THEN timestamp END)
-           AND max(CASE WHEN region = 'development' THEN timestamp END) <= min(CASE WHEN region = 'hidden' THEN timestamp END) AS chronological
-    FROM kept WHERE task = 'agreement'
+    SELECT task, count(*) AS rows, 0::BIGINT AS rows_in_two_regions,
+           (SELECT count(*) FROM (SELECT listing_id FROM kept g WHERE g.task = k.task GROUP BY 1 HAVING count(DISTINCT region) > 1)) AS groups_in_two_regions,
+           coalesce(max(CASE WHEN region = 'train' THEN timestamp END) <= min(CASE WHEN region = 'development' THEN timestamp END), true)
+           AND coalesce(max(CASE WHEN region = 'development' THEN timestamp END) <= min(CASE WHEN region = 'hidden' THEN timestamp END), true) AS chronological
+    FROM kept k GROUP BY task
     """,
 )
 def c07(t: Tables) -> DataFrame:
-    lean = B.cases(t).filter(c("task") == "agreement").select("row_id", "timestamp", "listing_id")
-    kept, _ = P.chronological_purged_split(lean, "timestamp", "listing_id", "row_id")
-    return P.validate_split(stage(kept), "listing_id", "timestamp")
+    lean = B.cases(t).select("task", "row_id", "timestamp", "listing_id")
+    kept, _ = P.chronological_purged_split(lean, "timestamp", "listing_id", "row_id", ["task"])
+    return P.validate_split(stage(kept), "listing_id", "timestamp", ["task"])
 
 
 USED = """

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +55,21 @@ def test_duplicate_keys_keep_the_first_and_all_the_rest(spark):
     assert sorted((r["o"], r["copies"]) for r in rest.collect()) == [(3, 1), (5, 1)]
 
 
+def test_duplicate_keys_with_nulls_equal_a_plain_loop(spark):
+    """Null keys, orders and values are values like others and come first; a third of all rows has one key."""
+    rng = random.Random(2)
+    pick = lambda *x: rng.choice([None, *x])
+    rows = [(pick(1, 2) if i % 3 else 7, pick(3.0, -1.0, 2.5), pick("a", "b", "")) for i in range(300)]
+    kept, rest = I.dedupe_by_key(spark.createDataFrame(rows, "k int, o double, v string").repartition(5), ["k"], ["o"])
+    rank = lambda r: tuple((x is not None, x or (0 if isinstance(x, float) else "")) for x in r[1:])
+    first = {k: min((r for r in rows if r[0] == k), key=rank) for k in {r[0] for r in rows}}
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, first.values()))
+    left = Counter(rows) - Counter(first.values())
+    assert {tuple(r)[:3]: r["copies"] for r in rest.collect()} == dict(left)
+    for df in I.dedupe_by_key(spark.createDataFrame([], "k int, o double, v string"), ["k"], ["o"]):
+        assert df.count() == 0
+
+
 def test_secrets_in_maps_and_arrays(spark):
     df = spark.createDataFrame([({"api_key": "x", "n": "1"}, ["password=1", "ok"], "plain")], "m map<string,string>, a array<string>, s string")
     row = I.redact_secrets(df, ["m", "a", "s"]).first()

@@ -105,3 +105,20 @@ def test_pareto_and_rotation(spark):
     assert {r["model_id"] for r in E.pareto(df).collect()} == {"a", "b", "e"}
     rows = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "i int, label string")
     assert {r["i"]: r["label"] for r in E.rotate_labels(rows, ["i"], "label").collect()} == {1: "y", 2: "z", 3: "x"}
+
+
+def test_tolerant_selection_equals_a_plain_loop(spark):
+    rng = random.Random(9)
+    rows = [
+        (f"t{i % 3}", f"s{i % 2}", f"m{i}", round(rng.choice([0.5, 0.503, 0.506, 0.7, -0.2]), 3), rng.randrange(1, 4), rng.choice([0.1, 0.2]), rng.choice([1.0, 0.9]))
+        for i in range(120)
+    ]
+    board = spark.createDataFrame(rows, "task string, split string, model_id string, log_loss double, complexity int, calibration_error double, coverage double")
+    got = {(r.task, r.split): r.model_id for r in E.select_model(board, "log_loss").collect()}
+    want = {}
+    for key in {r[:2] for r in rows}:
+        mine = [r for r in rows if r[:2] == key]
+        best = min(r[3] for r in mine)
+        near = [r for r in mine if r[3] <= best + max(abs(best) * 0.01, 1e-12)]
+        want[key] = min(near, key=lambda r: (r[4], r[5], -r[6], r[3], r[2]))[2]
+    assert got == want and len(want) == 6

@@ -12,10 +12,10 @@ from check import TABLES, agree, canonical
 FOLDER = "/root/testdata/sf0.001"
 # one query per family and technique; check.py runs all of them
 SAMPLE = """
-a04_canonicalize a05_decode_turns a08_dedupe_by_key a12_bucketed_sink a20_backfill_gaps a25_mask_secret_spans b01_turn_features b10_build_cases b14_sequence_violations
-c02_purged_split c05_standard_splits c08_fresh_hidden d02_category_majority d05_stumps d07_glm_balance d07_ridge d12_two_state d19_isotonic_rows d19_platt d23_bootstrap_brier d08_regression_baselines d11_threshold_candidates d20_nearest_rank d24_leaderboard
-e06_mature_margins e10_match_cancellations e15_policy_audit e21_recommend e22_shadow_values f01_treatment_compare f05_off_policy h03_bracket_probabilities d14_nearest g01_validate_observations g03_asof g05_missing_reason
-h05_pick_per_group l01_supersession_check l04_max_drawdown l05_verify_chain l07_longest_streak_weeks s01_stream_turns fn_dates flagship_next_action
+a04_canonicalize a05_decode_turns a08_dedupe_by_key a11_profile a12_bucketed_sink a20_backfill_gaps a25_mask_secret_spans b01_turn_features b10_build_cases b14_sequence_violations
+c02_purged_split c05_standard_splits c07_validate_split c08_fresh_hidden d02_category_majority d05_stumps d07_glm_balance d07_ridge d12_two_state d19_isotonic_rows d19_platt d23_bootstrap_brier d08_regression_baselines d11_threshold_candidates d20_nearest_rank d24_leaderboard
+e06_mature_margins e10_match_cancellations e15_policy_audit e21_recommend e22_shadow_values f01_treatment_compare f04_permutation_draws f05_off_policy h03_bracket_probabilities d14_nearest g01_validate_observations g03_asof g05_missing_reason
+h05_pick_per_group l01_supersession_check l04_max_drawdown l05_verify_chain l07_longest_streak_weeks s01_stream_turns s04_stream_overdue s04_stream_reminders fn_dates flagship_next_action
 """.split()
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables are not there")

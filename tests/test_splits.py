@@ -59,3 +59,13 @@ def test_episode_split_allocates_every_row(spark, n):
         assert got["development"] >= 1
     if n >= 3:
         assert got["hidden"] >= 1
+
+
+def test_validation_by_task(spark):
+    """Task a mixes a group and the order of times, task b does neither, task c lacks regions."""
+    rows = [("a", 1, "g", 1, "train"), ("a", 2, "g", 5, "hidden"), ("a", 3, "h", 6, "development"), ("b", 4, "g", 1, "train"), ("b", 5, "h", 1, "development"), ("c", 6, "g", 9, "hidden")]
+    df = spark.createDataFrame(rows, "task string, row_id int, grp string, at int, region string")
+    got = {r.task: (r.rows, r.rows_in_two_regions, r.groups_in_two_regions, r.chronological) for r in P.validate_split(df, "grp", "at", ["task"]).collect()}
+    assert got == {"a": (3, 0, 1, False), "b": (2, 0, 0, True), "c": (1, 0, 0, True)}
+    whole = P.validate_split(df, "grp", "at").first()
+    assert (whole.rows, whole.rows_in_two_regions, whole.groups_in_two_regions, whole.chronological) == (6, 0, 1, False)
