@@ -4,8 +4,10 @@ Learning takes a bounded sample of labelled documents, drawn by a hash of the id
 ``PER_CLASS`` rows; weights restore the classes' true shares. A lexicon is counted over the sample on the executors: words
 and word beginnings that stand far more often in toxic documents. Features are densities: lexicon hits and their
 strength, hits near a second-person word, hits that appear only once disguise is undone (digits for letters, signs
-between letters), capitals, punctuation, repeats. Trees are grown by histograms on three quarters of the sample; the rest
-fits the isotonic curve that turns margins into probabilities. Scoring is one pass over the rows, without a shuffle.
+between letters), capitals, punctuation, repeats. Trees are grown by histograms. Learning is crossed: the sample has ``PARTS``
+parts, the features of a part come from a lexicon counted over the others, and the isotonic curve that turns margins into
+probabilities is fitted to margins that trees of the other parts give. So no row judges itself, and every row serves both the
+trees and the curve. Scoring is one pass over the rows, without a shuffle.
 
 Defined results: a null text counts as empty; an empty text has a score like any other; a label of null is no label; a
 document with several labels is toxic if one of them says so; without labels of both classes every score is the share of
@@ -21,7 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.common import Scratch, fold, packed, pick, restored, share
@@ -29,7 +31,9 @@ from parley.llm.common import Scratch, fold, packed, pick, restored, share
 #: Labelled rows of each class that learning takes at most, on average.
 PER_CLASS = 6_000
 #: Entries of the lexicon, documents an entry must stand in, and how much likelier in toxic ones.
-LEXICON, LEAST_DOCS, LEAST_RATIO = 4_000, 4, 8.0
+LEXICON, LEAST_DOCS, LEAST_RATIO = 4_000, 3, 8.0
+#: Parts of the sample that lexicon, trees and curve are crossed over.
+PARTS = 8
 #: Lengths of word beginnings that may enter the lexicon.
 STEMS = (4, 5, 6)
 HEAD = min(STEMS)
@@ -39,7 +43,9 @@ YOU = frozenset("you your yours yourself u ur ya tu te ton ta tes toi vous votre
 #: Signs that stand for letters.
 PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "*": "", ".": "", "-": "", "_": "", "+": "t"})
 NEAR = 4
-EDGES = ".,;:!?\"'()[]{}<>«»„“”¿¡…"
+#: Signs around a word that are no part of it; behind it, also those that may stand for a first letter.
+EDGES = ".,;:!?\"'()[]{}<>«»„“”¿¡…#%&*|~^=+/\\_-"
+ENDS = EDGES + "$@"
 FEATURES = ("words", "hit_density", "hits", "strength", "strongest", "stem_density", "stem_hits", "stem_strength", "you_density", "near_you", "disguised", "capitals", "all_caps", "exclaims", "asks", "punctuation", "repeats", "digits")
 CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 SHOUT = re.compile(r"[A-ZÀ-ÖØ-Þ]{3,}")
@@ -51,7 +57,7 @@ def units(text: str) -> set[str]:
     """What may enter the lexicon: words as they stand, and marked beginnings of longer words."""
     out = set()
     for word in text.lower().split():
-        word = word.strip(EDGES)
+        word = word.rstrip(ENDS).lstrip(EDGES)
         if 2 < len(word) <= 40 and not any(c.isdigit() for c in word):
             out.add(word)
             out.update(word[:n] + "~" for n in STEMS if len(word) > n)
@@ -61,7 +67,7 @@ def units(text: str) -> set[str]:
 def features(text: str, words: dict[str, float], stems: dict[str, float], heads: set[str]) -> list[float]:
     """The dense features of a whole text, in the order of FEATURES. heads: the first letters of all stems."""
     tokens = text.lower().split()
-    bare = [t.strip(EDGES) for t in tokens]
+    bare = [t.rstrip(ENDS).lstrip(EDGES) for t in tokens]
     different = set(bare)
     hit = {w: words[w] for w in different & words.keys()}
     begun = {}
@@ -210,18 +216,33 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return np.array(knots), np.array(heights)
 
 
-def _lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple[dict[str, float], dict[str, float]]:
-    """Strengths of words and of word beginnings, counted over the documents of the sample."""
+Lexicon = tuple[dict[str, float], dict[str, float]]
+
+
+def _unit_counts(sample: DataFrame) -> DataFrame:
+    """Documents with a unit, clean and toxic ones, in each part of the sample."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(u, t) for text, t in zip(batch["text"], batch["toxic"], strict=True) for u in units(text)]
-            got = pd.DataFrame(rows, columns=["unit", "toxic"])
-            yield got.groupby("unit")["toxic"].agg(n="count", p="sum").reset_index()
+            rows = [(u, part, t) for text, part, t in zip(batch["text"], batch["part"], batch["toxic"], strict=True) for u in units(text)]
+            got = pd.DataFrame(rows, columns=["unit", "part", "toxic"])
+            yield got.groupby(["unit", "part"])["toxic"].agg(n="count", p="sum").reset_index()
+
+    counts = sample.mapInPandas(spread, "unit string, part int, n long, p long")
+
+    def held(value: Column, part: int) -> Column:
+        return F.sum(F.when(F.col("part") == part, value).otherwise(0))
 
-    counts = sample.mapInPandas(spread, "unit string, n long, p long").groupBy("unit").agg(F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
+    sums = [held(value, k).alias(f"{name}{k}") for name, value in (("p", F.col("p")), ("q", F.col("n") - F.col("p"))) for k in range(PARTS)]
+    return counts.groupBy("unit").agg(*sums)
+
+
+def _lexicon(counts: DataFrame, parts: list[int], n_toxic: int, n_clean: int) -> Lexicon:
+    """Strengths of words and of word beginnings, by their counts in some parts; at most LEXICON of them."""
+    p, q = (sum((F.col(f"{name}{k}") for k in parts), F.lit(0)) for name in "pq")
     ratio = ((F.col("p") + 0.5) / (n_toxic + 1)) / ((F.col("q") + 0.5) / (n_clean + 1))
-    rows = counts.where(F.col("p") >= LEAST_DOCS).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy((F.col("p") * F.log("ratio")).desc(), "unit").limit(LEXICON).collect()
+    likelier = counts.select("unit", p.alias("p"), q.alias("q")).where(F.col("p") >= LEAST_DOCS).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
+    rows = likelier.orderBy((F.col("p") * F.log("ratio")).desc(), "unit").limit(LEXICON).collect()
     found = {r.unit: math.log(r.ratio) for r in rows}
     return {k: v for k, v in found.items() if not k.endswith("~")}, {k: v for k, v in found.items() if k.endswith("~")}
 
@@ -237,30 +258,43 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     chosen = marked.where(share("doc_id", seed="toxicity") < rate)  # about 2 * per_class ids, whatever the input: fit to broadcast
     texts = pick(documents, "doc_id", "text").where("doc_id IS NOT NULL")
     scratch = Scratch(documents.sparkSession)
-    sample = scratch.stage(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic"))
-    sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    if len(sizes) < 2:
+    part = F.floor(share("doc_id", seed="calibrate") * PARTS).cast("int").alias("part")
+    sample = scratch.stage(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic", part))
+    size = np.zeros((2, PARTS), np.int64)
+    for r in sample.groupBy("toxic", "part").count().collect():
+        size[r.toxic, r.part] = r["count"]
+    clean, toxic = size.sum(axis=1)
+    if not clean or not toxic:
         return Model(heights=np.array([n_toxic / (n_toxic + n_clean)]))
-    words, stems = _lexicon(sample, sizes[1], sizes[0])
+    every = list(range(PARTS))
+    others = [[j for j in every if j != k] for k in every]
+    crossed = all(size[:, o].sum(axis=1).all() for o in others)  # both classes are met without any part
+    counts = scratch.stage(_unit_counts(sample))
+
+    def lexicon(parts: list[int]) -> Lexicon:
+        return _lexicon(counts, parts, int(size[1, parts].sum()), int(size[0, parts].sum()))
 
-    heads = {s[:HEAD] for s in stems}
+    words, stems = lexicon(every)
+    used = [lexicon(o) for o in others] if crossed else [(words, stems)] * PARTS
+    known = [(*u, {s[:HEAD] for s in u[1]}) for u in used]
 
     def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "x": [features(t, words, stems, heads) for t in batch["text"]]})
+            x = [features(t, *known[k]) for t, k in zip(batch["text"], batch["part"], strict=True)]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "part": batch["part"], "x": x})
 
-    rows = sample.mapInPandas(dense, "doc_id long, toxic int, x array<double>").withColumn("draw", share("doc_id", seed="calibrate")).orderBy("doc_id", "x").toPandas()
+    rows = sample.mapInPandas(dense, "doc_id long, toxic int, part int, x array<double>").orderBy("doc_id", "x").toPandas()
     scratch.clear()
-    x, y, draw = np.stack(rows["x"]), rows["toxic"].to_numpy(np.float64), rows["draw"].to_numpy()
-    weight = np.where(y == 1, n_toxic / sizes[1], n_clean / sizes[0])
+    x, y, at = np.stack(rows["x"]), rows["toxic"].to_numpy(np.float64), rows["part"].to_numpy()
+    weight = np.where(y == 1, n_toxic / toxic, n_clean / clean)
     weight *= len(y) / weight.sum()
-    grown = draw < 0.75
-    if len(set(y[grown])) < 2 or len(set(y[~grown])) < 2:
-        grown = np.ones(len(y), bool)
-    start, trees = grow(x[grown], y[grown], weight[grown])
-    model = Model(words, stems, start, trees)
-    rest = ~grown if not grown.all() else grown
-    model.knots, model.heights = isotonic(model.margins(x[rest]), y[rest], weight[rest])
+    model = Model(words, stems, *grow(x, y, weight))
+    margins = model.margins(x)
+    if crossed:
+        for k in np.unique(at):
+            rest = at != k
+            margins[~rest] = Model({}, {}, *grow(x[rest], y[rest], weight[rest])).margins(x[~rest])
+    model.knots, model.heights = isotonic(margins, y, weight)
     return model
 
 

@@ -29,6 +29,11 @@ def test_features_undo_disguise():
     assert plain[at] == 0 and plain[toxicity.FEATURES.index("near_you")] > 0
 
 
+def test_signs_around_words_are_no_part_of_them():
+    assert toxicity.units("clown### |clown| \"clown\",$$$ --clown") == toxicity.units("clown")
+    assert toxicity.units("### $$$ |") == set()
+
+
 def test_trees_learn_a_rule():
     rng = np.random.default_rng(3)
     x = rng.random((2000, 4))
@@ -38,7 +43,7 @@ def test_trees_learn_a_rule():
     assert ((margin > 0) == (y > 0)).mean() > 0.98
 
 
-@pytest.mark.xfail(reason="open: no false alarm, but 129 of 144 toxic documents caught at sf0.1, below the bar of 0.93")
+@pytest.mark.xfail(reason="open: no false alarm, but 132 of 144 toxic documents caught at sf0.1, below the bar of 0.93")
 def test_held_out_documents(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
