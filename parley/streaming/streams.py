@@ -11,7 +11,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -195,69 +196,94 @@ def stream_overdue(offers: DataFrame, responses: DataFrame, ttl: str = "1 hour",
 
 
 class Reminders(StatefulProcessor):
-    """One timer per offer and deadline. Facts of an offer may come in any order.
+    """Offers and answers of a bucket of offers, with one timer at its next deadline. Facts of an offer may come in any order.
 
     An offer told twice keeps the time it was first told with, and of its answers the first that is not before it counts; both are kept
     until its last deadline. An answer without an offer is kept until the watermark has passed it, as its offer would be late by then.
+    A batch reads and writes the state of a bucket once, so its cost is that of the facts, not of calls for each offer.
     """
 
-    def __init__(self, steps: list[int]):
-        self.steps = steps
+    def __init__(self, steps: list[int], key_type: T.DataType):
+        self.steps, self.key_type = steps, key_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.offer = handle.getValueState("offer", "offered long, answered long")
-        self.early = handle.getListState("early", "answered long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        facts = [(row["is_offer"], row["micros"]) for row in rows]
-        answers = {at for is_offer, at in facts if not is_offer}
-        known = self.offer.get()
-        offered, answered = known or (min((at for is_offer, at in facts if is_offer), default=None), None)
-        if offered is None:
-            for at in answers - {a for (a,) in self.early.get()}:
-                self.early.appendValue((at,))
-                self.handle.registerTimer(at // 1000)
-            return iter(())
-        if known is None:
-            answers |= {a for (a,) in self.early.get()}
-            self.early.clear()
-            for step in self.steps:
-                self.handle.registerTimer((offered + step) // 1000)
-        first = min((a for a in answers | ({answered} - {None}) if a >= offered), default=None)
-        if known is None or first != answered:
-            self.offer.update((offered, first))
+        columns = {"id": self.key_type, "offered": T.LongType(), "answered": T.LongType(), "told": T.IntegerType(), "early_id": self.key_type, "early": T.LongType()}
+        self.state = handle.getValueState("bucket", T.StructType([T.StructField(x, T.ArrayType(t)) for x, t in columns.items()]))
+
+    def _load(self) -> tuple[dict, dict]:
+        """By offer: its time, its first answer and how many deadlines were told; answers that have no offer yet."""
+        ids, offered, answered, told, early_ids, early = self.state.get() or [[]] * 6
+        before: dict = {}
+        for offer, at in zip(early_ids, early):
+            before.setdefault(offer, set()).add(at)
+        return {offer: facts for offer, *facts in zip(ids, offered, answered, told)}, before
+
+    def _keep(self, known: dict, before: dict, watermark: int) -> None:
+        """Write the state and see to it that a timer comes at the first moment that changes it, if not earlier."""
+        if not known and not before:
+            self.state.clear()
+            return
+        early = [(offer, at) for offer, ats in before.items() for at in ats]
+        columns = [list(known), *([facts[i] for facts in known.values()] for i in range(3)), [offer for offer, _ in early], [at for _, at in early]]
+        self.state.update(tuple(columns))
+        due = min([(offered + self.steps[told]) // 1000 for offered, _, told in known.values()] + [at // 1000 for _, at in early])
+        if not any(watermark < t <= due for t in self.handle.listTimers()):
+            self.handle.registerTimer(due)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        known, before = self._load()
+        first: dict = {}
+        for batch in rows:
+            for offer, is_offer, at in zip(batch["offer_id"].tolist(), batch["is_offer"].tolist(), batch["micros"].tolist()):
+                if not is_offer:
+                    before.setdefault(offer, set()).add(at)
+                elif offer not in known:
+                    first[offer] = min(at, first.get(offer, at))
+        for offer, at in first.items():
+            known[offer] = [at, None, 0]
+        for offer in [x for x in before if x in known]:
+            facts = known[offer]
+            answers = before.pop(offer) | ({facts[1]} - {None})
+            facts[1] = min((a for a in answers if a >= facts[0]), default=None)
+        self._keep(known, before, timerValues.getCurrentWatermarkInMs())
         return iter(())
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        known = self.offer.get()
-        if known is None:
-            left = [a for a in self.early.get() if a[0] // 1000 > now]
-            self.early.put(left) if left else self.early.clear()
-            return iter(())
-        offered, answered = known
-        due = [(i, offered + s) for i, s in enumerate(self.steps, 1) if (offered + s) // 1000 == now]
-        if now >= (offered + max(self.steps)) // 1000:
-            self.offer.clear()
-        return iter([Row(offer_id=key[0], step=i, event_time=offered, deadline=at) for i, at in due if answered is None or answered > at])
-
-
-def stream_reminders(offers: DataFrame, responses: DataFrame, steps: list[int], late: str = "1 hour") -> DataFrame:
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        known, before = self._load()
+        out = []
+        for offer, facts in known.items():
+            offered, answered, told = facts
+            while told < len(self.steps) and (offered + self.steps[told]) // 1000 <= now:
+                deadline = offered + self.steps[told]
+                told += 1
+                if answered is None or answered > deadline:
+                    out.append((offer, told, offered, deadline))
+            facts[2] = told
+        known = {offer: facts for offer, facts in known.items() if facts[2] < len(self.steps)}
+        before = {offer: {at for at in ats if at // 1000 > now} for offer, ats in before.items()}
+        self._keep(known, {offer: ats for offer, ats in before.items() if ats}, now)
+        if out:
+            yield pd.DataFrame(out, columns=["offer_id", "step", "event_time", "deadline"])
+
+
+def stream_reminders(offers: DataFrame, responses: DataFrame, steps: list[int], late: str = "1 hour", buckets: int = 8192) -> DataFrame:
     """Every deadline of an offer that passed without an answer, told once the watermark has passed it.
 
     offers: offer_id, event_time. responses: offer_id, response_time. steps: seconds from an offer to its deadlines, numbered from
-    1. An answer at the very deadline is in time. State and timers are kept per offer, so a hot buyer or thread is spread like any
-    other. One watermark runs over both kinds of facts; what comes after it passed is late and not looked at. Facts without an id or time are left
+    1. An answer at the very deadline is in time. State is kept by hash buckets of offers, so a hot buyer or thread is spread like any
+    other; a bucket holds the offers of the last step and ``late`` only, and their number must stay the same for a checkpoint. One
+    watermark runs over both kinds of facts; what comes after it passed is late and not looked at. Facts without an id or time are left
     out. Start inside ``rocks_state``.
     """
     facts = offers.select("offer_id", F.lit(True).alias("is_offer"), c("event_time").cast("timestamp").alias("at")).unionByName(
         responses.select("offer_id", F.lit(False).alias("is_offer"), c("response_time").cast("timestamp").alias("at"))
     )
-    rows = facts.filter(c("offer_id").isNotNull() & c("at").isNotNull()).withWatermark("at", late).withColumn("micros", F.unix_micros("at"))
-    schema = T.StructType(
-        [T.StructField("offer_id", offers.schema["offer_id"].dataType), *[T.StructField(x, t) for x, t in (("step", T.IntegerType()), ("event_time", T.LongType()), ("deadline", T.LongType()))]]
-    )
+    rows = facts.filter(c("offer_id").isNotNull() & c("at").isNotNull()).withWatermark("at", late)
+    rows = rows.withColumns({"micros": F.unix_micros("at"), "bucket": F.pmod(F.xxhash64("offer_id"), F.lit(buckets)).cast("int")})
+    key_type = offers.schema["offer_id"].dataType
+    schema = T.StructType([T.StructField("offer_id", key_type), *[T.StructField(x, t) for x, t in (("step", T.IntegerType()), ("event_time", T.LongType()), ("deadline", T.LongType()))]])
     micros = sorted({s * 1_000_000 for s in steps})
-    out = rows.groupBy("offer_id").transformWithState(Reminders(micros), schema, "append", "eventTime")
+    out = rows.groupBy("bucket").transformWithStateInPandas(Reminders(micros, key_type), schema, "append", "eventTime")
     return out.withColumns({x: F.timestamp_micros(x) for x in ("event_time", "deadline")})

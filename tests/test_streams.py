@@ -134,3 +134,19 @@ def test_an_empty_batch_leaves_an_empty_run(spark, tmp_path):
     for batch, rows in enumerate([none, none, some, none]):
         seen.add(seen.unseen(rows, "copy_", "day_", batch), "copy_", "day_", batch)
     assert seen.unseen(some, "copy_", "day_", 4).count() == 0
+
+
+def test_reminders_of_many_offers_share_a_bucket(spark, tmp_path):
+    """Three buckets hold 900 offers with ids of text: timers of a bucket tell each deadline once, over three batches and one state a bucket."""
+    offers = [(f"o{i}", T0 + timedelta(minutes=i)) for i in range(900)]
+    answers = [(k, t + timedelta(minutes=5 + 30 * (i % 3))) for i, (k, t) in enumerate(offers) if i % 4]
+    o = _batches(spark, tmp_path, "o", "offer_id string, event_time timestamp", [offers[i : i + 300] for i in (0, 300, 600)])
+    a = _batches(spark, tmp_path, "a", "offer_id string, response_time timestamp", [answers[i : i + 225] for i in (0, 225, 450)])
+    with Z.rocks_state(spark):
+        query = Z.start_to_folder(Z.stream_reminders(o, a, [1200, 2400], "2 hours", buckets=3), str(tmp_path / "x"))
+        query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) < 30
+    got = sorted((r.offer_id, r.step) for r in spark.read.parquet(str(tmp_path / "x" / "out")).collect())
+    mark, told = max(t for _, t in answers) - timedelta(hours=2), dict(answers)
+    due = [(k, step, t + timedelta(minutes=20 * step)) for k, t in offers for step in (1, 2)]
+    assert got == sorted((k, step) for k, step, at in due if at <= mark and (k not in told or told[k] > at)) and len(got) > 500
