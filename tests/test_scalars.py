@@ -51,3 +51,13 @@ def test_terms_are_safe(spark):
         T.divide(T.var("x"), T.var("zero")), T.power(T.var("x"), F.lit(99.0)), T.var("gone"), T.log(T.var("zero")), T.exp(T.var("x") * 1000), T.sqrt(-T.var("x")), T.power(-T.var("x"), F.lit(0.5))
     ).first()
     assert row[0] == 0.0 and row[1] == 4.0**6 and row[2] == 0.0 and row[3] < -27 and row[4] < 1e22 and row[5] == 0.0 and row[6] is None
+
+
+def test_reasons_are_compiled(spark):
+    """Names in order, none where nothing holds or all is unknown, commas kept; no lambda in the plan."""
+    from parley.functions.scalars import reasons
+
+    df = spark.createDataFrame([(1, "x"), (5, None), (None, None)], "n int, s string")
+    out = df.select(reasons(**{"small": df.n < 3, "a,b": df.s == "x", "big": df.n > 3}).alias("r"))
+    assert [r.r for r in out.collect()] == [["small", "a,b"], ["big"], []]
+    assert out.schema["r"].dataType.containsNull is False and "lambda" not in out._jdf.queryExecution().toString()
