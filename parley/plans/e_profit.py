@@ -161,7 +161,7 @@ def e11(t: Tables) -> DataFrame:
 )
 def e11_gate(t: Tables) -> DataFrame:
     p = pilot(t)
-    out = R.readiness_gate(p.offers, R.order_facts(p, as_of()))
+    out = R.readiness_gate(p.offers, R.gate_facts(p, as_of()))
     covers = [x for x in R.READY if x != "mature_margins"]
     return six(out, *covers).withColumn("failed", F.array_join("failed", ","))
 
@@ -501,7 +501,7 @@ def e25(t: Tables) -> DataFrame:
 )
 def e11_shadow_gate(t: Tables) -> DataFrame:
     p = pilot(t)
-    facts = R.order_facts(p, as_of())
+    facts = R.gate_facts(p, as_of())
     out = R.shadow_policy_gate(R.readiness_gate(p.offers, facts), R.decision_margins(facts, p.offers))
     return out.select("meaningful_actions", F.array_join("failed", ",").alias("failed"), "passed")
 
@@ -522,7 +522,7 @@ def e11_shadow_gate(t: Tables) -> DataFrame:
 )
 def e11_reasons(t: Tables) -> DataFrame:
     p = pilot(t)
-    return six(R.abstention_reasons(R.readiness_gate(p.offers, R.order_facts(p, as_of()))), "seen")
+    return six(R.abstention_reasons(R.readiness_gate(p.offers, R.gate_facts(p, as_of()))), "seen")
 
 
 @query(

@@ -38,3 +38,10 @@ def test_facts_stay_where_they_are(spark, name):
     for x in found:
         df = entry.queries()[x](spark, FOLDER)
         assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["e11_shadow_policy_gate", "e11_readiness_gate", "e11_abstention_reasons"])
+def test_gates_read_the_line_items_once(spark, name):
+    """The facts of a gate are staged, so that its counts, gaps and margins do not join all tables again."""
+    df = entry.queries()[name](spark, FOLDER)
+    assert "l_tax" not in df._jdf.queryExecution().toString()
