@@ -41,12 +41,16 @@ def _keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumns({f"_g{i}": c(k) for i, k in enumerate(keys)}), [f"_g{i}" for i in range(len(keys))]
 
 
+def _one_key(groups: list[str]) -> Column:
+    """A group's keys as one value that is never missing; a missing key is a group like any other."""
+    return F.struct(*[x for g in groups for x in (F.coalesce(c(g).cast("string"), F.lit("")).alias(g), c(g).isNull().alias(f"{g}_none"))])
+
+
 def _matched(df: DataFrame, small: DataFrame, groups: list[str]) -> DataFrame:
     """df with the other columns of its group's row in small; a missing key is a group like any other."""
     if groups == [ALL]:
         return _with_row(df, small.drop(ALL))
-    parts = [F.coalesce(c(g).cast("string"), F.lit("")) for g in groups] + [c(g).isNull().cast("string") for g in groups]
-    one = F.to_json(F.array(*parts))
+    one = _one_key(groups)
     return lookup(df.withColumn("_gk", one), small.withColumn("_gk", one).drop(*groups), ["_gk"], "inner").drop("_gk")
 
 
@@ -117,20 +121,25 @@ def values_at(df: DataFrame, value: str, places: dict[str, Place], keys: list[st
     return found.select(*[c(g).alias(k) for g, k in zip(groups, keys)], "_total", *[c(f"{name}.value").alias(name) for name in places])
 
 
-def rows_at(df: DataFrame, by: list[str], first: Column, order: list[str], places: dict[str, Place]) -> tuple[DataFrame, list[str]]:
+def rows_at(df: DataFrame, by: list[str], first: Column, order: list[str], places: dict[str, Place], staged: bool = False) -> tuple[DataFrame, list[str]]:
     """df with ``_total`` of its group and, for each place, the order columns of the row there (null beyond the end).
 
     ``first`` is a number or time that never falls along ``order``; rows with equal ones are put in order where a place lies
-    among them. Returns the names of the new columns along.
+    among them. A frame that is not ``staged`` is, as every pass reads it. Returns the names of the new columns along.
     """
-    df = stage(df)  # read by every pass, each with its own columns
+    df = df if staged else stage(df)
+    return with_cuts(df, by, cuts_at(df, by, first, order, places)), ["_total", *[f"_cut_{x}" for x in places]]
+
+
+def cuts_at(df: DataFrame, by: list[str], first: Column, order: list[str], places: dict[str, Place]) -> DataFrame:
+    """What ``rows_at`` adds, one row for each group. Every pass reads df, each with its own columns."""
     rows, groups = _keyed(df, by)
     narrow = rows.select(*groups, first.alias("_v"), *order)
     found = placed(narrow, groups, "_v", places)
     names = list(places)
     wanted = F.array(*[F.struct(F.lit(x).alias("name"), c(f"{x}.value").alias("value"), c(f"{x}.rest").alias("rest"), c(x).isNotNull().alias("is")) for x in names])
     asked = found.select(*groups, F.explode(wanted).alias("w"))
-    one = F.to_json(F.array(*[F.coalesce(c(g).cast("string"), F.lit("")) for g in groups], *[c(g).isNull().cast("string") for g in groups]))
+    one = _one_key(groups)
     sought = F.broadcast(asked.filter("w.is").select(one.alias("_gk"), "w"))  # one row for each group and place
     ties = narrow.withColumn("_gk", one).join(sought, "_gk").filter(c("_v").eqNullSafe(c("w.value")))
     ties = ties.select("_gk", c("w.name").alias("_name"), c("w.rest").alias("_rest"), *order)
@@ -141,7 +150,12 @@ def rows_at(df: DataFrame, by: list[str], first: Column, order: list[str], place
         ranked = Sequence(ties, ["_gk", "_name"], order).add(_at=rank()).frame
     cut = ranked.filter(c("_at") == c("_rest") + 1).groupBy("_gk").pivot("_name", names).agg(F.first(F.struct(*order)))
     ends = found.select(one.alias("_gk"), "_total").join(cut, "_gk", "left")
-    ends = ends.select("_gk", "_total", *[c(x).alias(f"_cut_{x}") for x in names])
+    return ends.select("_gk", "_total", *[c(x).alias(f"_cut_{x}") for x in names])
+
+
+def with_cuts(df: DataFrame, by: list[str], cuts: DataFrame) -> DataFrame:
+    """df with the columns of its group's row in ``cuts``."""
+    rows, groups = _keyed(df, by)
     if groups == [ALL]:
-        return _with_row(df, ends.drop("_gk")), ["_total", *[f"_cut_{x}" for x in names]]
-    return lookup(rows.withColumn("_gk", one), ends, ["_gk"]).drop("_gk", *groups), ["_total", *[f"_cut_{x}" for x in names]]
+        return _with_row(df, cuts.drop("_gk"))
+    return lookup(rows.withColumn("_gk", _one_key(groups)), cuts, ["_gk"]).drop("_gk", *groups)

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from parley.operators.selection import rows_at, text_start
+from parley.operators.selection import cuts_at, rows_at, text_start, with_cuts
 from parley.operators.sequence import Sequence, rank, total
+from parley.session import stage
 
 c = F.col
 
@@ -49,23 +50,26 @@ def _ends(train: float, development: float) -> dict:
     return {"train": (train, lambda n: train_end(n) - 1), "dev": (train + development, lambda n: dev_end(n) - 1)}
 
 
-def _by_position(df: DataFrame, first: Column, order: list[str], train: float, development: float) -> DataFrame:
-    """Region by place in an order of all rows: they are compared with the last ones of train and development, none is moved."""
-    rows, extra = rows_at(df, [], first, order, _ends(train, development))
+def _at_cuts(order: list[str]) -> Column:
+    """Region of a row that carries the last rows of train and development of its group."""
     own = F.struct(*order)
-    at = F.when(own <= c("_cut_train"), TRAIN).when(own <= c("_cut_dev"), DEVELOPMENT).otherwise(HIDDEN)
-    return rows.withColumn("region", at).drop(*extra)
+    return F.when(own <= c("_cut_train"), TRAIN).when(own <= c("_cut_dev"), DEVELOPMENT).otherwise(HIDDEN)
+
+
+def _start(df: DataFrame, column: str) -> Column:
+    """A number or time that never falls along a column."""
+    return text_start(c(column)) if isinstance(df.schema[column].dataType, StringType) else c(column)
 
 
 def chronological_split(
-    df: DataFrame, ts: str, key: str, by: list[str] | None = None, train: float = 0.6, development: float = 0.2
+    df: DataFrame, ts: str, key: str, by: list[str] | None = None, train: float = 0.6, development: float = 0.2, staged: bool = False
 ) -> DataFrame:
-    """Region by time rank, ties by key, separately for each value of ``by``."""
-    if not by:
-        first = text_start(c(ts)) if isinstance(df.schema[ts].dataType, StringType) else c(ts)
-        return _by_position(df, first, [ts, key], train, development)
-    placed = Sequence(df, by, [ts, key]).add(_pos=rank(), _n=total()).frame
-    return placed.withColumn("region", region(c("_pos"), c("_n"), train, development)).drop("_pos", "_n")
+    """Region by time rank, ties by key, separately for each value of ``by``.
+
+    Rows are compared with the last ones of train and development, none is moved. df is staged first unless it is ``staged``.
+    """
+    rows, extra = rows_at(df, by or [], _start(df, ts), [ts, key], _ends(train, development), staged)
+    return rows.withColumn("region", _at_cuts([ts, key])).drop(*extra)
 
 
 def group_value(group: str, key: str) -> Column:
@@ -85,42 +89,46 @@ def straddling_groups(placed: DataFrame, group: str, key: str, by: list[str]) ->
 
 
 def chronological_purged_split(
-    df: DataFrame, ts: str, group: str, key: str, by: list[str] | None = None, train: float = 0.6, development: float = 0.2
+    df: DataFrame, ts: str, group: str, key: str, by: list[str] | None = None, train: float = 0.6, development: float = 0.2, staged: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Chronological regions without the groups that cross a boundary, and the audit of those."""
     by = by or []
-    placed = chronological_split(df, ts, key, by, train, development)
+    placed = chronological_split(df, ts, key, by, train, development, staged)
     purged = straddling_groups(placed, group, key, by)
     kept = placed.withColumn("_group", group_value(group, key)).join(purged.select(*by, "_group"), [*by, "_group"], "left_anti")
     return kept.drop("_group"), purged.select(*by, c("_group").alias(group), "rows")
 
 
-def _place_groups(rows: DataFrame, by: list[str], order: list[str], train: float, development: float) -> DataFrame:
-    """Region of every row's group: its place among the distinct groups."""
-    placed = Sequence(rows.select(*by, *order).distinct(), by, order).add(_pos=rank(), _n=total()).frame
-    regions = placed.select(*by, "_group", region(c("_pos"), c("_n"), train, development).alias("region"))
-    return rows.join(regions, [*by, "_group"]).drop(*order)
+def _place_groups(rows: DataFrame, groups: DataFrame, by: list[str], order: list[str], train: float, development: float) -> DataFrame:
+    """Region of every row's group: its place among the distinct groups. Rows are compared with the groups at the cuts, none is moved."""
+    groups = stage(groups)
+    cuts = cuts_at(groups, by, _start(groups, order[0]), order, _ends(train, development))
+    told = reduce(lambda df, x: df.filter(c(x).isNotNull()), by, rows)
+    names = [*by, *[x for x in rows.columns if x not in by and x not in order], "region"]
+    return with_cuts(told, by, cuts).withColumn("region", _at_cuts(order)).select(*names)
 
 
 def group_split(df: DataFrame, group: str, key: str, by: list[str] | None = None, train: float = 0.6, development: float = 0.2) -> DataFrame:
     """Whole groups to regions, groups in text order."""
     by = by or []
     rows = df.withColumn("_group", group_value(group, key))
-    return _place_groups(rows, by, ["_group"], train, development)
+    return _place_groups(rows, rows.select(*by, "_group").distinct(), by, ["_group"], train, development)
 
 
-def _hashed(df: DataFrame, group: str, split_name: str | None = None, missing: str = "error") -> DataFrame:
-    """df with its group and the hash that orders groups. Missing groups: ``error`` or ``exclude``."""
+def _required(df: DataFrame, group: str, missing: str = "error") -> DataFrame:
+    """df with its group. Missing groups: ``error`` or ``exclude``."""
     rows = df.withColumn("_group", F.nullif(c(group).cast("string"), F.lit("")))
     if missing == "error":
         fault = F.raise_error(F.lit(f"missing {group} in a required split"))
-        rows = rows.withColumn("_group", F.coalesce(c("_group"), fault.cast("string")))
-    elif missing == "exclude":
-        rows = rows.filter(c("_group").isNotNull())
-    else:
-        raise ValueError("missing must be 'error' or 'exclude'")
-    body = F.concat(F.lit('{"group":"'), c("_group"), F.lit(f'","split":"{split_name or group}"}}'))
-    return rows.withColumn("_hash", F.sha2(body, 256))
+        return rows.withColumn("_group", F.coalesce(c("_group"), fault.cast("string")))
+    if missing == "exclude":
+        return rows.filter(c("_group").isNotNull())
+    raise ValueError("missing must be 'error' or 'exclude'")
+
+
+def _hashed(df: DataFrame, split_name: str) -> DataFrame:
+    """df with the hash that orders its groups."""
+    return df.withColumn("_hash", F.sha2(F.concat(F.lit('{"group":"'), c("_group"), F.lit(f'","split":"{split_name}"}}')), 256))
 
 
 def hash_group_split(
@@ -128,26 +136,27 @@ def hash_group_split(
     train: float = 0.6, development: float = 0.2,
 ) -> DataFrame:
     """Whole groups to regions, groups in hash order. Missing groups: ``error`` or ``exclude``."""
-    return _place_groups(_hashed(df, group, split_name, missing), by or [], ["_hash", "_group"], train, development)
+    by, rows, name = by or [], _required(df, group, missing), split_name or group
+    groups = _hashed(rows.select(*by, "_group").distinct(), name)
+    return _place_groups(_hashed(rows, name), groups, by, ["_hash", "_group"], train, development)
 
 
 def standard_splits(cases: DataFrame) -> DataFrame:
-    """The five splits of every task, long: split_name, task, row_id, region."""
-
-    def named(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.lit(name).alias("split_name"), "task", "row_id", "region")
-
-    chrono = chronological_purged_split(cases.select("task", "row_id", "timestamp", "listing_id"), "timestamp", "listing_id", "row_id", ["task"])[0]
-    groups = {
+    """The five splits of every task, long: split_name, task, row_id, region. ``cases`` is staged: every split reads it."""
+    lean = cases.select("task", "row_id", "timestamp", "listing_id")
+    chrono = chronological_purged_split(lean, "timestamp", "listing_id", "row_id", ["task"], staged=True)[0]
+    asked = {
         "seller_disjoint": ("seller_id", "error"), "buyer_disjoint": ("buyer_id", "exclude"),
         "category_disjoint_diagnostic": ("category", "error"), "thread_safe_nested_development": ("thread_id", "error"),
     }
     # the groups of all splits and tasks take their places together
-    rows = [
-        _hashed(cases.select("task", "row_id", column), column, missing=missing).select(F.lit(name).alias("split_name"), "task", "row_id", "_group", "_hash")
-        for name, (column, missing) in groups.items()
-    ]
-    safe = _place_groups(reduce(DataFrame.unionByName, rows), ["split_name", "task"], ["_hash", "_group"], 0.6, 0.2)
+    rows, groups = [], []
+    for name, (column, missing) in asked.items():
+        part = _required(cases.select("task", "row_id", column), column, missing).select(F.lit(name).alias("split_name"), "task", "row_id", "_group")
+        rows.append(_hashed(part, column))
+        groups.append(_hashed(part.select("split_name", "task", "_group").distinct(), column))
+    union = DataFrame.unionByName
+    safe = _place_groups(reduce(union, rows), reduce(union, groups), ["split_name", "task"], ["_hash", "_group"], 0.6, 0.2)
     names = ["split_name", "task", "row_id", "region"]
     return chrono.withColumn("split_name", F.lit("chronological_listing_purged")).select(*names).unionByName(safe.select(*names))
 
@@ -188,8 +197,8 @@ def long_tokens(cases: DataFrame) -> DataFrame:
 
 
 def fresh_hidden(hidden: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Hidden cases none of whose tokens was used before, and the excluded ones."""
-    seen = long_tokens(hidden).join(used.select("token").distinct(), "token", "left_semi").select("row_id").distinct()
+    """Hidden cases none of whose tokens was used before, and the excluded ones. ``hidden`` is staged: it is read three times."""
+    seen = stage(long_tokens(hidden).join(used.select("token").distinct(), "token", "left_semi").select("row_id").distinct())
     return hidden.join(seen, "row_id", "left_anti"), hidden.join(seen, "row_id", "left_semi")
 
 
