@@ -298,6 +298,13 @@ def leakage_audit(cases: DataFrame, features: str = "features", history: str | N
     )
 
 
+#: Columns of a case that its tokens are made of.
+TOKEN_FIELDS = (
+    "task row_id thread_id listing_id timestamp category condition listing_price current_actor current_action current_amount round_number "
+    "prior_counter_count history_digest"
+).split()
+
+
 def case_tokens(cases: DataFrame) -> DataFrame:
     """Three content hashes per case: all of it, its content alone, its source ids alone."""
 

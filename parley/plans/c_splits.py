@@ -98,7 +98,8 @@ assign AS (
 
 @query("c05_standard_splits", ctes(B.CASES, CHRONO, STANDARD) + "SELECT split_name, task, region, count(*) AS rows FROM assign GROUP BY 1, 2, 3")
 def c05(t: Tables) -> DataFrame:
-    return P.assignment_counts(P.standard_splits(stage(B.cases(t))))
+    columns = ["task", "row_id", "timestamp", "listing_id", "seller_id", "buyer_id", "category", "thread_id"]
+    return P.assignment_counts(P.standard_splits(stage(B.cases(t).select(*columns))))
 
 
 @query(
@@ -140,10 +141,11 @@ hid AS (SELECT k.task, k.row_id, sha256(source || chr(1) || content) AS a, sha25
 
 
 def _hidden_tokens(t: Tables) -> tuple[DataFrame, DataFrame]:
-    tokens = stage(K.case_tokens(B.cases(t)))
-    kept, _ = P.chronological_purged_split(tokens, "timestamp", "listing_id", "row_id", ["task"])
-    used = tokens.filter(c("current_actor") == "seller").select(c("source_token").alias("token"))
-    return kept.filter(c("region") == "hidden"), used
+    cases = stage(B.cases(t).select(*K.TOKEN_FIELDS))
+    kept, _ = P.chronological_purged_split(cases, "timestamp", "listing_id", "row_id", ["task"], staged=True)
+    used = K.case_tokens(cases.filter(c("current_actor") == "seller")).select(c("source_token").alias("token"))
+    hidden = K.case_tokens(kept.filter(c("region") == "hidden"))
+    return stage(hidden.select("task", "row_id", *P.TOKENS)), used
 
 
 @query(

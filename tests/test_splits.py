@@ -1,7 +1,13 @@
+from datetime import datetime, timedelta
+import hashlib
 import pytest
 from pyspark.sql import functions as F
 
 from parley.operators import splits as P
+from parley.plans import c_splits as C
+from parley.plans.registry import Tables
+
+T0 = datetime(2024, 1, 1)
 
 
 def bounds(n):
@@ -69,3 +75,34 @@ def test_validation_by_task(spark):
     assert got == {"a": (3, 0, 1, False), "b": (2, 0, 0, True), "c": (1, 0, 0, True)}
     whole = P.validate_split(df, "grp", "at").first()
     assert (whole.rows, whole.rows_in_two_regions, whole.groups_in_two_regions, whole.chronological) == (6, 0, 1, False)
+
+
+def test_rows_of_a_split_are_not_moved(spark):
+    """By task: equal to a plain sort of rows or hashes; no window and no shuffle of the rows. A missing task has no group region."""
+    rows = [(f"r{i:03}", "xy"[i % 2] if i % 50 else None, T0 + timedelta(minutes=i // 3), f"g{i % 37}") for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id string, task string, ts timestamp, g string")
+    chrono, groups = P.chronological_split(df, "ts", "row_id", ["task"]), P.hash_group_split(df, "g", by=["task"])
+    for out in (chrono, groups):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Exchange hashpartitioning" not in plan
+
+    def regions(items):
+        n = len(items)
+        return {x: "train" if i < int(n * 0.6) else "development" if i < int(n * 0.8) else "hidden" for i, x in enumerate(items)}
+
+    for task in ("x", "y"):
+        mine = [r for r in rows if r[1] == task]
+        want = regions([r[0] for r in sorted(mine, key=lambda r: (r[2], r[0]))])
+        assert {r.row_id: r.region for r in chrono.filter(F.col("task") == task).collect()} == want
+        sha = lambda g: hashlib.sha256(f'{{"group":"{g}","split":"g"}}'.encode()).hexdigest()
+        want = regions(sorted({r[3] for r in mine}, key=lambda g: (sha(g), g)))
+        assert {r.g: r.region for r in groups.filter(F.col("task") == task).collect()} == want
+    assert chrono.count() == 400 and groups.count() == 392
+
+
+def test_hidden_tokens_are_made_once(spark):
+    """c08 makes tokens of hidden and used rows only, and what is read three times is staged with the columns it needs."""
+    hidden, used = C._hidden_tokens(Tables(spark, "/root/testdata/sf0.001"))
+    assert hidden.columns == ["task", "row_id", *P.TOKENS] and used.columns == ["token"]
+    plan = hidden._jdf.queryExecution().executedPlan().toString()
+    assert "sha2" not in plan and "Exchange" not in plan
