@@ -7,7 +7,8 @@ end; the line is cut every ``window`` tokens. A document is cut only where a win
 is cut into lengths that are powers of two, a window of its own each, so that nothing is padded.
 
 Ids are staged with their place on the curve (compressed, two bytes an id where the vocabulary allows), so a document is
-read once and moves once. Ties on the curve go by doc_id and then by row, so equal documents spread over ranges.
+read once and moves once. Texts are encoded in blocks, each distinct word of a block once. Ties on the curve go by doc_id
+and then by row, so equal documents spread over ranges.
 
 Defined results: a null text counts as empty and gives the closing id alone; a null doc_id is kept; repeated rows are
 packed each; an empty table gives no piece; very long texts take as many windows as they need. Other columns are ignored.
@@ -16,13 +17,12 @@ packed each; an empty table gives no piece; very long texts take as many windows
 from __future__ import annotations
 
 import json
-import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,20 +39,24 @@ CLOSING = 1
 DIMS, BITS = 4, 8
 #: Tokens that a range holds on average.
 RANGE_TOKENS = 4_000_000
-#: Words whose ids a worker remembers; then it starts anew.
+#: Bytes of text encoded at once (a longer text stands alone): each of their words is looked at once.
+BLOCK_BYTES = 8_000_000
+#: Unusual words whose ids a worker remembers; then it starts anew.
 REMEMBERED = 300_000
 #: Words of these characters are split in the same way by both libraries; others take the plain path.
-USUAL = re.compile(r"[!-&(-~¡-¬®-±´-¸º»¿-ſ]+")
+USUAL = "^[!-&(-~¡-¬®-±´-¸º»¿-ſ]+$"
+#: What the tokenizer takes apart in a usual word, after lower-casing.
+PARTS = r"\p{L}+|[0-9]|[^\p{L}0-9 ]+"
 #: The word end, and what stands between words that are encoded together: no usual word contains them.
 ENDED, BETWEEN = "\x01", "\x02"
 
 
 class Words:
-    """Ids of a text by the words between blanks, each encoded once and remembered.
+    """Ids of texts by the words between blanks, each distinct word of a block of texts encoded once.
 
     For a vocabulary of pieces with word ends, whose splitting never joins what a blank separates, the ids of a text are
     those of its words. Usual words go through the rank-based encoder with the word end as a closing byte; the rest, and any
-    other kind of vocabulary, through the tokenizer itself.
+    other kind of vocabulary, through the tokenizer itself, and the ids of the rest are remembered.
     """
 
     SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -84,36 +88,56 @@ class Words:
             ranks[bytes(byte[c] for c in (piece[:-4] if ends else piece)) + ENDED.encode() * ends] = i
         return tiktoken.Encoding("pieces", pat_str=f"[^{ENDED} ]+{ENDED}", mergeable_ranks=ranks, special_tokens={})
 
-    PARTS = re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-
     def _plain(self, words: list[str]) -> list[bytes]:
         return [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.kind).tobytes() for w in words]
 
-    def _learn(self, words: list[str]) -> None:
-        """Remember the ids of new words; the usual ones are encoded together, a mark that none contains between them."""
-        usual = [w for w in words if USUAL.fullmatch(w)]
-        line = f" {BETWEEN} ".join(usual)
-        if any(m in line for m in self.marks):
-            usual = []
-        elif usual:
-            ids = np.array(self.ranked.encode_ordinary(self.PARTS.sub(rf"\g<0>{ENDED}", line.lower())), self.kind)
-            ends = np.flatnonzero(ids == self.between).tolist()
-            starts = [0, *(e + 1 for e in ends)]
-            self.memory.update(zip(usual, [ids[a:b].tobytes() for a, b in zip(starts, [*ends, len(ids)], strict=True)], strict=True))
-        rest = [w for w in words if w not in self.memory]
-        self.memory.update(zip(rest, self._plain(rest), strict=True))
+    def _ids(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words end to end, and the start and number of those of each word.
+
+        The usual words are encoded together, a mark that none contains between them.
+        """
+        usual = pc.match_substring_regex(words, USUAL)
+        for m in self.marks:
+            usual = pc.and_not(usual, pc.match_substring(words, m))
+        rest = words.filter(pc.invert(usual)).to_pylist()
+        if len(self.memory) > REMEMBERED:
+            self.memory.clear()
+        new = [w for w in rest if w not in self.memory]
+        self.memory.update(zip(new, self._plain(new), strict=True))
+        ids, lengths = [self.memory[w] for w in rest], np.zeros(len(words), np.int64)
+        usual = usual.to_numpy(zero_copy_only=False)
+        lengths[~usual] = [len(i) // np.dtype(self.kind).itemsize for i in ids]
+        ids = np.frombuffer(b"".join(ids), self.kind)
+        if usual.any():
+            line = pa.ListArray.from_arrays([0, int(usual.sum())], words.filter(pa.array(usual)))
+            line = pc.binary_join(line, f" {BETWEEN} ")[0].as_py().lower()
+            line = pc.replace_substring_regex(pa.array([line], pa.large_string()), PARTS, rf"\0{ENDED}")[0].as_py()
+            found = np.array(self.ranked.encode_ordinary(line), self.kind)
+            ends = np.flatnonzero(found == self.between)
+            lengths[usual] = np.diff(ends, prepend=-1, append=len(found)) - 1
+            ids = np.append(ids, found[found != self.between])
+        order = np.concatenate([np.flatnonzero(~usual), np.flatnonzero(usual)])
+        starts = np.empty_like(lengths)
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        return ids, starts, lengths
+
+    def closed(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, each with the id that closes it, and where each text ends."""
+        if not self.by_word:
+            each = [i + self.kind(CLOSING).tobytes() for i in self._plain(texts.to_pylist())]
+            return np.frombuffer(b"".join(each), self.kind), np.cumsum([len(i) // np.dtype(self.kind).itemsize for i in each], dtype=np.int64)
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        ids, starts, lengths = self._ids(words.dictionary)
+        until = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        at = np.insert(words.indices.to_numpy(), until, len(starts))  # the closing id is one more word
+        starts, lengths = np.append(starts, len(ids)), np.append(lengths, 1)
+        ends = np.cumsum(lengths[at])
+        take = np.repeat(starts[at] - ends + lengths[at], lengths[at]) + np.arange(ends[-1] if len(ends) else 0)
+        return np.append(ids, self.kind(CLOSING))[take], ends[until + np.arange(len(until))]
 
     def encode(self, text: str) -> bytes:
-        if not self.by_word:
-            return self._plain([text])[0]
-        words = text.replace("\n", " ").split(" ")
-        known = list(map(self.memory.get, words))
-        if None in known:
-            if len(self.memory) > REMEMBERED:
-                self.memory.clear()
-            self._learn([w for w in set(words) if w not in self.memory])
-            known = list(map(self.memory.get, words))
-        return b"".join(known)
+        return self.closed(pa.array([text], pa.string()))[0][:-1].tobytes()
 
 
 def signs(ids: np.ndarray) -> np.ndarray:
@@ -153,17 +177,30 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
+def blocks(texts: pa.StringArray) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of stretches that begin within the same BLOCK_BYTES."""
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    block = (np.cumsum(size) - size) // BLOCK_BYTES
+    first = np.flatnonzero(np.diff(block, prepend=-1))
+    yield from zip(first.tolist(), np.diff(first, append=len(block)).tolist(), strict=True)
+
+
 def _encoder(path: str):
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = per_worker(("words", path), lambda: Words(path))  # with the ids of the words met so far
-        table = per_worker(("signs", words.wide), lambda: signs(np.arange(1 << (20 if words.wide else 16))))
-        closing = np.array([CLOSING], words.kind).tobytes()
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = per_worker(("words", path), lambda: Words(path))  # with the ids of the unusual words met so far
+        table = per_worker(("signs", words.wide), lambda: signs(np.arange(1 << (20 if words.wide else 16))).astype(np.int32).T.copy())
         for batch in batches:
-            ids = [words.encode(t or "") + closing for t in batch["text"]]
-            mean = np.array([table[np.frombuffer(i, words.kind)].mean(axis=0) for i in ids])
-            grid = np.clip((0.5 + 0.5 * np.tanh(4 * mean)) * (1 << BITS), 0, (1 << BITS) - 1)
-            n = [len(i) // np.dtype(words.kind).itemsize for i in ids]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "curve": hilbert(grid), "doc_tokens": n, "ids": ids})
+            texts = batch["text"].cast(pa.string()).fill_null("")
+            for first, n in blocks(texts):
+                ids, ends = words.closed(texts.slice(first, n))
+                length = np.diff(ends, prepend=0)
+                sums = np.stack([np.add.reduceat(t[ids], ends - length) for t in table], axis=1)
+                mean = (sums / length[:, None]).astype(np.float32)
+                grid = np.clip((0.5 + 0.5 * np.tanh(4 * mean)) * (1 << BITS), 0, (1 << BITS) - 1)
+                bounds = np.append(0, ends * ids.itemsize).astype(np.int64)
+                binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(ids)])
+                columns = [batch["doc_id"].slice(first, n), pa.array(hilbert(grid)), pa.array(length), binary.cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "curve", "doc_tokens", "ids"])
 
     return encode
 
@@ -237,7 +274,7 @@ def encoded(documents: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, place on the curve, number of ids and the ids themselves, staged in the shared folder."""
     spark = documents.sparkSession
     rows = pick(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows = rows.mapInPandas(_encoder(tokenizer), "doc_id long, curve long, doc_tokens long, ids binary")
+    rows = rows.mapInArrow(_encoder(tokenizer), "doc_id long, curve long, doc_tokens long, ids binary")
     path = f"{staging_root(spark)}/stage-{uuid.uuid4().hex}"
     rows.withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
     return spark.read.schema("doc_id long, curve long, doc_tokens long, ids binary, row long").parquet(path)

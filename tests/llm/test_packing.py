@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parley.llm import packing
@@ -73,3 +74,43 @@ def test_odd_rows(words, odd, empty, monkeypatch):
     lengths = sorted(len(plain(words, r.text)) + 1 for r in odd.collect())
     assert sum(p.length for p in pieces) == sum(lengths)
     assert packing.pack(empty, tokenizer_path()).count() == 0
+
+
+def closed(words, texts):
+    ids, ends = words.closed(pa.array(texts, pa.string()))
+    return [i.tolist() for i in np.split(ids, ends)[:-1]]
+
+
+def test_every_usual_character_alone_and_between_letters(words):
+    usual = [chr(c) for c in range(33, 0x180) if c != ord("'") and not 127 <= c < 161]
+    texts = [f"{c} a{c}b 1{c}2 {c}{c} .{c}! {c.upper()}x" for c in usual]
+    assert closed(words, texts) == [[*plain(words, t), packing.CLOSING] for t in texts]
+
+
+def test_words_of_a_block_are_encoded_in_one_go(words, monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(9)) for _ in range(40)) for _ in range(50)]
+    texts[3:3] = ["", "a<|endoftext|>b 漢字\t \n\n don't", " ", "\n"]
+    asked, lines = [], []
+    real, ranked = words._plain, words.ranked
+    monkeypatch.setattr(words, "memory", {})
+    monkeypatch.setattr(words, "_plain", lambda some: asked.extend(some) or real(some))
+    monkeypatch.setattr(words, "ranked", type("Counted", (), {"encode_ordinary": staticmethod(lambda line: lines.append(line) or ranked.encode_ordinary(line))}))
+    want = [[*plain(words, t), packing.CLOSING] for t in texts]
+    assert closed(words, texts) == want
+    assert len(lines) == 1 and sorted(asked) == ["", "a<|endoftext|>b", "don't", "漢字\t"]
+    monkeypatch.setattr(words, "by_word", False)
+    assert closed(words, texts) == want
+
+
+def test_blocks_change_nothing(words, monkeypatch):
+    texts = pa.array([None, "one two", "", "three " * 30, None, "four", "x" * 200, ""], pa.string())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8), pa.int64()), texts], names=["doc_id", "text"]).slice(1)
+    whole = pa.Table.from_batches(packing._encoder(tokenizer_path())([batch])).to_pylist()
+    for size in (1, 40, 200):
+        monkeypatch.setattr(packing, "BLOCK_BYTES", size)
+        parts = list(packing._encoder(tokenizer_path())([batch, batch.slice(0, 0)]))
+        assert len(parts) > 1 and pa.Table.from_batches(parts).to_pylist() == whole
+    assert [r["doc_id"] for r in whole] == list(range(1, 8))
+    for r, text in zip(whole, texts.slice(1).to_pylist(), strict=True):
+        assert np.frombuffer(r["ids"], words.kind).tolist() == [*plain(words, text), packing.CLOSING] and r["doc_tokens"] == len(r["ids"]) // 2
