@@ -11,7 +11,9 @@ are not yet in the same component, adds the confirmed links, and takes the pivot
 are those with most links so far, so a group around one original is joined in about two rounds, with as many comparisons
 as it has members. Buckets that are not done then hold classes that share a passage rather than a text: their classes are
 put into buckets by their rarest shingles instead, which loses no link, and these are worked off with a number of pivots
-that grows from round to round. A bucket is done when all its classes are in one component or have been pivots.
+that grows from round to round. A bucket is done when all its classes are in one component or have been pivots; one of no
+more classes than pivots is done at once, and a round without new links leaves the components as they are. So there are few
+rounds, and the plans, threads and tasks that the driver has to hold stay few.
 
 No group meets in one task: buckets, classes and components are only ever counted, reduced to a minimum or joined on rows of
 two numbers; the joins are split by the engine where a key is hot.
@@ -24,13 +26,14 @@ named by its smallest id; a null id is never that name unless all ids of the com
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 from itertools import count
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.common import Scratch, packed, pick, restored
@@ -102,6 +105,11 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"cls": batch["cls"], "shingles": [shingle_set(t).view(np.int64) for t in batch["text"]]})
 
 
+def _rows(*rows: tuple[str | Column, ...], names: tuple[str, ...]) -> Column:
+    """Several rows from one, in columns of these names: unlike a union it reads its input once."""
+    return F.inline(F.array(*(F.struct(*(F.col(c).alias(n) if isinstance(c, str) else c.alias(n) for c, n in zip(row, names, strict=True))) for row in rows)))
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """u and its component (smallest member) for all ends of the edges (u, v), by stars in turn.
 
@@ -110,14 +118,13 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     e = scratch.stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(small, "u")
-        e = scratch.stage(joined.select("u", F.col("m").alias("v")).unionAll(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        # rows have u > v; each table is staged once and read at most twice, so that the plans of a round stay small
+        least = e.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = scratch.stage(e.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
+        joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        e = scratch.stage(joined.select(_rows(("u", "m"), ("v", "m"), names=("u", "v"))).where("u <> v").distinct())
         # done when every node hangs under one other that hangs under none
-        roles = e.select(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionAll(e.select("v", F.lit(0), F.lit(1)))
+        roles = e.select(_rows(("u", F.lit(1), F.lit(0)), ("v", F.lit(0), F.lit(1)), names=("x", "below", "above")))
         roles = roles.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
         if roles.where("below > 1 OR (below = 1 AND above = 1)").isEmpty():
             return e.select("u", F.col("v").alias("component"))
@@ -157,7 +164,7 @@ FEW_IDS = 1_000_000
 
 def _needed(sets: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """The sets that occur in the pairs."""
-    ids = scratch.stage(pairs.select(F.col("u").alias("cls")).unionAll(pairs.select("v")).distinct())
+    ids = scratch.stage(pairs.select(_rows(("u",), ("v",), names=("cls",))).distinct())
     return sets.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "cls", "left_semi")
 
 
@@ -189,20 +196,21 @@ def linked_classes(documents: DataFrame, classes: DataFrame, scratch: Scratch) -
     wanted = scratch.stage(buckets.select("cls").distinct().join(classes.select("cls", "n_shingles", "doc_id", "mark"), "cls"))
     texts = _same(picked(documents.select("doc_id", "mark", "text"), wanted), wanted.select("cls", "doc_id", "mark"), ("doc_id", "mark"), "inner")
     sets = _single(scratch.stage(texts.select("cls", "text").mapInPandas(_sets, "cls long, shingles array<long>").withColumn("row", F.monotonically_increasing_id())), scratch)
-    labels = wanted.select("cls", "n_shingles", F.col("cls").alias("label"), F.lit(0).cast("long").alias("links"))
+    labels = unlinked = wanted.select("cls", "n_shingles", F.col("cls").alias("label"), F.lit(0).cast("long").alias("links"))
     pivots_per_bucket = 1
     tested: list[DataFrame] = []
     for turn in count():
         live = buckets.join(labels, "cls")
-        split = live.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+        split = live.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("bucket", "members")
         live = scratch.stage(live.join(split, "bucket"))
-        scratch.clear(classes, sets, live, labels, *tested, *([wanted] if turn == 0 else []))  # what earlier rounds left
+        scratch.clear(classes, sets, live, labels, *tested, *([wanted] if labels is unlinked else []))  # what earlier rounds left
         if live.isEmpty():
             return labels.select("cls", "label")
         if turn == REFINED:
             buckets, pivots_per_bucket = _refined(live, sets, scratch), PIVOTS
             continue
-        slot = F.pmod(F.xxhash64("cls", F.lit(pivots_per_bucket)), F.lit(pivots_per_bucket))
+        # a bucket of no more classes than that is done in this round: all of them are pivots
+        slot = F.when(F.col("members") <= pivots_per_bucket, F.col("cls")).otherwise(F.pmod(F.xxhash64("cls", F.lit(pivots_per_bucket)), F.lit(pivots_per_bucket)))
         pivots = live.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("links", F.xxhash64("cls").alias("order"), "cls", "label", "n_shingles", "place")).alias("p"))
         pivots = scratch.stage(pivots.select("bucket", "p.cls", "p.label", "p.n_shingles", "p.place"))
         near = pivots.select("bucket", F.col("cls").alias("v"), F.col("label").alias("v_label"), F.col("n_shingles").alias("v_n"), F.col("place").alias("v_place"))
@@ -210,18 +218,20 @@ def linked_classes(documents: DataFrame, classes: DataFrame, scratch: Scratch) -
         most = F.least(F.col("n_shingles") - F.col("place"), F.col("v_n") - F.col("v_place"))
         pairs = live.join(near, "bucket").where((F.col("label") != F.col("v_label")) & ((100 + PERCENT) * most >= PERCENT * (F.col("n_shingles") + F.col("v_n"))))
         pairs = pairs.select(F.greatest("cls", "v").alias("u"), F.least("cls", "v").alias("v")).distinct()
-        for old in tested:
-            pairs = pairs.join(old, ["u", "v"], "left_anti")
+        if tested:
+            pairs = pairs.join(reduce(DataFrame.unionAll, tested), ["u", "v"], "left_anti")
         pairs = scratch.stage(pairs)
         tested.append(pairs)
         links = scratch.stage(_confirmed(pairs, sets, scratch))
-        ends = links.select("u").unionAll(links.select(F.col("v").alias("u"))).groupBy("u").agg(F.count("*").alias("more")).withColumnRenamed("u", "cls")
-        name = labels.select(F.col("cls").alias("u"), F.col("label").alias("a"))
-        named = links.join(name, "u").join(name.select(F.col("u").alias("v"), F.col("a").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        moved = components(named, scratch).select(F.col("u").alias("label"), "component")
-        labels = labels.join(moved, "label", "left").join(ends, "cls", "left")
-        labels = scratch.stage(labels.select("cls", "n_shingles", F.coalesce("component", "label").alias("label"), (F.col("links") + F.coalesce("more", F.lit(0))).alias("links")))
-        buckets = live.select("bucket", "cls", "place").join(pivots.select("bucket", "cls"), ["bucket", "cls"], "left_anti")
+        if not links.isEmpty():
+            ends = links.select(_rows(("u",), ("v",), names=("cls",))).groupBy("cls").agg(F.count("*").alias("more"))
+            name = labels.select(F.col("cls").alias("u"), F.col("label").alias("a"))
+            named = links.join(name, "u").join(name.select(F.col("u").alias("v"), F.col("a").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+            moved = components(named, scratch).select(F.col("u").alias("label"), "component")
+            labels = labels.join(moved, "label", "left").join(ends, "cls", "left")
+            labels = scratch.stage(labels.select("cls", "n_shingles", F.coalesce("component", "label").alias("label"), (F.col("links") + F.coalesce("more", F.lit(0))).alias("links")))
+        # staged, as the next round reads it twice
+        buckets = scratch.stage(live.select("bucket", "cls", "place").join(pivots.select("bucket", "cls"), ["bucket", "cls"], "left_anti"))
         pivots_per_bucket *= 1 if turn < REFINED else 4
 
 

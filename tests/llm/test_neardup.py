@@ -81,6 +81,15 @@ def test_repeated_rows_keep_their_links_when_refined(spark, monkeypatch):
     check(spark, rows * 3)
 
 
+def test_bucket_of_few_classes_is_done_in_one_round(spark, monkeypatch):
+    rounds, clear = [], Scratch.clear
+    monkeypatch.setattr(neardup, "REFINED", 0)
+    monkeypatch.setattr(Scratch, "clear", lambda self, *keep: (rounds.append(keep), clear(self, *keep)))
+    rows = [(k, " ".join([f"b{i}" for i in range(100)] + [f"k{k}_{i}" for i in range(20)])) for k in range(16)]  # 96 of 136 shingles
+    check(spark, rows)
+    assert len(rounds) == 4  # refined, 16 pivots, none left, and the last of near_duplicates
+
+
 def test_one_set_per_class(spark, monkeypatch):
     monkeypatch.setattr(neardup, "FEW_IDS", 0)
     rows = spark.createDataFrame([(1, [1], 0), (1, [1], 1), (2, [2], 2), (1, [1], 3)], "cls long, shingles array<long>, row long")
@@ -106,6 +115,18 @@ def test_components_of_long_paths(spark):
     assert {got[i] for i in range(1, 41)} == {0} and got[101] == got[102] == 100
 
 
+def test_components_of_a_random_graph(spark):
+    rng = random.Random(7)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(5, 5), (99, 99)]
+    label = {n: n for e in edges for n in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = neardup.components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark)).collect()
+    assert sorted((r.u, r.component) for r in got) == sorted((n, least) for n, least in label.items() if n != least)
+    assert neardup.components(spark.createDataFrame([(1, 1)], "u long, v long"), Scratch(spark)).collect() == []
+
+
 def test_bands_find_pairs_at_the_threshold():
     rng = np.random.default_rng(0)
     for _ in range(200):
