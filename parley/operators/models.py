@@ -366,8 +366,8 @@ def predict_recent(df: DataFrame, train: DataFrame, ts: str, key: str, k: int =
     return df.withColumn("p", last.agg(smoothed_rate(F.sum("target"), F.count("*"))).scalar())
 
 
-def threshold_candidates(train: DataFrame, names: list[str], limit: int | None = None) -> DataFrame:
-    """In-sample log loss of every cut point of each variable, or of ``limit`` evenly spaced ones.
+def threshold_candidates(train: DataFrame, names: list[str]) -> DataFrame:
+    """In-sample log loss of every cut point of each variable.
 
     Cut points lie between neighbouring distinct values; what lies on each side comes from running
     sums over those values, so rows are aggregated once and never paired with candidates.
@@ -375,14 +375,9 @@ def threshold_candidates(train: DataFrame, names: list[str], limit: int | None =
     long = long_features(train, ["target"], names)
     values = long.groupBy("name", "value").agg(F.count("*").alias("n"), F.sum(c("target").cast("long")).alias("k"))
     seq = Sequence(values, ["name"], ["value"]).add(
-        _pos=rank(), _m=total(), _next=lead(c("value")), low_n=running_sum(c("n")), low_k=running_sum(c("k")), _n=total(c("n")), _k=total(c("k"))
+        _next=lead(c("value")), low_n=running_sum(c("n")), low_k=running_sum(c("k")), _n=total(c("n")), _k=total(c("k"))
     ).frame
     rows = seq.filter(c("_next").isNotNull())
-    if limit is not None:
-        cuts = c("_m") - 1
-        step = F.when(cuts > limit, (cuts - 1) / F.lit(float(limit - 1)))
-        near = F.array(*[F.bround(step * i, 0).cast("long") for i in range(limit)])
-        rows = rows.filter(F.coalesce(F.array_contains(near, c("_pos") - 1), F.lit(True)))
     high_n, high_k = c("_n") - c("low_n"), c("_k") - c("low_k")
     low_p, high_p = smoothed_rate(c("low_k"), c("low_n")), smoothed_rate(high_k, high_n)
     loss = -(
@@ -393,9 +388,9 @@ def threshold_candidates(train: DataFrame, names: list[str], limit: int | None =
     )
 
 
-def fit_threshold(train: DataFrame, names: list[str], limit: int = 25) -> DataFrame:
-    """One row: the best cut; earlier variables and smaller thresholds win ties."""
-    found = threshold_candidates(train, names, limit)
+def fit_threshold(train: DataFrame, names: list[str]) -> DataFrame:
+    """One row: the best of all cuts; earlier variables and smaller thresholds win ties."""
+    found = threshold_candidates(train, names)
     place = F.array_position(F.array(*[F.lit(x) for x in names]), c("name"))
     return found.orderBy("log_loss", place, "threshold").limit(1)
 

@@ -122,3 +122,29 @@ def test_tolerant_selection_equals_a_plain_loop(spark):
         near = [r for r in mine if r[3] <= best + max(abs(best) * 0.01, 1e-12)]
         want[key] = min(near, key=lambda r: (r[4], r[5], -r[6], r[3], r[2]))[2]
     assert got == want and len(want) == 6
+
+
+def test_threshold_rule_takes_the_best_of_all_cuts(many_segments):
+    # the target turns between two neighbours of 301 values, half way between two of 25 evenly spaced cuts (125 and 137)
+    turn = 131
+    rows = [(f"r{i}", int(i > turn), float(i), float(i % 7)) for i in range(301)]
+    train = many_segments.createDataFrame(rows, "row_id string, target int, a double, b double")
+
+    def loss(at, cut):
+        out = 0.0
+        for side in ([r[1] for r in rows if r[at] <= cut], [r[1] for r in rows if r[at] > cut]):
+            p = (sum(side) + 1.0) / (len(side) + 2.0)
+            out -= sum(math.log(p if y else 1 - p) for y in side)
+        return out / len(rows)
+
+    cuts = []
+    for place, (name, at) in enumerate((("b", 3), ("a", 2))):
+        values = sorted({r[at] for r in rows})
+        cuts += [(loss(at, (x + y) / 2), place, (x + y) / 2, name) for x, y in zip(values, values[1:])]
+    best = min(cuts)
+    rule = M.fit_threshold(train, ["b", "a"]).first()
+    assert (rule["name"], rule["threshold"]) == (best[3], best[2]) == ("a", turn + 0.5)
+    assert abs(rule["log_loss"] - best[0]) < 1e-12
+    assert M.threshold_candidates(train, ["b", "a"]).count() == len(cuts) == 306
+    got = {r["row_id"]: r["p"] for r in M.predict_threshold_rule(train, M.fit_threshold(train, ["b", "a"]), ["b", "a"]).collect()}
+    assert all(abs(got[r[0]] - (rule["high_rate"] if r[1] else rule["low_rate"])) < 1e-12 for r in rows)
